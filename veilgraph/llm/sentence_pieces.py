@@ -27,7 +27,7 @@ from .common import id_text, rows_of
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries and characters up to which a worker remembers segments; past it the memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+REMEMBERED, REMEMBERED_CHARS = 800_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -96,6 +96,7 @@ class PieceModel:
             surfaces[i] = chr(b) if b < 128 else chr(0xDC00 + b)
         self.surface = surfaces
         self.head, self.tail = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
+        self._pairs()
         self.seen: dict[str, bytes] = {}
         self.seen_parts: dict[str, bytes] = {}
         self.fresh: dict[str, bytes] = {}
@@ -105,31 +106,44 @@ class PieceModel:
 
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    def _pairs(self) -> None:
+        """Which two symbols make a piece: left << 20 | right -> rank of the score << 20 | symbol made."""
+        symbols = {x: i for i, x in enumerate(dict.fromkeys([*self.score, *(c for p in self.score for c in p)]))}
+        rank = {s: i for i, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.symbol_of, self.no_symbol = symbols, (1 << 20) - 1
+        self.pair = {
+            symbols[p[:i]] << 20 | symbols[p[i:]]: rank[s] << 20 | symbols[p]
+            for p, s in self.score.items() for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols
+        }
+        self.ids_of = {symbols[p]: i for p, i in self.id_of.items()}
+
     def _agenda(self, part: str) -> bytes:
-        symbols: list[str | None] = list(part)
-        n, score = len(symbols), self.score
+        n, pair, low = len(part), self.pair.get, self.no_symbol
+        symbols = [self.symbol_of.get(c, low) for c in part]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(-s, i, i + 1, p) for i in range(n - 1) if (s := score.get(p := part[i : i + 2])) is not None]
+        agenda = [v >> 20 << 32 | i for i in range(n - 1) if (v := pair(symbols[i] << 20 | symbols[i + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, left, right, piece = heapq.heappop(agenda)
-            if symbols[left] is None or symbols[right] is None or after[left] != right or symbols[left] + symbols[right] != piece:
+            entry = heapq.heappop(agenda)
+            left = entry & 0xFFFFFFFF
+            right = after[left]
+            if right >= n or symbols[left] < 0 or (v := pair(symbols[left] << 20 | symbols[right])) is None or v >> 20 != entry >> 32:
                 continue
-            symbols[left], symbols[right] = piece, None
+            symbols[left], symbols[right] = (made := v & low), -1
             after[left] = following = after[right]
             if following < n:
                 before[following] = left
-                if (s := score.get(p := piece + symbols[following])) is not None:
-                    heapq.heappush(agenda, (-s, left, following, p))
-            if (previous := before[left]) >= 0 and (s := score.get(p := symbols[previous] + piece)) is not None:
-                heapq.heappush(agenda, (-s, previous, left, p))
+                if (v := pair(made << 20 | symbols[following])) is not None:
+                    heapq.heappush(agenda, v >> 20 << 32 | left)
+            if (previous := before[left]) >= 0 and (v := pair(symbols[previous] << 20 | made)) is not None:
+                heapq.heappush(agenda, v >> 20 << 32 | previous)
         ids: list[int] = []
-        for symbol in symbols:
-            if symbol is not None:
-                if (i := self.id_of.get(symbol)) is not None:
+        for at, symbol in enumerate(symbols):
+            if symbol >= 0:
+                if (i := self.ids_of.get(symbol)) is not None:
                     ids.append(i)
                 elif self.byte_ids:
-                    ids += [self.byte_ids[b] for b in symbol.encode()]
+                    ids += [self.byte_ids[b] for b in part[at].encode()]
                 else:
                     ids.append(self.unk)
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -137,8 +151,8 @@ class PieceModel:
     def _part(self, part: str) -> bytes:
         if (ids := self.seen_parts.get(part)) is None:
             ids = self._agenda(part)
-            if len(part) <= REMEMBERED_CHARS:
-                if len(self.seen_parts) >= REMEMBERED:
+            if len(part) <= 8:
+                if len(self.seen_parts) >= REMEMBERED // 8:
                     self.seen_parts.clear()
                 self.seen_parts[part] = ids
         return ids
@@ -160,10 +174,11 @@ class PieceModel:
             return b""
         if MARK in text:
             text = text.replace(MARK, " ")
-        try:
-            return b"".join(map(self.seen.__getitem__, text.split(" ")))
-        except KeyError:
+        words, seen = text.split(" "), self.seen
+        if "" in words:
             return b"".join(map(self._segment, re.findall(" +[^ ]*", " " + text)))
+        own = {w: self._segment(" " + w) for w in {w for w in words if w not in seen}}
+        return b"".join([own[w] if w in own else seen[w] for w in words] if own else map(seen.__getitem__, words))
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """Ids with begin and end; what is new is checked against the library."""
