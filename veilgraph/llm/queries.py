@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, pseudonyms, quality_rules, sentence_pieces, token_files, toxicity, url_filter
+from . import decontamination, pseudonyms, quality_rules, sentence_pieces, shingle_join, token_files, toxicity, url_filter
 from .common import crc32_mod, documents, pages
 
 
@@ -53,5 +53,9 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_pii"), F.transform("pii_spans", lambda x: x["kind"]).alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_token_files, op3_decontamination, op4_quality_rules, op5_toxicity, op6_url_filter, op9_pseudonyms)}
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.classes(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_token_files, op3_decontamination, op4_quality_rules, op5_toxicity, op6_url_filter, op7_shingle_join, op9_pseudonyms)}
 ORACLE: dict[str, str] = {}
