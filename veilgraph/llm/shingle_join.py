@@ -9,9 +9,9 @@
    than MOST_COMBINED frequent shingles in its prefix indexes them singly; the others index theirs so too, marked
    weak, and a key that only weak entries hold is left out, because combinations cover it.
 3. Verification is exact on the shared shingles. As only the classes are asked for, documents of a key are compared
-   with one leader first; then, for the keys that still hold more than one class, everything outside the largest class
-   is compared with all that is in another class. No link between classes is lost, and a large group of copies costs
-   about one comparison a document.
+   with one leader of its largest class first, ROUNDS times with leaders and classes anew; then, for the keys that
+   still hold more than one class, everything outside the largest class is compared with all that is in another class.
+   No link between classes is lost, and a large group of copies costs a few comparisons a document.
 
 Shingles count as equal if 43 bits of their hashes agree within a bucket; documents have no false neighbour for it
 but by an accident of about 1 in 10**8 a pair.
@@ -37,7 +37,7 @@ from .common import free_shuffles, id_text, remove, rows_of, shared_dir, stored
 
 SHINGLE, K = 5, 2
 BUCKET_BITS = 11
-FREQUENT, MOST_COMBINED = 256, 40
+FREQUENT, MOST_COMBINED, ROUNDS = 16, 24, 3
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 60_000
 REMEMBERED = 400_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -242,26 +242,36 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fre
     free_shuffles(spark)
 
     entries = own.where("keys IS NOT NULL").select("doc", F.explode(F.arrays_zip("keys", "strong")).alias("e")).select(F.col("e.keys").alias("key"), "doc", F.col("e.strong").alias("strong"))
-    leaders = entries.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("c"), F.max("strong").alias("s")).where("c > 1 AND s").select("key", "leader")
-    led = stored(entries.select("key", "doc").join(leaders, "key"), f"{folder}/led")
-    pairs = led.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    links = stored(verified(pairs, own), f"{folder}/links-0")
-    label = components(links, f"{folder}/first")
-
-    # keys that hold more than one class: all outside the largest class meets all of other classes
-    held = led.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "leader", F.coalesce("label", "doc").alias("label"))
-    held = stored(held, f"{folder}/held")
-    sizes = held.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("c")).where("c > 1").select("key", "most")
-    outside = held.join(sizes, "key").where("label <> most").select("key", F.col("doc").alias("x"), F.col("label").alias("lx"), "most")
-    pairs = outside.join(held.select("key", "doc", "label", "leader"), "key").where("label <> lx AND (label = most OR x < doc) AND x <> leader AND doc <> leader")
-    pairs = pairs.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
-    links = links.unionByName(stored(verified(pairs, own), f"{folder}/links-1"))
-    label = components(links, f"{folder}/second")
+    # keys of one document, or of weak entries alone, are of no use
+    used = entries.groupBy("key").agg(F.count("*").alias("c"), F.max("strong").alias("s")).where("c > 1 AND s").select("key")
+    held = stored(entries.join(used, "key").withColumn("label", F.col("doc")), f"{folder}/held-0")
+    free_shuffles(spark)
+    links, made = None, []
+    for r in range(ROUNDS + 1):
+        # of each key that holds more than one class: the largest class, and one document of it as the leader
+        sizes = held.groupBy("key", "label").agg(F.count("*").alias("c"), F.max("strong").alias("s"), F.min_by("doc", F.struct(~F.col("strong"), F.xxhash64("doc", F.lit(r)), "doc")).alias("leader"))
+        sizes = sizes.groupBy("key").agg(F.max_by(F.struct("label", "leader"), F.struct("s", "c", "label")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.col("m.label").alias("most"), F.col("m.leader").alias("leader"))
+        outside = held.join(sizes, "key").where("label <> most")
+        if r < ROUNDS:
+            pairs = outside.select(F.col("leader").alias("x"), F.col("doc").alias("y"))
+        else:  # all that is left: what is outside meets all of other classes
+            outside = outside.select("key", F.col("doc").alias("x"), F.col("label").alias("lx"), F.col("strong").alias("sx"), "most")
+            pairs = outside.join(held, "key").where("label <> lx AND (strong OR sx) AND (label = most OR x < doc)").select("x", F.col("doc").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = stored(verified(pairs, own), f"{folder}/links-{r}")
+        links = found if links is None else links.unionByName(found)
+        label = components(links, f"{folder}/stars-{r}")
+        made += [f"{folder}/held-{r}", f"{folder}/links-{r}", f"{folder}/stars-{r}"]
+        if r < ROUNDS:
+            held = held.drop("label").join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+            open_keys = held.groupBy("key").agg((F.min("label") < F.max("label")).alias("more")).where("more").select("key")
+            held = stored(held.join(open_keys, "key").select("key", "doc", "strong", "label"), f"{folder}/held-{r + 1}")
+        free_shuffles(spark)
 
     ids = own.select("doc", "doc_id", "n").join(label, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
     least = ids.where("node IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = ids.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     out = stored(out, f"{folder}/out")
-    remove(spark, *[f"{folder}/{x}" for x in ("docs", "led", "held", "links-0", "links-1", "first", "second")])
+    remove(spark, f"{folder}/docs", *made)
     free_shuffles(spark)
     return out
