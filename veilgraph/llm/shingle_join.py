@@ -37,7 +37,7 @@ from .common import free_shuffles, id_text, remove, rows_of, shared_dir, stored
 
 SHINGLE, K = 5, 2
 BUCKET_BITS = 11
-FREQUENT, MOST_COMBINED, ROUNDS = 16, 24, 3
+FREQUENT, MOST_COMBINED, ROUNDS = 16, 24, 2
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 60_000
 REMEMBERED = 400_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -241,22 +241,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fre
     own = stored(own, f"{folder}/docs")
     free_shuffles(spark)
 
-    entries = own.where("keys IS NOT NULL").select("doc", F.explode(F.arrays_zip("keys", "strong")).alias("e")).select(F.col("e.keys").alias("key"), "doc", F.col("e.strong").alias("strong"))
+    entries = own.where("keys IS NOT NULL").select("doc", "n", (F.octet_length("tokens") / 8).cast("int").alias("s"), F.explode(F.arrays_zip("keys", "strong")).alias("e"))
+    entries = entries.select(F.col("e.keys").alias("key"), "doc", F.col("n").cast("int").alias("n"), "s", F.col("e.strong").alias("strong"))
     # keys of one document, or of weak entries alone, are of no use
     used = entries.groupBy("key").agg(F.count("*").alias("c"), F.max("strong").alias("s")).where("c > 1 AND s").select("key")
     held = stored(entries.join(used, "key").withColumn("label", F.col("doc")), f"{folder}/held-0")
     free_shuffles(spark)
+    # shared shingles are an upper bound of the overlap, the sizes tell how much of it a link needs
+    may_link = 180 * F.least("s", "s_x") >= 80 * (F.col("n") + F.col("nx"))
     links, made = None, []
     for r in range(ROUNDS + 1):
         # of each key that holds more than one class: the largest class, and one document of it as the leader
-        sizes = held.groupBy("key", "label").agg(F.count("*").alias("c"), F.max("strong").alias("s"), F.min_by("doc", F.struct(~F.col("strong"), F.xxhash64("doc", F.lit(r)), "doc")).alias("leader"))
-        sizes = sizes.groupBy("key").agg(F.max_by(F.struct("label", "leader"), F.struct("s", "c", "label")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.col("m.label").alias("most"), F.col("m.leader").alias("leader"))
+        sizes = held.groupBy("key", "label").agg(F.count("*").alias("c"), F.max("strong").alias("s"), F.min_by(F.struct("doc", "n", "s"), F.struct(~F.col("strong"), (F.col("n") - F.col("s")) * int(not r), F.xxhash64("doc", F.lit(r)), "doc")).alias("leader"))
+        sizes = sizes.groupBy("key").agg(F.max_by(F.struct("label", "leader"), F.struct("s", "c", "label")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.col("m.label").alias("most"), F.col("m.leader.doc").alias("x"), F.col("m.leader.n").alias("nx"), F.col("m.leader.s").alias("s_x"))
         outside = held.join(sizes, "key").where("label <> most")
         if r < ROUNDS:
-            pairs = outside.select(F.col("leader").alias("x"), F.col("doc").alias("y"))
+            pairs = outside.where(may_link).select("x", F.col("doc").alias("y"))
         else:  # all that is left: what is outside meets all of other classes
-            outside = outside.select("key", F.col("doc").alias("x"), F.col("label").alias("lx"), F.col("strong").alias("sx"), "most")
-            pairs = outside.join(held, "key").where("label <> lx AND (strong OR sx) AND (label = most OR x < doc)").select("x", F.col("doc").alias("y"))
+            outside = outside.select("key", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("s").alias("s_x"), F.col("label").alias("lx"), F.col("strong").alias("sx"), "most")
+            pairs = outside.join(held, "key").where(may_link).where("label <> lx AND (strong OR sx) AND (label = most OR x < doc)").select("x", F.col("doc").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = stored(verified(pairs, own), f"{folder}/links-{r}")
         links = found if links is None else links.unionByName(found)
@@ -265,7 +268,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fre
         if r < ROUNDS:
             held = held.drop("label").join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
             open_keys = held.groupBy("key").agg((F.min("label") < F.max("label")).alias("more")).where("more").select("key")
-            held = stored(held.join(open_keys, "key").select("key", "doc", "strong", "label"), f"{folder}/held-{r + 1}")
+            held = stored(held.join(open_keys, "key").select("key", "doc", "n", "s", "strong", "label"), f"{folder}/held-{r + 1}")
         free_shuffles(spark)
 
     ids = own.select("doc", "doc_id", "n").join(label, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
