@@ -178,11 +178,24 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype(f"<u{id_bytes}")
+        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
         self.seen: dict[str, bytes] = {}
 
     def _library(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _lines(self, chunks: list[str]) -> list[bytes]:
+        """Clean chunks without line ends, many to a text with one chunk a line: fewer calls, and a line end is one id of its own."""
+        end = self.kind.type(self.line_end)
+        texts = ["\n".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)]
+        out: list[bytes] = []
+        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, self.kind)
+            data, size = ids.tobytes(), self.kind.itemsize
+            cuts = (np.flatnonzero(ids == end) * size).tolist()
+            out += [data[a:b] for a, b in zip([0, *(c + size for c in cuts)], [*cuts, len(data)], strict=True)]
+        return out
+
     @staticmethod
     def _clean(chunk: str) -> bool:
         core = chunk[1:] if chunk[:1] == " " else chunk
@@ -200,7 +213,10 @@ class ChunkEncoder:
                 split[i] = re.split(r"(?<=\S)(?= \S)", texts[i]) if texts[i] else []
                 new.update(c for c in split[i] if c not in seen)
         known = list(new - odd | {c for chunks in split for c in chunks if c in odd} if odd else new)
-        own = dict(zip(known, self._library(known), strict=True)) if known else {}
+        plain = [c for c in known if "\n" not in c and self._clean(c)]
+        own = dict(zip(plain, self._lines(plain), strict=True)) if plain else {}
+        rest = [c for c in known if c not in own]
+        own |= zip(rest, self._library(rest), strict=True) if rest else {}
         out = [b"".join([own[c] if c in own else seen[c] for c in chunks]) for chunks in split]
         seen.update((c, ids) for c, ids in own.items() if len(c) <= REMEMBERED_CHARS and self._clean(c))
         return out
