@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 P, DECAY = 4, np.float32(0.6)
 WINDOW, STEP = 16, 8
-LANDMARKS, MAX_TRAINING = 48, 2500
+LANDMARKS, MAX_TRAINING = 36, 2500
 #: Lengths of the word beginnings that count as evidence beside whole words.
 STEMS = (4, 5, 6)
 #: Likelihood-ratio statistic from which a word is taken to speak for a label at first.
@@ -115,15 +115,28 @@ def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
     if not words:
         return out
     i, j = np.nonzero(overlap(words, landmarks) >= P)
-    if len(i):
-        width = max(map(len, landmarks))
-        a, b = codes(words, WINDOW, -1), codes(landmarks, width, -2)
-        own = kernel(b, np.where(b == -2, -3, b))
-        k = kernel(a[i], b[j])
-        used = np.unique(i[k > 0])
-        self_k = np.ones(len(words), np.float32)
-        self_k[used] = kernel(a[used], np.where(a[used] == -1, -3, a[used]))
-        out[i, j] = k / np.sqrt(np.maximum(self_k[i] * own[j], 1e-20))
+    if not len(i):
+        return out
+    b = codes(landmarks, max(map(len, landmarks)), -2)
+    own = kernel(b, np.where(b == -2, -3, b))
+    lengths, widths = np.array([len(w) for w in words]), np.array([len(w) for w in landmarks])
+    # pairs of like lengths together, so that little is computed on padding
+    for low, high in ((0, 7), (7, 10), (10, WINDOW)):
+        inside = (lengths > low) & (lengths <= high)
+        if not inside.any():
+            continue
+        rows = np.flatnonzero(inside)
+        a = codes([words[r] for r in rows], high, -1)
+        place = np.zeros(len(words), np.int64)
+        place[rows] = np.arange(len(rows))
+        for least, most in ((0, 6), (6, 9), (9, WINDOW)):
+            pick = np.flatnonzero(inside[i] & (widths[j] > least) & (widths[j] <= most))
+            if len(pick):
+                out[i[pick], j[pick]] = kernel(a[place[i[pick]]], b[j[pick], :most])
+        used = np.flatnonzero(out[rows].any(1))
+        if len(used):
+            own_a = kernel(a[used], np.where(a[used] == -1, -3, a[used]))
+            out[rows[used]] /= np.sqrt(np.maximum(own_a[:, None] * own, 1e-20))
     return out
 
 
@@ -225,7 +238,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> ToxicityModel |
     speaking = plain + [u for u in speaking if u not in set(plain)]
     common = [u for u, _ in sorted(count[0].items(), key=lambda x: (-x[1], x[0])) if count[1][u]][:100]
     landmarks: list[str] = []
-    for pool, most in ((speaking, LANDMARKS * 3 // 4), (common, LANDMARKS)):
+    for pool, most in ((speaking, LANDMARKS - 4), (common, LANDMARKS)):
         pool = pool[:400]
         near = similarities(pool, landmarks).max(1) if landmarks and pool else np.zeros(len(pool))
         while pool and len(landmarks) < most:
