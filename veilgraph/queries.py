@@ -1,2 +1,436 @@
-QUERIES: dict = {}
+"""Registered queries and their SQL twins. Doubles are rounded to 6 places on both sides."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import gumbel, laplace, uniform
+from .functions.noise import sql_draw, sql_laplace, sql_uniform
+from .operators import attacks, community, compare, mechanisms, paths, sampling, structure, synthesizers
+from .plans.evaluate import utility_report
+from .sources import co_occurrence, user_transitions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None, graph: str = "e"):
+    """Registers f(edges) or f(edges, spark, sf_dir) with its SQL, which sees e, e2, s, deg, hist, tri, pt, base."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            edges = co_occurrence(spark, sf_dir, 45.0 if graph == "e2" else 40.0)
+            return rounded(f(edges) if f.__code__.co_argcount == 1 else f(edges, spark, sf_dir))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = WITH + sql
+        return f
+
+    return put
+
+
+def _edges_sql(q: int) -> str:
+    return f"SELECT DISTINCT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity >= {q} AND b.l_quantity >= {q}"
+
+
+WITH = f"""WITH RECURSIVE e AS MATERIALIZED ({_edges_sql(40)}), e2 AS MATERIALIZED ({_edges_sql(45)}),
+s AS (SELECT u src, v dst FROM e UNION ALL SELECT v, u FROM e), deg AS MATERIALIZED (SELECT src id, count(*) deg FROM s GROUP BY src),
+s2 AS (SELECT u src, v dst FROM e2 UNION ALL SELECT v, u FROM e2), deg2 AS MATERIALIZED (SELECT src id, count(*) deg FROM s2 GROUP BY src),
+hist AS (SELECT deg, count(*) cnt FROM deg GROUP BY deg), hist2 AS (SELECT deg, count(*) cnt FROM deg2 GROUP BY deg),
+tri AS MATERIALIZED (SELECT a.u a, a.v b, b.v c FROM e a JOIN e b ON a.v = b.u JOIN e c ON c.u = a.u AND c.v = b.v),
+pt AS (SELECT id, count(*) t FROM (SELECT a id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY id),
+base AS MATERIALIZED (SELECT d.id, deg, coalesce(t, 0) triangles, CASE WHEN deg < 2 THEN 0.0::double ELSE 2.0::double * coalesce(t, 0) / (deg * (deg - 1)) END clustering FROM deg d LEFT JOIN pt USING (id)),
+ids AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 idx FROM deg),
+c AS MATERIALIZED (SELECT least(a.idx, b.idx) u, greatest(a.idx, b.idx) v FROM e JOIN ids a ON e.u = a.id JOIN ids b ON e.v = b.id),
+ldeg AS (SELECT id, deg FROM deg)
+"""
+
+
+@query("SELECT (SELECT count(*) FROM deg) node_count, (SELECT count(*) FROM e) edge_count")
+def graph_size(e):
+    return structure.graph_size(e)
+
+
+@query("SELECT id, deg FROM deg")
+def degree_table(e):
+    return structure.degrees(e)
+
+
+@query("SELECT count(*) node_count, round(avg(deg), 6) avg_degree, round(var_pop(deg), 6) degree_variance, round(var_samp(deg), 6) degree_variance_sample, round(stddev_pop(deg), 6) degree_std, max(deg) max_degree, min(deg) min_degree FROM deg")
+def degree_stats(e):
+    return structure.degree_stats(e)
+
+
+@query("SELECT g.deg::bigint deg, coalesce(cnt, 0) cnt FROM (SELECT unnest(range(0, (SELECT max(deg) + 1 FROM deg))) deg) g LEFT JOIN hist h ON g.deg = h.deg")
+def degree_histogram(e):
+    return structure.degree_histogram(e, dense=True)
+
+
+@query("SELECT count(*) triangle_count FROM tri")
+def triangles_global(e):
+    return structure.triangle_count(e)
+
+
+@query("SELECT id, triangles FROM base")
+def triangles_per_node(e):
+    return structure.triangles_per_node(e)
+
+
+@query("SELECT round(sum(triangles)::double / sum(deg * (deg - 1) / 2), 6) transitivity, round(avg(clustering), 6) avg_clustering FROM base")
+def clustering(e):
+    return structure.clustering_summary(e)
+
+
+@query("SELECT round((sum(x * y) / count(*) - avg(x) * avg(y)) / (sqrt(var_pop(x)) * sqrt(var_pop(y))), 6) assortativity FROM (SELECT a.deg::double x, b.deg::double y FROM s JOIN deg a ON a.id = src JOIN deg b ON b.id = dst)")
+def assortativity(e):
+    return structure.assortativity(e)
+
+
+@query("SELECT id, round((deg + triangles) / (deg * (deg + 1) / 2), 6) local_density FROM base")
+def local_density(e):
+    return structure.local_density(e)
+
+
+@query("SELECT src id, round(avg(deg), 6) neighbor_avg_degree, round(stddev_pop(deg), 6) neighbor_degree_std, max(deg) neighbor_max_degree, min(deg) neighbor_min_degree FROM s JOIN deg ON id = dst GROUP BY src")
+def neighbor_stats(e):
+    return structure.neighbor_stats(e)
+
+
+SECOND = "(SELECT a.src id, count(DISTINCT b.dst) n FROM s a JOIN s b ON a.dst = b.src WHERE b.dst <> a.src GROUP BY a.src)"
+
+
+@query(f"SELECT d.id, coalesce(n, 0) second_neighbor_count FROM deg d LEFT JOIN {SECOND} x ON x.id = d.id")
+def second_neighbors(e):
+    return structure.second_neighbors(e)
+
+
+@query("""SELECT k.id, k.k two_hop_nodes, round(CASE WHEN k.k < 2 THEN 0 ELSE 2.0 * coalesce(m, 0) / (k.k * (k.k - 1)) END::double, 6) two_hop_density, round(md, 6) two_hop_mean_degree, round(sd, 6) two_hop_degree_std
+FROM (SELECT n.id, count(*) k, avg(deg) md, stddev_pop(deg) sd FROM near n JOIN deg d ON d.id = n.w GROUP BY n.id) k LEFT JOIN (SELECT a.id, count(*) m FROM near a JOIN e ON e.u = a.w JOIN near b ON b.id = a.id AND b.w = e.v GROUP BY a.id) m ON m.id = k.id""")
+def two_hop_features(e):
+    return structure.two_hop_features(e)
+
+
+ORACLE["two_hop_features"] = WITH.rstrip() + ", near AS MATERIALIZED (SELECT src id, dst w FROM s UNION SELECT a.src, b.dst FROM s a JOIN s b ON a.dst = b.src WHERE a.src <> b.dst)\n" + ORACLE["two_hop_features"][len(WITH):]
+
+
+@query("""SELECT e.u, e.v, coalesce(c, 0) common_neighbors, round(coalesce(c, 0)::double / (a.deg + b.deg - coalesce(c, 0)), 6) jaccard, a.deg * b.deg preferential_attachment, abs(a.deg - b.deg) degree_difference,
+a.triangles + b.triangles end_triangles, round((a.clustering + b.clustering) / 2, 6) mean_clustering FROM e JOIN base a ON a.id = e.u JOIN base b ON b.id = e.v
+LEFT JOIN (SELECT e.u, e.v, count(*) c FROM e JOIN s x ON x.src = e.u JOIN s y ON y.src = e.v AND y.dst = x.dst GROUP BY 1, 2) k ON k.u = e.u AND k.v = e.v""")
+def edge_features(e):
+    return structure.edge_features(e)
+
+
+@query(f"""SELECT b.id, b.deg, b.triangles, round(b.clustering, 6) neighbor_connection_ratio, round((b.deg + b.triangles) / (b.deg * (b.deg + 1) / 2), 6) local_density, round(avg(d.deg), 6) neighbor_avg_degree,
+round(stddev_pop(d.deg), 6) neighbor_degree_std, max(d.deg) neighbor_max_degree, min(d.deg) neighbor_min_degree, max(coalesce(x.n, 0)) second_neighbor_count
+FROM base b JOIN s ON s.src = b.id JOIN deg d ON d.id = s.dst LEFT JOIN {SECOND} x ON x.id = b.id GROUP BY b.id, b.deg, b.triangles, b.clustering""")
+def node_features(e):
+    return structure.node_features(e)
+
+
+@query()
+def core_numbers(e):
+    return structure.core_numbers(e)
+
+
+@query("SELECT id, idx FROM ids")
+def relabel(e):
+    return structure.relabelled(e)
+
+
+@query(f"SELECT u, v FROM (SELECT u, v, {sql_draw('u * 2000003 + v', 17)} d FROM e) ORDER BY d, u * 2000003 + v LIMIT 500")
+def edge_sample(e):
+    return sampling.first_by_draw(e, sampling.edge_key(), 17, 500)
+
+
+_SPLIT = f"(SELECT id FROM deg ORDER BY {sql_draw('id', 5)}, id LIMIT 100)"
+_FIRST = f"(SELECT id FROM deg ORDER BY {sql_draw('id', 5)}, id LIMIT 50)"
+_RENUM = "SELECT least(a.r, b.r)::bigint u, greatest(a.r, b.r)::bigint v FROM e JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 + {start} r FROM {nodes}) a ON a.id = e.u JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 + {start} r FROM {nodes}) b ON b.id = e.v"
+
+
+@query(_RENUM.format(start=0, nodes=_FIRST))
+def split_train(e):
+    return sampling.renumbered(e, sampling.node_split(e, 0.5, 100)[0])
+
+
+@query(_RENUM.format(start=50, nodes=f"(SELECT id FROM {_SPLIT} WHERE id NOT IN (SELECT id FROM {_FIRST}))"))
+def split_reference(e):
+    return sampling.renumbered(e, sampling.node_split(e, 0.5, 100)[1], 50)
+
+
+_REACH = ", r AS (SELECT id, id root FROM deg2 UNION SELECT s2.dst, r.root FROM r JOIN s2 ON s2.src = r.id)"
+_COMP = "(SELECT id, min(root) component FROM r GROUP BY id)"
+
+
+@query(f"SELECT id, component FROM {_COMP}", "e2")
+def connected_components(e):
+    return paths.connected_components(e)
+
+
+ORACLE["connected_components"] = WITH.rstrip() + _REACH + "\n" + ORACLE["connected_components"][len(WITH):]
+_BFS = ", big AS MATERIALIZED (SELECT id FROM {c} WHERE component = (SELECT component FROM {c} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)), w AS (SELECT id, id at, 0 d FROM big UNION SELECT w.id, s2.dst, w.d + 1 FROM w JOIN s2 ON s2.src = w.at WHERE w.d < 40), dist AS MATERIALIZED (SELECT id, at, min(d) d FROM w GROUP BY 1, 2)".format(c=_COMP)
+
+
+@query(None, "e2")
+def distance_histogram(e):
+    return paths.distance_histogram(paths.largest_component(e))
+
+
+@query(None, "e2")
+def path_summary(e):
+    return paths.path_summary(e)
+
+
+def _labels(e: DataFrame, k: int) -> DataFrame:
+    return structure.vertices(e).select("id", (F.col("id") % k).alias("com"))
+
+
+@query("SELECT least(u % 7, v % 7) c1, greatest(u % 7, v % 7) c2, count(*) weight FROM e GROUP BY 1, 2")
+def quotient_graph(e):
+    return community.quotient_graph(e, _labels(e, 7))
+
+
+@query("SELECT d.id, coalesce(n, 0) inter_edges FROM deg d LEFT JOIN (SELECT src, count(*) n FROM s WHERE src % 7 <> dst % 7 GROUP BY 1) ON src = d.id")
+def inter_group_edges(e):
+    return community.inter_group_edges(e, _labels(e, 7))
+
+
+@query("SELECT round(sum(coalesce(inc, 0) / (SELECT count(*) FROM e) - power(dg / (2.0 * (SELECT count(*) FROM e)), 2)), 6) modularity FROM (SELECT id % 3 c, sum(deg)::double dg FROM deg GROUP BY 1) LEFT JOIN (SELECT u % 3 c, count(*)::double inc FROM e WHERE u % 3 = v % 3 GROUP BY 1) USING (c)")
+def modularity_of_partition(e):
+    return community.modularity(e, _labels(e, 3))
+
+
+@query(f"""SELECT id, arg_max(com, (rate, com)) com FROM (SELECT n.id, n.com, round(2.5 * (n.w - h.w) - ln(-ln({sql_uniform('n.id * 2000003 + n.com', 11)})), 9) rate FROM gains n JOIN gains h ON h.id = n.id AND h.com = n.id % 7) GROUP BY id""")
+def exp_mechanism_moves(e):
+    return community.exponential_moves(e, _labels(e, 7), 10.0)
+
+
+ORACLE["exp_mechanism_moves"] = WITH.rstrip() + ", gains AS MATERIALIZED (SELECT id, com, sum(w)::bigint w FROM (SELECT src id, dst % 7 com, count(*) w FROM s GROUP BY 1, 2 UNION ALL SELECT id, id % 7, 0 FROM deg) GROUP BY 1, 2)\n" + ORACLE["exp_mechanism_moves"][len(WITH):]
+
+
+@query()
+def louvain(e):
+    return community.louvain(e)
+
+
+@query()
+def eigenvector_centrality(e):
+    return community.eigenvector_centrality(e)
+
+
+@query("SELECT round(max(abs(fa - fb)), 6) ks FROM (SELECT sum(a) OVER (ORDER BY deg)::double / sum(a) OVER () fa, sum(b) OVER (ORDER BY deg)::double / sum(b) OVER () fb FROM (SELECT coalesce(h.deg, k.deg) deg, coalesce(h.cnt, 0) a, coalesce(k.cnt, 0) b FROM hist h FULL JOIN hist2 k ON h.deg = k.deg))")
+def ks_degree(e, spark, sf_dir):
+    return compare.ks(structure.degree_histogram(e), structure.degree_histogram(co_occurrence(spark, sf_dir, 45.0)))
+
+
+@query(f"SELECT round(sum(p * ln((p + {compare.EPS}) / (q + {compare.EPS}))), 6) kl FROM (SELECT coalesce(h.cnt, 0) / (SELECT sum(cnt) FROM hist)::double p, coalesce(k.cnt, 0) / (SELECT sum(cnt) FROM hist2)::double q FROM hist h FULL JOIN hist2 k ON h.deg = k.deg)")
+def kl_degree(e, spark, sf_dir):
+    return compare.kl(structure.degree_histogram(e), structure.degree_histogram(co_occurrence(spark, sf_dir, 45.0)))
+
+
+@query("SELECT round(sum(p * ln(p / (px * py))) / ((-sum(p * ln(px)) - sum(p * ln(py))) / 2), 6) nmi FROM (SELECT p, sum(p) OVER (PARTITION BY x) px, sum(p) OVER (PARTITION BY y) py FROM (SELECT id % 3 x, id % 5 y, count(*)::double / (SELECT count(*) FROM deg) p FROM deg GROUP BY 1, 2))")
+def nmi_partitions(e):
+    return compare.nmi(structure.vertices(e).select((F.col("id") % 3).alias("x"), (F.col("id") % 5).alias("y")), "x", "y")
+
+
+@query("SELECT round(count(*) / 50.0::double, 6) overlap FROM (SELECT id FROM deg ORDER BY deg DESC, id LIMIT 50) JOIN (SELECT id FROM deg2 ORDER BY deg DESC, id LIMIT 50) USING (id)")
+def topk_overlap(e, spark, sf_dir):
+    value = lambda x: structure.degrees(x).withColumnRenamed("deg", "value")
+    return compare.top_overlap(value(e), value(co_occurrence(spark, sf_dir, 45.0)), 50)
+
+
+_NOISY = f"(SELECT id, deg, greatest(round_even(deg + {sql_laplace('id', 21, '1.0::double')}, 0), 0)::bigint noisy FROM deg)"
+
+
+@query(f"SELECT id, deg, noisy FROM {_NOISY}")
+def laplace_degrees(e):
+    return mechanisms.noisy_degrees(e, 1.0)
+
+
+@query(f"SELECT id, deg, (noisy + CASE WHEN id = (SELECT min(id) FROM deg) THEN (SELECT sum(noisy) % 2 FROM {_NOISY}) ELSE 0 END)::bigint noisy FROM {_NOISY}")
+def even_degree_fix(e):
+    return mechanisms.even_total(mechanisms.noisy_degrees(e, 1.0))
+
+
+@query(f"SELECT g.deg::bigint deg, coalesce(cnt, 0) cnt, greatest(round_even(coalesce(cnt, 0) + {sql_laplace('g.deg', 31, '4.0::double')}, 0), 0)::bigint noisy FROM (SELECT unnest(range(0, (SELECT max(deg) + 1 FROM deg))) deg) g LEFT JOIN hist h ON g.deg = h.deg")
+def dp_degree_histogram(e):
+    return mechanisms.noisy_histogram(e, 1.0)
+
+
+@query(f"""SELECT id, x, greatest(x - shift, 0)::bigint y FROM vals, (SELECT shift FROM (SELECT i shift, sum(greatest(x - i, 0)) s, (SELECT sum(x) FROM vals) total FROM vals, (SELECT unnest(range(0, greatest(1, -(SELECT min(x) FROM vals)))) i) GROUP BY i) ORDER BY abs(s - total), shift LIMIT 1)""")
+def norm_sub(e):
+    d = structure.degrees(e)
+    return mechanisms.norm_sub(d.select("id", F.bround(F.col("deg") - 3 + laplace(uniform(F.col("id"), 23), 4.0)).cast("long").alias("x"))).select("id", "x", F.col("y").cast("long").alias("y"))
+
+
+ORACLE["norm_sub"] = WITH.rstrip() + f", vals AS MATERIALIZED (SELECT id, round_even(deg - 3 + {sql_laplace('id', 23, '4.0::double')}, 0)::bigint x FROM deg)\n" + ORACLE["norm_sub"][len(WITH):]
+
+
+@query("SELECT greatest(max(triangles), 1) local_sensitivity, round(greatest(max(triangles), 1) * exp(-0.1::double), 6) smooth FROM base")
+def smooth_sensitivity(e):
+    return mechanisms.smooth_sensitivity(e, 0.1)
+
+
+@query("""SELECT (min((s <= k * (k - 1) + t)::int) = 1 AND max(s) % 2 = 0)::bigint graphical FROM (SELECT r.deg, r.k, r.s, coalesce(sum(h.cnt * least(h.deg, r.k)), 0) t FROM
+(SELECT deg, sum(cnt) OVER (ORDER BY deg DESC) k, sum(cnt * deg) OVER (ORDER BY deg DESC) s FROM hist) r LEFT JOIN hist h ON h.deg < r.deg GROUP BY 1, 2, 3)""")
+def erdos_gallai(e):
+    return mechanisms.graphical(structure.degree_histogram(e))
+
+
+_TMF = f""", q AS MATERIALIZED (SELECT n, m, greatest(m + {sql_laplace('1::bigint', 900, '0.2::double')}, 0) mt FROM (SELECT (SELECT count(*) FROM deg)::double n, (SELECT count(*) FROM e)::double m)),
+th AS MATERIALIZED (SELECT *, CASE WHEN 5.0 < ln(n * (n - 1) / (2 * mt) - 1) THEN ln(n * (n - 1) / (2 * mt) - 1) / 10.0 ELSE ln(n * (n - 1) / (4 * mt) - 0.5 + 0.5 * exp(5.0::double)) / 5.0 END theta FROM q),
+kept AS MATERIALIZED (SELECT u, v FROM c, th WHERE greatest(1 + {sql_laplace('u * 2000003 + v', 1, '0.2::double')}, 0) > theta),
+fl AS MATERIALIZED (SELECT u, v FROM (SELECT least(a, b) u, greatest(a, b) v, min(id) id FROM (SELECT id, {sql_draw('id', 2)} % (SELECT n::bigint FROM th) a, {sql_draw('id', 3)} % (SELECT n::bigint FROM th) b FROM (SELECT unnest(range(0, (SELECT 2 * ceil(mt - (SELECT count(*) FROM kept))::bigint + 100 FROM th))) id)) WHERE a <> b GROUP BY 1, 2) f
+ ANTI JOIN kept USING (u, v) ORDER BY id LIMIT (SELECT ceil(mt - (SELECT count(*) FROM kept))::bigint FROM th)),
+g AS MATERIALIZED (SELECT u, v FROM kept UNION ALL SELECT u, v FROM fl)
+"""
+
+
+@query("SELECT u, v FROM kept")
+def tmf_kept_edges(e):
+    return synthesizers.tmf_parts(*synthesizers.compact(e), 10.0)[0]
+
+
+@query("SELECT u, v FROM g")
+def tmf_graph(e):
+    return synthesizers.tmf(*synthesizers.compact(e), 10.0)
+
+
+def _metrics_sql(edges: str) -> str:
+    p = f"(SELECT u src, v dst FROM {edges} UNION ALL SELECT v, u FROM {edges})"
+    d = f"(SELECT src id, count(*) deg FROM {p} GROUP BY src)"
+    t = f"(SELECT a.u a, a.v b, b.v c FROM {edges} a JOIN {edges} b ON a.v = b.u JOIN {edges} c ON c.u = a.u AND c.v = b.v)"
+    n = f"(SELECT x.id, deg, coalesce(t, 0) t FROM {d} x LEFT JOIN (SELECT id, count(*) t FROM (SELECT a id FROM {t} UNION ALL SELECT b FROM {t} UNION ALL SELECT c FROM {t}) GROUP BY id) y ON x.id = y.id)"
+    return f"""SELECT 'node_count' metric, count(*)::double val FROM {d} UNION ALL SELECT 'edge_count', count(*)::double FROM {edges} UNION ALL SELECT 'triangle_count', count(*)::double FROM {t}
+UNION ALL SELECT 'avg_degree', avg(deg) FROM {d} UNION ALL SELECT 'degree_variance', var_pop(deg) FROM {d} UNION ALL SELECT 'global_clustering', sum(t)::double / sum(deg * (deg - 1) / 2) FROM {n}
+UNION ALL SELECT 'avg_clustering', avg(CASE WHEN deg < 2 THEN 0 ELSE 2.0 * t / (deg * (deg - 1)) END)::double FROM {n}
+UNION ALL SELECT 'assortativity', (sum(x * y) / count(*) - avg(x) * avg(y)) / (sqrt(var_pop(x)) * sqrt(var_pop(y))) FROM (SELECT a.deg::double x, b.deg::double y FROM {p} JOIN {d} a ON a.id = src JOIN {d} b ON b.id = dst)"""
+
+
+@query(f"SELECT a.metric, round(a.val, 6) original, round(b.val, 6) synthetic, round(abs(a.val - b.val) / greatest(abs(a.val), 1e-8), 6) loss FROM ({_metrics_sql('c')}) a JOIN ({_metrics_sql('g')}) b ON a.metric = b.metric")
+def utility_loss_scalar(e):
+    real, n = synthesizers.compact(e)
+    return compare.utility_losses(real, synthesizers.synthesize(real, n, 10.0, "tmf")[0])
+
+
+for _name in ("tmf_kept_edges", "tmf_graph", "utility_loss_scalar"):
+    ORACLE[_name] = WITH.rstrip() + _TMF + ORACLE[_name][len(WITH):]
+
+
+@query(f"SELECT u, v FROM c ORDER BY {sql_draw('u * 2000003 + v', 71)}, u * 2000003 + v LIMIT (SELECT floor(count(*) * 0.6)::bigint FROM c)")
+def fallback_graph(e):
+    return synthesizers.fallback(*synthesizers.compact(e), 5.0)
+
+
+@query("SELECT least(u % 16, v % 16) c1, greatest(u % 16, v % 16) c2, count(*) cnt FROM c GROUP BY 1, 2")
+def privgraph_block_counts(e):
+    return synthesizers.privgraph_blocks(synthesizers.compact(e)[0])
+
+
+@query("SELECT level, prefix, cnt, pairs, round(cnt::double / pairs, 6) prob FROM (SELECT level, prefix, cnt, (1 << level)::bigint * least((1 << level)::bigint, (SELECT count(*) FROM deg) - (prefix * 2 + 1) * (1 << level)::bigint) pairs FROM (SELECT floor(log2(xor(u, v)::double))::bigint level, u >> (floor(log2(xor(u, v)::double))::bigint + 1) prefix, count(*) cnt FROM c GROUP BY 1, 2))")
+def hrg_block_probs(e):
+    return synthesizers.hrg_blocks(*synthesizers.compact(e))
+
+
+@query(f"SELECT id, noisy, noisy * 1000000000 + r block, noisy + 1 size FROM (SELECT id, noisy, (row_number() OVER (PARTITION BY noisy ORDER BY id) - 1) // (noisy + 1) r FROM {_NOISY})")
+def bter_blocks(e):
+    return synthesizers.bter_blocks(mechanisms.noisy_degrees(e, 1.0).select("id", "noisy"))
+
+
+@query()
+def skg_fit_grid(e):
+    return synthesizers.skg_grid(*synthesizers.compact(e)).orderBy("loss", "a", "b", "c").limit(5)
+
+
+def _generated(name: str):
+    def f(e):
+        real, n = synthesizers.compact(e)
+        return synthesizers.synthesize(real, n, 10.0, name)[0]
+
+    f.__name__ = f"{name}_graph"
+    query()(f)
+
+
+for _name in ("hrg", "privgraph", "dp1k", "bter", "skg", "privdpr"):
+    _generated(_name)
+
+
+_RESULTS = f"""(SELECT o_custkey % 20 target, (o_custkey % 3 + 1)::double epsilon, CASE WHEN {sql_draw('o_orderkey', 101)} % 2 = 0 THEN 1 ELSE 0 END actual, CASE WHEN {sql_draw('o_orderkey', 102)} % 3 = 0 THEN 1 ELSE 0 END prediction, {sql_uniform('o_orderkey', 103)} confidence FROM orders)"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deterministic table of attack results."""
+    from .functions.noise import draw
+
+    k = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        (F.col("o_custkey") % 20).alias("target"), (F.col("o_custkey") % 3 + 1).cast("double").alias("epsilon"), (draw(k, 101) % 2 == 0).cast("int").alias("actual"), (draw(k, 102) % 3 == 0).cast("int").alias("prediction"), uniform(k, 103).alias("confidence"))
+    return rows.withColumn("success", (F.col("actual") == F.col("prediction")).cast("int"))
+
+
+@query(f"""SELECT w.*, round(tpr0 - fpr0, 6) advantage, unique_targets, round(advantage_std, 6) advantage_std, round(advantage_range, 6) advantage_range FROM
+(SELECT epsilon, count(*) total_attacks, count(*) FILTER (actual = 1) in_member_attacks, count(*) FILTER (actual = 0) out_member_attacks, round(avg(prediction) FILTER (actual = 1), 6) tpr, round(avg(prediction) FILTER (actual = 0), 6) fpr, round(avg((actual = prediction)::int), 6) success_rate FROM {_RESULTS} GROUP BY 1) w
+JOIN (SELECT epsilon, avg(prediction) FILTER (actual = 1) tpr0, avg(prediction) FILTER (actual = 0) fpr0 FROM {_RESULTS} GROUP BY 1) x USING (epsilon)
+JOIN (SELECT epsilon, count(*) unique_targets, stddev_pop(a) advantage_std, max(a) - min(a) advantage_range FROM (SELECT epsilon, target, avg((actual = prediction)::int) a FROM {_RESULTS} GROUP BY 1, 2) GROUP BY 1) y USING (epsilon)""")
+def mia_statistics(e, spark, sf_dir):
+    return attacks.mia_statistics(_results(spark, sf_dir))
+
+
+ORACLE["mia_statistics"] = ORACLE["mia_statistics"].replace("SELECT w.*, ", "SELECT epsilon, total_attacks, in_member_attacks, out_member_attacks, tpr, fpr, success_rate, ")
+
+
+@query(f"SELECT epsilon, round((avg(confidence) FILTER (actual = 1) + avg(confidence) FILTER (actual = 0)) / 2, 6) confidence_advantage FROM {_RESULTS} GROUP BY 1")
+def confidence_advantage(e, spark, sf_dir):
+    return attacks.confidence_advantage(_results(spark, sf_dir))
+
+
+@query(f"""SELECT attribute, count(*) attacks, round(avg(correct) FILTER (st = 1) - avg(correct) FILTER (st = 0), 6) advantage, round(avg(error), 6) mean_error, round(median(error), 6) median_error, round(stddev_pop(error), 6) std_error
+FROM (SELECT target % 5 attribute, actual st, (actual = prediction)::int correct, confidence error FROM {_RESULTS}) GROUP BY 1""")
+def aia_advantage(e, spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return attacks.aia_advantage(r.select((F.col("target") % 5).alias("attribute"), F.col("actual").alias("st"), F.col("success").alias("correct"), F.col("confidence").alias("error")))
+
+
+@query("""SELECT attr, round(min(x), 6) min, round(max(x), 6) max, round(CASE WHEN max(x) - min(x) < 1e-10 THEN 1 ELSE max(x) - min(x) END, 6) "range", round(avg(x), 6) mean, round(stddev_pop(x), 6) std, (avg((abs(x - round_even(x, 0)) < 1e-10)::int) > 0.8)::bigint "discrete"
+FROM (SELECT 'deg' attr, deg::double x FROM base UNION ALL SELECT 'triangles', triangles::double FROM base UNION ALL SELECT 'neighbor_connection_ratio', clustering FROM base) GROUP BY 1""")
+def attr_ranges(e):
+    return attacks.attribute_ranges(structure.node_base(e).withColumnRenamed("clustering", "neighbor_connection_ratio"), ("deg", "triangles", "neighbor_connection_ratio"))
+
+
+@query()
+def aia_predictions(e):
+    features = structure.node_features(e)
+    return attacks.infer_attribute(features, features.where("id % 50 = 0"), "deg", attacks.attribute_ranges(features))
+
+
+@query()
+def mia_attack(e, spark, sf_dir):
+    real, n = synthesizers.compact(co_occurrence(spark, sf_dir, 49.0))
+    first = real.orderBy("u", "v").first()
+    return attacks.membership_attack(real, (first.u, first.v), n, 10.0, "fallback", shadows=3, rounds=2)
+
+
+@query("SELECT c_custkey, c_nationkey::bigint c_nationkey, c_mktsegment, group_size FROM customer JOIN (SELECT c_nationkey, c_mktsegment, count(*) group_size FROM customer GROUP BY 1, 2) g USING (c_nationkey, c_mktsegment)")
+def linkage_group_size(e, spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return attacks.group_sizes(rows, ["c_nationkey", "c_mktsegment"])
+
+
+@query("SELECT count(*) edge_count, count(DISTINCT u) sources FROM (SELECT DISTINCT a.user_id u, b.user_id v FROM ev a JOIN ev b ON a.h = b.h AND a.user_id < b.user_id)")
+def event_graph_size(e, spark, sf_dir):
+    return user_transitions(spark, sf_dir).agg(F.count("*").alias("edge_count"), F.countDistinct("u").alias("sources"))
+
+
+ORACLE["event_graph_size"] = "WITH ev AS (SELECT DISTINCT user_id, date_trunc('hour', ts) h FROM events) " + ORACLE["event_graph_size"][len(WITH):]
+
+
+@query()
+def utility_report_tmf(e):
+    return utility_report(e, ["tmf", "fallback"], [1.0])
