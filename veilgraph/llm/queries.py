@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, pseudonyms, quality_rules, sentence_pieces, shingle_join, token_files, toxicity, url_filter
+from . import decontamination, language_model, page_templates, pseudonyms, quality_rules, sentence_pieces, shingle_join, token_files, toxicity, url_filter
 from .common import crc32_mod, documents, pages
 
 
@@ -61,5 +61,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(documents(spark, sf_dir), crc32_mod("doc_id", 7) != 2).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_token_files, op3_decontamination, op4_quality_rules, op5_toxicity, op6_url_filter, op7_shingle_join, op9_pseudonyms, op10_language_model)}
+def op8_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_templates.extract(pages(spark, sf_dir)).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentence_pieces, op2_token_files, op3_decontamination, op4_quality_rules, op5_toxicity, op6_url_filter, op7_shingle_join, op8_page_templates, op9_pseudonyms, op10_language_model)
+}
 ORACLE: dict[str, str] = {}
