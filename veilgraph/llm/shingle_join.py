@@ -37,7 +37,7 @@ from .common import free_shuffles, id_text, remove, rows_of, shared_dir, stored
 
 SHINGLE, K = 5, 2
 BUCKET_BITS = 11
-FREQUENT, MOST_COMBINED, ROUNDS = 16, 24, 2
+FREQUENT, MOST_COMBINED, ROUNDS = 16, 24, 3
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 60_000
 REMEMBERED = 400_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -137,24 +137,30 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary()), "meta": pa.array([x[3] for x in out], pa.binary())})
 
 
-def _keys(tokens: np.ndarray, df: np.ndarray, n: int, frequent_from: int, most_combined: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a document's shared shingles, which stand in the global order, and which of them are strong."""
+def _keys(tokens: np.ndarray, df: np.ndarray, n: int, frequent_from: int, most_combined: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of a document's shared shingles, which stand in the global order; how many shingles stand from the key's
+    first one on; which keys are strong. If the key's shingles are the first that two documents share, no more than the
+    lesser of their rests is common."""
+    rest = len(tokens) - np.arange(len(tokens))
     prefix = slice(0, len(tokens) - needed(n) + K)
-    tokens, df = tokens[prefix], df[prefix]
-    rare, frequent = tokens[df <= frequent_from], tokens[df > frequent_from]
-    keys, strong = [rare], [np.ones(len(rare), bool)]
+    tokens, df, rest = tokens[prefix], df[prefix], rest[prefix]
+    rare = df <= frequent_from
+    frequent, rest_frequent = tokens[~rare], rest[~rare]
+    keys, rests, strong = [tokens[rare]], [rest[rare]], [np.ones(int(rare.sum()), bool)]
     if len(frequent):
         few = len(frequent) <= most_combined
         keys.append(frequent)
+        rests.append(rest_frequent)
         strong.append(np.full(len(frequent), not few))
         if few and len(frequent) >= K:
             a, b = np.triu_indices(len(frequent), 1)
             keys.append(mixed(frequent[a] * _FACTORS[0] + mixed(frequent[b])) | np.uint64(1 << 62))
+            rests.append(rest_frequent[a])
             strong.append(np.ones(len(a), bool))
-    return np.concatenate(keys).astype(np.int64), np.concatenate(strong)
+    return np.concatenate(keys).astype(np.int64), np.concatenate(rests).astype(np.int32), np.concatenate(strong)
 
 
-DOC = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64())), ("strong", pa.list_(pa.bool_()))])
+DOC = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64())), ("rests", pa.list_(pa.int32())), ("strong", pa.list_(pa.bool_()))])
 
 
 def _documents(table: pa.Table, frequent: int, most_combined: int) -> pa.Table:
@@ -174,12 +180,11 @@ def _documents(table: pa.Table, frequent: int, most_combined: int) -> pa.Table:
     order = np.lexsort((tokens, df, at))
     tokens, at, df = tokens[order], at[order], df[order]
     edges = np.searchsorted(at, np.arange(count + 1))
-    rows: list[list] = [[], [], []]
+    rows: list[list] = [[], [], [], []]
     for i in range(count):
         a, b, n = edges[i], edges[i + 1], int(sizes[i])
         if n and b - a >= needed(n):
-            keys, strong = _keys(tokens[a:b], df[a:b], n, frequent, most_combined)
-            for column, x in zip(rows, (np.sort(tokens[a:b]).tobytes(), keys, strong), strict=True):
+            for column, x in zip(rows, (np.sort(tokens[a:b]).tobytes(), *_keys(tokens[a:b], df[a:b], n, frequent, most_combined)), strict=True):
                 column.append(x)
         else:
             for column in rows:
@@ -187,7 +192,7 @@ def _documents(table: pa.Table, frequent: int, most_combined: int) -> pa.Table:
     first = blocks[0] << 16
     return pa.table([
         pa.array(np.arange(count) + (first & (1 << 63) - 1)), pa.array([int(x) if k else None for x, k in zip(ids, known, strict=True)], pa.int64()), pa.array(sizes.copy()),
-        pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.bool_()))], schema=DOC)
+        pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.int32())), pa.array(rows[3], pa.list_(pa.bool_()))], schema=DOC)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,19 +242,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fre
     folder = shared_dir(spark, "shingles")
     rows = id_text(docs, id_col, text_col).mapInArrow(lambda batches: _postings(batches, block_shingles), "bucket int, block long, data binary, meta binary")
     shared = rows.groupBy("bucket").applyInArrow(_shared, "block long, bucket int, data binary, meta binary")
-    own = shared.groupBy("block").applyInArrow(lambda table: _documents(table, frequent, most_combined), "doc long, doc_id long, n long, tokens binary, keys array<long>, strong array<boolean>")
+    own = shared.groupBy("block").applyInArrow(lambda table: _documents(table, frequent, most_combined), "doc long, doc_id long, n long, tokens binary, keys array<long>, rests array<int>, strong array<boolean>")
     own = stored(own, f"{folder}/docs")
     free_shuffles(spark)
 
-    entries = own.where("keys IS NOT NULL").select("doc", "n", (F.octet_length("tokens") / 8).cast("int").alias("s"), F.explode(F.arrays_zip("keys", "strong")).alias("e"))
-    entries = entries.select(F.col("e.keys").alias("key"), "doc", F.col("n").cast("int").alias("n"), "s", F.col("e.strong").alias("strong"))
+    # equal sets are one entry: all their shingles are shared, so equal shared shingles of the full number tell them
+    same = own.where("octet_length(tokens) = 8 * n").groupBy(F.sha2("tokens", 256).alias("set")).agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1").select("set", "first")
+    copies = own.where("octet_length(tokens) = 8 * n").select("doc", F.sha2("tokens", 256).alias("set")).join(same, "set").where("doc <> first")
+    copies = stored(copies.select(F.col("first").alias("a"), F.col("doc").alias("b")), f"{folder}/copies")
+    entries = own.where("keys IS NOT NULL").join(copies.select(F.col("b").alias("doc")), "doc", "left_anti").select("doc", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "rests", "strong")).alias("e"))
+    entries = entries.select(F.col("e.keys").alias("key"), "doc", "n", F.col("e.rests").alias("s"), F.col("e.strong").alias("strong"))
     # keys of one document, or of weak entries alone, are of no use
     used = entries.groupBy("key").agg(F.count("*").alias("c"), F.max("strong").alias("s")).where("c > 1 AND s").select("key")
     held = stored(entries.join(used, "key").withColumn("label", F.col("doc")), f"{folder}/held-0")
     free_shuffles(spark)
-    # shared shingles are an upper bound of the overlap, the sizes tell how much of it a link needs
+    # the rest from the first common key on is an upper bound of the overlap, the sizes tell how much of it a link needs
     may_link = 180 * F.least("s", "s_x") >= 80 * (F.col("n") + F.col("nx"))
-    links, made = None, []
+    links, made = copies, [f"{folder}/copies"]
     for r in range(ROUNDS + 1):
         # of each key that holds more than one class: the largest class, and one document of it as the leader
         sizes = held.groupBy("key", "label").agg(F.count("*").alias("c"), F.max("strong").alias("s"), F.min_by(F.struct("doc", "n", "s"), F.struct(~F.col("strong"), (F.col("n") - F.col("s")) * int(not r), F.xxhash64("doc", F.lit(r)), "doc")).alias("leader"))
@@ -262,7 +271,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fre
             pairs = outside.join(held, "key").where(may_link).where("label <> lx AND (strong OR sx) AND (label = most OR x < doc)").select("x", F.col("doc").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = stored(verified(pairs, own), f"{folder}/links-{r}")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         label = components(links, f"{folder}/stars-{r}")
         made += [f"{folder}/held-{r}", f"{folder}/links-{r}", f"{folder}/stars-{r}"]
         if r < ROUNDS:
