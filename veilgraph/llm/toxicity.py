@@ -55,10 +55,8 @@ def tokens_of(text: str) -> list[str]:
 
 
 def codes(words: list[str], width: int, pad: int) -> np.ndarray:
-    out = np.full((len(words), width), pad, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
-    return out
+    out = np.frombuffer("".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(words), width)
+    return np.where(out == 0, pad, out)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -86,27 +84,18 @@ def kernel(a: np.ndarray, b: np.ndarray, at_once: int = 20_000) -> np.ndarray:
 
 def overlap(a: list[str], b: list[str]) -> np.ndarray:
     """Characters in common, with repeats, of each word of a with each of b."""
-    place: dict[tuple[str, int], int] = {}
-
-    def bags(words: list[str], new: bool) -> np.ndarray:
-        cells = []
-        for i, w in enumerate(words):
-            seen: Counter = Counter()
-            for c in w:
-                key = (c, seen[c])
-                seen[c] += 1
-                if key in place:
-                    cells.append((i, place[key]))
-                elif new:
-                    cells.append((i, place.setdefault(key, len(place))))
-        out = np.zeros((len(words), len(place)), np.float32)
-        if cells:
-            x = np.array(cells)
-            out[x[:, 0], x[:, 1]] = 1
-        return out
-
-    right = bags(b, True)
-    return bags(a, False) @ right.T
+    letters = np.unique(codes(b, max(map(len, b)), 0))
+    letters = letters[letters > 0]
+    most = max(w.count(c) for w in b for c in w)
+
+    def bags(words: list[str]) -> np.ndarray:
+        c = codes(words, max(1, max(map(len, words))), 0)
+        at = np.minimum(np.searchsorted(letters, c), len(letters) - 1)
+        row, col = np.nonzero(letters[at] == c)
+        n = np.bincount(row * len(letters) + at[row, col], minlength=len(words) * len(letters)).reshape(len(words), -1)
+        return np.hstack([n > k for k in range(most)]).astype(np.float32)
+
+    return bags(a) @ bags(b).T
 
 
 def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
