@@ -58,14 +58,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+def rows_of(batches: Iterable[pa.RecordBatch], most: int = BATCH_CHARS) -> Iterator[tuple[list, list]]:
     """(ids, texts) of bounded size from batches with the columns id and text."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         start, size = 0, 0
         for i, text in enumerate(texts):
             size += len(text)
-            if size >= BATCH_CHARS:
+            if size >= most:
                 yield ids[start : i + 1], texts[start : i + 1]
                 start, size = i + 1, 0
         if start < len(ids):

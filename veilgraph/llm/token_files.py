@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .common import id_text, rows_of, shared_dir
 
 BLOCK = 512
 #: Chunks that a worker remembers; past this number the memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 48
+REMEMBERED, REMEMBERED_CHARS = 250_000, 48
 MAGIC = b"VGTK"
 
 
@@ -206,19 +207,23 @@ class ChunkEncoder:
             self.seen.clear()
         seen = self.seen
         split = [x.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in x else [x, ""] for x in texts]
-        new = {c for chunks in split for c in chunks if c not in seen}
+        new = set(chain.from_iterable(split)).difference(seen)
         odd = {c for c in new if not self._clean(c)}
-        for i, chunks in enumerate(split):
-            if odd and not odd.isdisjoint(chunks):
-                split[i] = re.split(r"(?<=\S)(?= \S)", texts[i]) if texts[i] else []
-                new.update(c for c in split[i] if c not in seen)
-        known = list(new - odd | {c for chunks in split for c in chunks if c in odd} if odd else new)
-        plain = [c for c in known if "\n" not in c and self._clean(c)]
-        own = dict(zip(plain, self._lines(plain), strict=True)) if plain else {}
-        rest = [c for c in known if c not in own]
-        own |= zip(rest, self._library(rest), strict=True) if rest else {}
-        out = [b"".join([own[c] if c in own else seen[c] for c in chunks]) for chunks in split]
-        seen.update((c, ids) for c, ids in own.items() if len(c) <= REMEMBERED_CHARS and self._clean(c))
+        if odd:
+            for i, chunks in enumerate(split):
+                if not odd.isdisjoint(chunks):
+                    split[i] = re.split(r"(?<=\S)(?= \S)", texts[i]) if texts[i] else []
+            new = set(chain.from_iterable(split)).difference(seen)
+        alone = [c for c in new if c in odd or "\n" in c or not self._clean(c)] if odd else [c for c in new if c == "\n"]
+        plain = list(new.difference(alone))
+        seen.update(zip(plain, self._lines(plain), strict=True) if plain else ())
+        seen.update(zip(alone, self._library(alone), strict=True) if alone else ())
+        out = [b"".join(map(seen.__getitem__, chunks)) for chunks in split]
+        for c in new:
+            if len(c) > REMEMBERED_CHARS:
+                del seen[c]
+        for c in alone:
+            seen.pop(c, None)
         return out
 
 
@@ -241,7 +246,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes: in
         if (key := (tokenizer_path, id_bytes)) not in _encoders:
             _encoders[key] = ChunkEncoder(tokenizer_path, id_bytes)
         encoder, end, out = _encoders[key], end_id.to_bytes(id_bytes, "little"), None
-        for ids, texts in rows_of(batches):
+        for ids, texts in rows_of(batches, 1_000_000):
             out = out or TokenFileWriter(folder, id_bytes)
             for doc_id, tokens in zip(ids, encoder.encode_batch(texts), strict=True):
                 out.append(doc_id, tokens + end)
