@@ -27,7 +27,7 @@ from .common import id_text, rows_of
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries and characters up to which a worker remembers segments; past it the memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 800_000, 48
+REMEMBERED, REMEMBERED_CHARS = 1_200_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -177,8 +177,14 @@ class PieceModel:
         words, seen = text.split(" "), self.seen
         if "" in words:
             return b"".join(map(self._segment, re.findall(" +[^ ]*", " " + text)))
-        own = {w: self._segment(" " + w) for w in {w for w in words if w not in seen}}
-        return b"".join([own[w] if w in own else seen[w] for w in words] if own else map(seen.__getitem__, words))
+        long = {}
+        for w in set(words).difference(seen):
+            ids = self._segment(" " + w)
+            if len(w) > REMEMBERED_CHARS:
+                long[w] = ids
+        if long:
+            return b"".join([long[w] if w in long else seen[w] for w in words])
+        return b"".join(map(seen.__getitem__, words))
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """Ids with begin and end; what is new is checked against the library."""
