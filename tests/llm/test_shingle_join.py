@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from veilgraph.llm import shingle_join
 
 
@@ -50,3 +52,24 @@ def test_edges(spark, docs_of):
     assert shingle_join.classes(docs_of([])).count() == 0
     rows = shingle_join.classes(docs_of(["a b c d e f", "a b c d e f", "a b c d e f"], [7, 7, None])).collect()
     assert sorted(r.component_id for r in rows) == [7, 7, 7]
+
+
+def test_parity_never_tells_more_than_the_difference():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (np.unique(r.integers(0, 1500, r.integers(1, 900))).astype(np.uint64) for _ in range(2))
+        apart = int(np.bitwise_count(shingle_join.parity(a) ^ shingle_join.parity(b)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and not (shingle_join.parity(a) ^ shingle_join.parity(a.copy())).any()
+
+
+def test_group_on_the_threshold(spark, docs_of):
+    """Copies of one text with some words changed each: links and non-links of close similarity, also after the leader rounds."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(110)]
+    texts = []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(r.randrange(6)):
+            own[r.randrange(len(own))] = f"x{r.randrange(12)}"
+        texts.append(" ".join(own))
+    assert sorted(map(tuple, shingle_join.classes(docs_of(texts)).collect())) == brute(texts)

@@ -11,6 +11,8 @@
 3. Verification is exact on the shared shingles. As only the classes are asked for, documents of a key are compared
    with one leader of its largest class first, ROUNDS times with leaders and classes anew; then, for the keys that
    still hold more than one class, everything outside the largest class is compared with all that is in another class.
+   There a parity map tells most pairs that are no links: each shingle flips one of SIGN_BITS bits, so two sets differ
+   in at least as many shingles as their maps do in bits, and a link allows (m + n) / 9 of them.
    No link between classes is lost, and a large group of copies costs a few comparisons a document.
 
 Shingles count as equal if 43 bits of their hashes agree within a bucket; documents have no false neighbour for it
@@ -40,6 +42,7 @@ BUCKET_BITS = 11
 FREQUENT, MOST_COMBINED, ROUNDS = 16, 24, 3
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 60_000
 REMEMBERED = 400_000
+SIGN_BITS = 512
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -137,6 +140,12 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary()), "meta": pa.array([x[3] for x in out], pa.binary())})
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """SIGN_BITS bits as 64-bit integers: each shingle flips the bit of its hash."""
+    at = (mixed(tokens + _FACTORS[1]) % np.uint64(SIGN_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SIGN_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _keys(tokens: np.ndarray, df: np.ndarray, n: int, frequent_from: int, most_combined: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index keys of a document's shared shingles, which stand in the global order; how many shingles stand from the key's
     first one on; which keys are strong. If the key's shingles are the first that two documents share, no more than the
@@ -160,7 +169,7 @@ def _keys(tokens: np.ndarray, df: np.ndarray, n: int, frequent_from: int, most_c
     return np.concatenate(keys).astype(np.int64), np.concatenate(rests).astype(np.int32), np.concatenate(strong)
 
 
-DOC = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64())), ("rests", pa.list_(pa.int32())), ("strong", pa.list_(pa.bool_()))])
+DOC = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64())), ("rests", pa.list_(pa.int32())), ("strong", pa.list_(pa.bool_())), ("sign", pa.list_(pa.int64()))])
 
 
 def _documents(table: pa.Table, frequent: int, most_combined: int) -> pa.Table:
@@ -180,11 +189,11 @@ def _documents(table: pa.Table, frequent: int, most_combined: int) -> pa.Table:
     order = np.lexsort((tokens, df, at))
     tokens, at, df = tokens[order], at[order], df[order]
     edges = np.searchsorted(at, np.arange(count + 1))
-    rows: list[list] = [[], [], [], []]
+    rows: list[list] = [[], [], [], [], []]
     for i in range(count):
         a, b, n = edges[i], edges[i + 1], int(sizes[i])
         if n and b - a >= needed(n):
-            for column, x in zip(rows, (np.sort(tokens[a:b]).tobytes(), *_keys(tokens[a:b], df[a:b], n, frequent, most_combined)), strict=True):
+            for column, x in zip(rows, (np.sort(tokens[a:b]).tobytes(), *_keys(tokens[a:b], df[a:b], n, frequent, most_combined), parity(tokens[a:b])), strict=True):
                 column.append(x)
         else:
             for column in rows:
@@ -192,7 +201,7 @@ def _documents(table: pa.Table, frequent: int, most_combined: int) -> pa.Table:
     first = blocks[0] << 16
     return pa.table([
         pa.array(np.arange(count) + (first & (1 << 63) - 1)), pa.array([int(x) if k else None for x, k in zip(ids, known, strict=True)], pa.int64()), pa.array(sizes.copy()),
-        pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.int32())), pa.array(rows[3], pa.list_(pa.bool_()))], schema=DOC)
+        pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.int32())), pa.array(rows[3], pa.list_(pa.bool_())), pa.array(rows[4], pa.list_(pa.int64()))], schema=DOC)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +251,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fre
     folder = shared_dir(spark, "shingles")
     rows = id_text(docs, id_col, text_col).mapInArrow(lambda batches: _postings(batches, block_shingles), "bucket int, block long, data binary, meta binary")
     shared = rows.groupBy("bucket").applyInArrow(_shared, "block long, bucket int, data binary, meta binary")
-    own = shared.groupBy("block").applyInArrow(lambda table: _documents(table, frequent, most_combined), "doc long, doc_id long, n long, tokens binary, keys array<long>, rests array<int>, strong array<boolean>")
+    own = shared.groupBy("block").applyInArrow(lambda table: _documents(table, frequent, most_combined), "doc long, doc_id long, n long, tokens binary, keys array<long>, rests array<int>, strong array<boolean>, sign array<long>")
     own = stored(own, f"{folder}/docs")
     free_shuffles(spark)
 
@@ -267,8 +276,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fre
         if r < ROUNDS:
             pairs = outside.where(may_link).select("x", F.col("doc").alias("y"))
         else:  # all that is left: what is outside meets all of other classes
-            outside = outside.select("key", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("s").alias("s_x"), F.col("label").alias("lx"), F.col("strong").alias("sx"), "most")
-            pairs = outside.join(held, "key").where(may_link).where("label <> lx AND (strong OR sx) AND (label = most OR x < doc)").select("x", F.col("doc").alias("y"))
+            signs = own.where("keys IS NOT NULL").select("doc", "sign", (F.col("n") - F.octet_length("tokens") / 8).cast("int").alias("lone"))
+            signed = held.join(signs, "doc")
+            outside = outside.join(signs, "doc").select("key", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("s").alias("s_x"), F.col("label").alias("lx"), F.col("strong").alias("sx"), "most", F.col("sign").alias("sign_x"), F.col("lone").alias("lone_x"))
+            # shingles of one document alone differ anyway
+            apart = sum((F.bit_count(F.col("sign")[i].bitwiseXOR(F.col("sign_x")[i])) for i in range(SIGN_BITS // 64)), F.col("lone") + F.col("lone_x"))
+            pairs = outside.join(signed, "key").where(may_link).where("label <> lx AND (strong OR sx) AND (label = most OR x < doc)").where(9 * apart <= F.col("n") + F.col("nx")).select("x", F.col("doc").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = stored(verified(pairs, own), f"{folder}/links-{r}")
         links = links.unionByName(found)
