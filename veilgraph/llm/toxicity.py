@@ -64,7 +64,7 @@ def _powers(n: int) -> np.ndarray:
     return np.where(gap >= 0, DECAY ** np.maximum(gap, 0), 0).astype(np.float32)
 
 
-def kernel(a: np.ndarray, b: np.ndarray, at_once: int = 20_000) -> np.ndarray:
+def kernel(a: np.ndarray, b: np.ndarray, at_once: int = 4_000) -> np.ndarray:
     """Of the words in row i of a and b, which are padded with different values."""
     out = np.empty(len(a), np.float32)
     left, right = _powers(a.shape[1]), _powers(b.shape[1])
@@ -187,12 +187,17 @@ def _without_copies(texts: list[str], labels: list[int]) -> tuple[list[str], lis
 
 def fit(texts: list[str], labels: list[int], rounds: int = 3) -> ToxicityModel | None:
     texts, labels = _without_copies(texts, labels)
-    own = [sorted({u for t in tokens_of(x) for u in units(t)}) for x in texts]
-    stems = [{s: u for u in words for s in {u, *(u[:k] for k in STEMS)}} for words in own]  # stem -> a word that has it
+    once: dict[str, str] = {}  # texts share their words' strings
+    own = [sorted({once.setdefault(u, u) for t in tokens_of(x) for u in units(t)}) for x in texts]
     y = np.array(labels)
     if not 0 < y.sum() < len(y):
         return None
-    count = {k: Counter(u for words, lab in zip(stems, y, strict=True) if lab == k for u in words) for k in (0, 1)}
+
+    def stems_of(words: list[str]) -> dict[str, str]:
+        """Stem -> a word that has it."""
+        return {s: u for u in words for s in {u, *(u[:k] for k in STEMS)}}
+
+    count = {k: Counter(s for words, lab in zip(own, y, strict=True) if lab == k for s in stems_of(words)) for k in (0, 1)}
     n = {k: int((y == k).sum()) for k in (0, 1)}
 
     def speaks(u: str) -> float:
@@ -203,12 +208,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> ToxicityModel |
         return float(g if p > expected else -g)
 
     # greedy cover: the word that speaks most explains its texts, the next is sought in the texts that are left
-    holds: dict[str, list[int]] = {}
-    for i, words in enumerate(stems):
-        if y[i]:
-            for u in words:
-                holds.setdefault(u, []).append(i)
     open_words = {u for u, k in count[1].items() if k >= 2 and speaks(u) > SURE}
+    # stems that speak for nothing are never looked up, so only the others of labelled texts are kept
+    stems = {i: {s: u for s, u in stems_of(words).items() if s in open_words} for i, words in enumerate(own) if y[i]}
+    holds: dict[str, list[int]] = {}
+    for i, words in stems.items():
+        for u in words:
+            holds.setdefault(u, []).append(i)
     witness: dict[int, str] = {}
     speaking: list[str] = []
     plain = [u for g, u in sorted((-speaks(u), u) for u in open_words) if -g > VERY_SURE]
@@ -245,10 +251,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> ToxicityModel |
     white = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
     words = sorted({u for x in own for u in x})
     at = {u: i for i, u in enumerate(words)}
-    sim = np.concatenate([similarities(words[i : i + 20_000], landmarks) for i in range(0, len(words), 20_000)]) if words else np.zeros((0, len(landmarks)), np.float32)
+    sim = np.concatenate([similarities(words[i : i + 8_000], landmarks) for i in range(0, len(words), 8_000)]) if words else np.zeros((0, len(landmarks)), np.float32)
     places = [np.array([at[u] for u in x], int) for x in own]
     rank = np.full(len(words), -1.0)
-    sure = Counter(at[u] for i, x in enumerate(stems) if y[i] for u in {x[s] for s in plain if s in x} | ({witness[i]} if i in witness else set()))
+    sure = Counter(at[u] for i, x in stems.items() for u in {x[s] for s in plain if s in x} | ({witness[i]} if i in witness else set()))
     for _ in range(rounds):
         pos, neg = sure.copy(), Counter()
         for i, x in enumerate(places):
