@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +35,31 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps."""
-    import gc
-
     gc.collect()
     spark._jvm.System.gc()
 
 
+_remembered: dict[tuple, object] = {}
+
+
+def forget() -> None:
+    """Gives back what this Python worker remembers of earlier tasks."""
+    if _remembered:
+        _remembered.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+
+def remembered(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task: of one operator at a time, so that stages in a row don't add up."""
+    if key not in _remembered:
+        forget()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there, and lost executors don't lose it."""
     df.write.parquet(path)

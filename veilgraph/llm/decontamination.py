@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered
+
 EDIT_RATE, MIN_CHARS, BLOCK_CHARS = 0.06, 24, 16_000_000
 
 
@@ -110,9 +112,6 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
         yield block
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE, keep: list[str] | None = None) -> DataFrame:
     """Per row: id, the columns in keep, item_ids (array of long, ascending)."""
     spark, kept = docs.sparkSession, keep or []
@@ -122,10 +121,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         held, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
-            if key not in _matchers:
-                _matchers.clear()
-                _matchers[key] = Matcher(held.value, rate)
-            matcher = _matchers[key]
+            matcher = remembered(("items", key), lambda: Matcher(held.value, rate))
             for b in batches:
                 texts, before = b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_pylist()
                 found = [sorted({*x, *matcher.find(t.as_py() or "")}) for x, t in zip(before, texts, strict=True)]

@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, rows_of
+from .common import id_text, remembered, rows_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -228,13 +228,8 @@ def _replaced(raw: bytes) -> bytes:
     return "".join(parts).encode()
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def piece_model(path: str) -> PieceModel:
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    return remembered(("pieces", path), lambda: PieceModel(path))
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, id_text, remove, rows_of, shared_dir, stored
+from .common import forget, free_shuffles, id_text, remove, rows_of, shared_dir, stored
 
 SHINGLE, K = 5, 2
 BUCKET_BITS = 11
@@ -85,6 +85,7 @@ def needed(n: int) -> int:
 
 def _postings(batches: Iterator[pa.RecordBatch], block_shingles: int) -> Iterator[pa.RecordBatch]:
     """Per block of documents: its shingles by bucket, and a row (meta) with ids and set sizes."""
+    forget()
     own, part, number = Shingler(), TaskContext.get().partitionId(), 0
     ids, sets, size = [], [], 0
 
@@ -120,6 +121,7 @@ def _postings(batches: Iterator[pa.RecordBatch], block_shingles: int) -> Iterato
 
 def _shared(table: pa.Table) -> pa.Table:
     """One bucket: to each block its shingles that two or more documents hold, with their document frequency."""
+    forget()
     blocks, datas, metas = (table.column(c).to_pylist() for c in ("block", "data", "meta"))
     out: list[tuple] = [(b, None, None, m) for b, m in zip(blocks, metas, strict=True) if m is not None]
     rows = [(b, d) for b, d in zip(blocks, datas, strict=True) if d is not None]
@@ -174,6 +176,7 @@ DOC = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()),
 
 def _documents(table: pa.Table, frequent: int, most_combined: int) -> pa.Table:
     """One block: a row for each document; those that may have links get shared shingles and index keys."""
+    forget()
     blocks, buckets, datas, metas = (table.column(c).to_pylist() for c in ("block", "bucket", "data", "meta"))
     meta = next(m for m in metas if m is not None)
     count = len(meta) // 17

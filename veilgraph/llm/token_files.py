@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, rows_of, shared_dir
+from .common import id_text, remembered, rows_of, shared_dir
 
 BLOCK = 512
 #: Chunks that a worker remembers; past this number the memory starts anew.
@@ -227,9 +227,6 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
-
-
 @dataclass(frozen=True)
 class TokenSet:
     """The files of one output in ascending document order: (path, documents, ids, ids of all files before)."""
@@ -243,9 +240,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes: in
     folder = folder or shared_dir(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (key := (tokenizer_path, id_bytes)) not in _encoders:
-            _encoders[key] = ChunkEncoder(tokenizer_path, id_bytes)
-        encoder, end, out = _encoders[key], end_id.to_bytes(id_bytes, "little"), None
+        encoder = remembered(("chunks", tokenizer_path, id_bytes), lambda: ChunkEncoder(tokenizer_path, id_bytes))
+        end, out = end_id.to_bytes(id_bytes, "little"), None
         for ids, texts in rows_of(batches, 1_000_000):
             out = out or TokenFileWriter(folder, id_bytes)
             for doc_id, tokens in zip(ids, encoder.encode_batch(texts), strict=True):

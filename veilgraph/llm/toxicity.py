@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered
+
 P, DECAY = 4, np.float32(0.6)
 WINDOW, STEP = 16, 8
 LANDMARKS, MAX_TRAINING = 36, 2500
@@ -287,9 +289,6 @@ def train(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TRAINING, id_
     return fit([r.text or "" for r in rows], [r.label for r in rows]) if rows else None
 
 
-_margins: dict[str, dict[str, float]] = {}
-
-
 def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep and toxicity, a score from 0 to 1."""
     keep = docs.columns if keep is None else keep
@@ -300,9 +299,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        if key not in _margins:
-            _margins.clear()
-        known = _margins.setdefault(key, {})
+        known: dict[str, float] = remembered(("margins", key), dict)
         none = own.bias
         for b in batches:
             out = np.empty(b.num_rows)
