@@ -42,20 +42,25 @@ def free_shuffles(spark: SparkSession) -> None:
 _remembered: dict[tuple, object] = {}
 
 
+def _give_back() -> None:
+    _remembered.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def forget() -> None:
-    """Gives back what this Python worker remembers of earlier tasks."""
+    """Gives back what this Python worker remembers of earlier tasks, if anything."""
     if _remembered:
-        _remembered.clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
+        _give_back()
 
 
 def remembered(key: tuple, make: Callable):
     """What a Python worker keeps from task to task: of one operator at a time, so that stages in a row don't add up."""
     if key not in _remembered:
-        forget()
+        _give_back()
         _remembered[key] = make()
     return _remembered[key]
 
