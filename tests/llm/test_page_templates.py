@@ -22,3 +22,12 @@ def test_extract(spark):
 def test_copies_of_an_article_stay(spark):
     rows = [(i, f"http://a.org/{i}", PAGE.format(i=7)) for i in range(6)]
     assert {r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"A & B 7\nFirst one two\nSecond <x>\nitem 7"}
+
+
+DECOY = """<html><body><div id="top"><p>Welcome</p></div><article><p>Teaser of our shop, the same everywhere</p></article><div class="text"><h1>Story {i}</h1><div class="long"><p>Long text number {i} with many words to read here</p><p>{same}</p></div></div></body></html>"""
+
+
+def test_the_template_decides_on_pages_with_an_article_element(spark):
+    rows = [(i, f"http://a.org/{i}", DECOY.format(i=i, same=f"End {i}")) for i in range(6)]
+    got = {r.id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\nLong text number {i} with many words to read here\nEnd {i}" for i in range(6)}

@@ -4,13 +4,17 @@ The tokens of a page are its tags, told apart by their place in the page, and it
 occur equally often on each of its pages share an occurrence vector; it is summed as one hash a token, so vectors
 need no page to meet another in a task. Tokens of equal vectors on at least SUPPORT of the host's pages make an
 equivalence class; it is valid if its members' mean places are in order, and classes must nest: one that crosses a
-larger one is dropped. What the valid classes hold is the template, what lies between are slots. The slot (container)
-that holds most text beside the template on the host's pages is its main slot.
-
-A page's text is what stands in its article (or main element), or, where it has none, in the host's main slot,
-without the containers that by element, role or name are menus, headers, footers, sidebars, notices, adverts, forms or
-comments; outside an article text of the template is left out too, inside it nothing is, so that copies of an article
-stay whole.
+larger one is dropped. The containers of the valid classes are the template, what they hold directly or in containers
+beside the template are slots. Text nodes on SUPPORT of a host's page contents are text of the template, others are
+data; contents count once however many copies they have, and pages whose three longest text nodes agree are copies.
+The slot with most data is the host's main slot. It grows to the article or main element around it, if any, else to
+the containers around it that add more data than text of the template.
+
+A page's text is what stands in its host's main slot, without the containers that by element, role or name are menus,
+headers, footers, sidebars, notices, adverts, forms or comments. Nothing else is left out of the slot, except where it
+is the body itself: there text of the template ends a slot like its tags do. A page of a host of fewer than
+LEAST_PAGES contents, or without the main slot, has no template: its article or main element counts, or else its own
+container with most text.
 
 Defined results: null and empty pages give an empty text. A null or odd URL counts as host "". Repeated rows are
 treated one by one. Columns other than id, url and html are not read.
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,7 +64,7 @@ class Node:
     def __init__(self, name: str, attributes: str, parent: Node | None):
         found = {k.lower(): (v or "").strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
         words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-        label = name + "".join("." + w for w in sorted(found.get("class", "").split())) + ("#" + re.sub(r"\d+", "0", found["id"]) if found.get("id") else "")
+        label = name + ("".join("." + w for w in sorted(found.get("class", "").split())) + ("#" + re.sub(r"\d+", "0", found["id"]) if found.get("id") else "")).replace("/", "|")
         self.name, self.path = name, (parent.path + "/" if parent else "") + label
         role, within = found.get("role", ""), bool(parent and parent.article)
         named = bool(words & NAMES) and not (words & CONTENT and not words & {"comment", "comments", "related", "sidebar", "ad", "ads", "share", "social"})
@@ -130,44 +134,40 @@ def token_hash(text: str) -> int:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by host and token over a task's pages: pages, occurrences, vector hash, places, characters. Kind 0: the host
-    itself, 1: tag, 2: text node, 3: slot."""
+    """Sums by host and token over a task's pages: pages, vector hash, places, characters. Kind 0: the host itself, 1: tag,
+    2: text node in the container path. Kinds 0 and 2 also by the page's content."""
     task, number = TaskContext.get().partitionId(), 0
     sums: dict[tuple, list] = {}
 
     def add(key: tuple, page: int, times: int, place: float, chars: int) -> None:
-        own = sums.setdefault(key, [0, 0, 0, 0.0, 0])
+        own = sums.setdefault(key, [0, 0, 0.0, 0])
         own[0] += 1
-        own[1] += times
-        own[2] = (own[2] + xxhash.xxh64_intdigest(b"%d %d" % (page, times))) & ((1 << 62) - 1)
-        own[3] += place
-        own[4] += chars
+        own[1] = (own[1] + xxhash.xxh64_intdigest(b"%d %d" % (page, times))) & ((1 << 62) - 1)
+        own[2] += place
+        own[3] += chars
 
     def rows() -> pa.RecordBatch:
         columns = list(zip(*((*k, *v) for k, v in sums.items()), strict=True))
         kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "kind", "token", "path", "pages", "times", "vector", "place", "chars"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "kind", "token", "path", "content", "pages", "vector", "place", "chars"])
 
     for b in batches:
         for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             host, number = host_of(url), number + 1
             page_key = task << 40 | number
             texts, tags = parse(page or "")
-            add((host, 0, 0, ""), page_key, 1, 0, 0)
-            count, first, slots = Counter(t for t, _ in tags), {}, defaultdict(int)
+            count, first, seen = Counter(t for t, _ in tags), {}, Counter()
             for t, place in tags:
                 first.setdefault(t, place / max(1, len(tags)))
             for t, times in count.items():
-                add((host, 1, token_hash(t), t), page_key, times, first[t], 0)
-            seen: Counter = Counter()
+                add((host, 1, token_hash(t), t, 0), page_key, times, first[t], 0)
             for text, node, _ in texts:
-                if (x := clean(text)) and node is not None and not node.dropped:
-                    seen[token_hash(x)] += 1
-                    slots[node.path] += len(x)
-            for t, times in seen.items():
-                add((host, 2, t, ""), page_key, times, 0, 0)
-            for path, chars in slots.items():
-                add((host, 3, token_hash(path), path), page_key, 1, 0, chars)
+                if (x := clean(text)) and not (node and node.dropped):
+                    seen[x, node.path if node else ""] += 1
+            content = token_hash("\n".join(sorted({x for x, _ in seen}, key=lambda x: (-len(x), x))[:3]))
+            add((host, 0, 0, "", content), page_key, 1, 0, 0)
+            for (x, path), times in seen.items():
+                add((host, 2, token_hash(x), path, content), page_key, times, 0, times * len(x))
             if len(sums) > 100_000:
                 yield rows()
                 sums.clear()
@@ -175,41 +175,86 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def page_level(path: str) -> bool:
+    """Whether the path is of a whole page."""
+    return re.split("[.#]", path.rpartition("/")[2], maxsplit=1)[0] in ("", "html", "body")
+
+
+def main_slot(tags: list[str], slots: list[tuple[str, int, int]]) -> str | None:
+    """Path of the main slot. tags: containers of the template; slots: (path, characters of data, of text of the template)."""
+    best, data, _ = max(slots, key=lambda s: (s[1], s[0]), default=("", 0, 0))
+    if not data:
+        return None
+    parts = best.split("/")
+    ups = ["/".join(parts[:i]) for i in range(len(parts), 0, -1)]
+    for element in ("article", "main"):
+        around = [p for p in ups if re.split("[.#]", p.rpartition("/")[2], maxsplit=1)[0] == element]
+        if around:
+            return around[-1]
+    held = set(tags)
+
+    def within(p: str) -> tuple[int, int]:
+        inside = [s for s in slots if s[0] == p or s[0].startswith(p + "/")]
+        return sum(s[1] for s in inside), sum(s[2] for s in inside)
+
+    for p in ups[1:]:
+        if p in held and not page_level(p) and not page_level(best):
+            (more, fixed), (own, own_fixed) = within(p), within(best)
+            if more - own > fixed - own_fixed:
+                best = p
+    return best
+
+
+def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [main_slot(tags or [], [(s["path"], s["data"], s["fixed"]) for s in slots or []]) for tags, slots in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), b.column(3)], ["host", "main", "boilerplate"])
+
+
 def templates(pages: DataFrame, folder: str) -> DataFrame:
-    """host, main (path of the main slot), boilerplate (hashes of text nodes of the template), tags (its tag tokens)."""
-    summed = pages.mapInArrow(_tokens, "host string, kind int, token long, path string, pages long, times long, vector long, place double, chars long")
-    summed = summed.groupBy("host", "kind", "token").agg(F.max("path").alias("path"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), (F.sum(F.col("vector").cast("decimal(30,0)")) % (1 << 62)).cast("long").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"), F.sum("chars").alias("chars"))
+    """host, main (path of the main slot), boilerplate (hashes of text nodes of the template)."""
+    summed = pages.mapInArrow(_tokens, "host string, kind int, token long, path string, content long, pages long, vector long, place double, chars long")
+    summed = summed.groupBy("host", "kind", "token", "path", "content").agg(F.sum("pages").alias("pages"), (F.sum(F.col("vector").cast("decimal(30,0)")) % (1 << 62)).cast("long").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"), F.sum("chars").alias("chars"))
     summed = stored(summed, f"{folder}/tokens")
-    hosts = summed.where("kind = 0").select("host", F.col("pages").alias("total"))
-    known = summed.join(hosts, "host").where((F.col("pages") >= SUPPORT * F.col("total")) & (F.col("total") >= LEAST_PAGES))
+    hosts = summed.where("kind = 0").groupBy("host").agg(F.sum("pages").alias("total"), F.count("*").alias("contents")).where(F.col("contents") >= LEAST_PAGES)
     # equivalence classes of tags: equal vectors; order within a class by mean place, nesting by the spans
-    tags = known.where("kind = 1").groupBy("host", "vector", "pages").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("place", "path"))).alias("members"))
+    tags = summed.where("kind = 1").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("total"))
+    tags = tags.groupBy("host", "vector", "pages").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("place", "path"))).alias("members"))
     larger = Window.partitionBy("host").orderBy(F.desc("size"), "first", "vector").rowsBetween(Window.unboundedPreceding, -1)
     spans = F.collect_list(F.struct("first", "last")).over(larger)
     crosses = F.exists(spans, lambda s: ((s["first"] < F.col("first")) & (F.col("first") < s["last"]) & (s["last"] < F.col("last"))) | ((F.col("first") < s["first"]) & (s["first"] < F.col("last")) & (F.col("last") < s["last"])))
-    valid = tags.withColumn("crosses", crosses).where("NOT crosses").groupBy("host").agg(F.flatten(F.collect_list(F.transform("members", lambda m: m["path"]))).alias("tags"))
-    texts = known.where("kind = 2").groupBy("host").agg(F.collect_list("token").alias("boilerplate"))
-    # the slot's text beside template text counts; repeated nodes of the template are short, so all its characters stand in for it
-    slots = summed.where("kind = 3").groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
-    return hosts.select("host").join(slots, "host", "left").join(texts, "host", "left").join(valid, "host", "left")
+    valid = tags.withColumn("crosses", crosses).where("NOT crosses").select("host", F.explode(F.transform("members", lambda m: m["path"])).alias("up")).where("up NOT LIKE '/%'")
+    # text nodes of the template, by the contents that hold them
+    texts = summed.where("kind = 2").join(hosts, "host")
+    fixed = texts.groupBy("host", "token", "content", "contents").agg(F.lit(1).alias("one")).groupBy("host", "token", "contents").agg(F.count("*").alias("held")).where(F.col("held") >= SUPPORT * F.col("contents")).select("host", "token", F.lit(True).alias("fixed"))
+    # each container's text counts for the slot of its nearest container of the template
+    paths = texts.join(fixed, ["host", "token"], "left").groupBy("host", "path").agg(F.sum(F.when(F.col("fixed").isNull(), F.col("chars")).otherwise(0)).alias("data"), F.sum(F.when(F.col("fixed"), F.col("chars")).otherwise(0)).alias("fixed"))
+    parts = F.split("path", "/")
+    ups = paths.withColumn("up", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))).join(valid, ["host", "up"])
+    slots = ups.groupBy("host", "path", "data", "fixed").agg(F.max_by("up", F.length("up")).alias("slot")).groupBy("host", "slot").agg(F.sum("data").alias("data"), F.sum("fixed").alias("fixed"))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct(F.col("slot").alias("path"), "data", "fixed")).alias("slots"))
+    found = hosts.select("host").join(valid.groupBy("host").agg(F.collect_list("up").alias("tags")), "host", "left").join(slots, "host", "left")
+    found = found.join(fixed.groupBy("host").agg(F.collect_list("token").alias("boilerplate")), "host", "left").select("host", "tags", "slots", "boilerplate")
+    return found.mapInArrow(_main, "host string, main string, boilerplate array<long>")
 
 
 def main_text(page: str, main: str | None, boilerplate: frozenset) -> str:
     texts, _ = parse(page)
     kept = [(t, n, b) for t, n, b in texts if not (n and n.dropped)]
-    for within in ("article", "main"):
+    data = [(t, n, b) for t, n, b in kept if not boilerplate or token_hash(clean(t)) not in boilerplate]
+    if main:
+        inside = [(t, b) for t, n, b in (data if page_level(main) else kept) if n and (n.path == main or n.path.startswith(main + "/"))]
+        if any(t.strip() for t, _ in inside):
+            return joined(inside)
+    for within in ("article", "main"):  # no template for this page
         inside = [(t, b) for t, n, b in kept if n and getattr(n, within)]
         if any(t.strip() for t, _ in inside):
             return joined(inside)
-    kept = [(t, n, b) for t, n, b in kept if not boilerplate or token_hash(clean(t)) not in boilerplate]
-    inside = [(t, b) for t, n, b in kept if main and n and (n.path == main or n.path.startswith(main + "/"))]
-    if not any(t.strip() for t, _ in inside):  # a page unlike the host's others: its own largest container
-        size: Counter = Counter()
-        for t, n, _ in kept:
-            size[n.path if n else ""] += len(t.strip())
-        best = max(size, key=lambda p: (size[p], p), default="")
-        inside = [(t, b) for t, n, b in kept if (n.path if n else "") == best or (n and best and n.path.startswith(best + "/"))]
-    return joined(inside)
+    size: Counter = Counter()
+    for t, n, _ in data if any(t.strip() for t, _, _ in data) else kept:
+        size[n.path if n else ""] += len(t.strip())
+    best = max(size, key=lambda p: (size[p], p), default="")
+    return joined([(t, b) for t, n, b in kept if (n.path if n else "") == best or (n and best and n.path.startswith(best + "/"))])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
