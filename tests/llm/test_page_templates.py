@@ -31,3 +31,10 @@ def test_the_template_decides_on_pages_with_an_article_element(spark):
     rows = [(i, f"http://a.org/{i}", DECOY.format(i=i, same=f"End {i}")) for i in range(6)]
     got = {r.id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Story {i}\nLong text number {i} with many words to read here\nEnd {i}" for i in range(6)}
+
+
+def test_copies_of_a_page_without_article_stay(spark):
+    rows = [(i, f"http://a.org/{i}", PLAIN.format(i=7)) for i in range(6)] + [(10 + i, f"http://b.org/{i}", PLAIN.format(i=7 if i < 6 else i)) for i in range(10)]
+    got = {r.id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in (*range(6), *range(10, 16))} == {"Story 7\nLong text number 7 with many words to read here"}
+    assert got[18] == "Story 8\nLong text number 8 with many words to read here"
