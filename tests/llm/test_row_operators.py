@@ -131,6 +131,15 @@ def test_pseudonyms(docs_of):
     assert rows[0].text is None and rows[1].text == "" and len(rows[2].pii_spans) == 7 and rows[3].text == clean
 
 
+@pytest.mark.parametrize("kind, value", [("date", "12/31/1984"), ("date", "2024/01/02"), ("date", "1/2/2024"), ("date", "1.2.2024"), ("date", "1-2-2024"), ("date", "2020-02-29"), ("email", "a@b.org"), ("ip", "1.2.3.4"),
+    ("ssn", "123-45-6789"), ("phone", "+1 (386) 555-3733"), ("phone", "(386) 555-3733"), ("card", "4111111111111111"), ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "XX93ABCDEFGHIJKL")])
+def test_each_value_alone_in_a_text(kind, value):
+    own = pseudonyms.Pseudonyms(b"key")
+    new, spans = own.text(f"on {value} we")
+    assert spans == [(kind, 3, 3 + len(value))] and value not in new
+    assert own.text(f"on {value} we, a@b.org")[0].startswith(new)
+
+
 def test_language_model(docs_of):
     r = random.Random(3)
     texts = [None, "", " "] + [" ".join(r.choice(["the", "théa", "On", "reon", "thon", f"w{r.randrange(99)}"]) for _ in range(r.randrange(60))) for _ in range(80)]

@@ -81,7 +81,8 @@ PATTERNS = (
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?![\d]|-\d)"),
 )
 FOUND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-LIKELY = re.compile(r"@|\d[\d ().-]{5}")
+#: Found in every text that holds a value.
+LIKELY = re.compile(r"@|\d[\d ()./-]{5}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}")
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
