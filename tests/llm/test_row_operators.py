@@ -38,6 +38,20 @@ def test_decontamination(spark, docs_of):
     assert decontamination.matches(docs.limit(0), bench).count() == 0 and decontamination.matches(docs, bench.limit(0)).count() == 6
 
 
+def test_short_items_match_at_word_boundaries():
+    own = decontamination.Matcher([(1, "Who won?"), (2, "forty two"), (3, "the answer is forty"), (4, ""), (5, "e")])
+    assert own.find("so: who  WON? nobody") == [1] and own.find("forty two") == [2] and own.find("E") == [5]
+    assert own.find("fforty two, forty twos") == [] and own.find("forty twp") == [] and own.find("") == []
+    assert own.find("see: the answr is forty.") == [3] and own.find("the answer is fortyish") == [] and own.find("xthe answer is forty") == [3]
+    r = random.Random(5)
+    for _ in range(300):
+        item, text = ("".join(r.choice("ab ") for _ in range(n)).strip() for n in (r.randrange(17, 22), 40))
+        item, text = decontamination.normal(item), decontamination.normal(text[:9] + item[:8] + r.choice(["", "a", " "]) + item[8 + r.randrange(2):] + text[9:])
+        k = int(decontamination.EDIT_RATE * len(item))
+        spans = [text[a:b] for a in range(len(text)) for b in range(a + 1, len(text) + 1) if decontamination.bounded(text, a) and decontamination.bounded(text, b) and abs(b - a - len(item)) <= k]
+        assert decontamination.Matcher([(1, item)]).find(text) == [1] * any(decontamination.distance(item, x) <= k for x in spans), (item, text)
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]

@@ -8,8 +8,10 @@ white space as one space.
 The items come to the driver in blocks of at most BLOCK_CHARS characters; each block is broadcast and meets all rows
 in a pass of its own, so the benchmark may have any size.
 
-Defined results: null and empty texts, null and empty items, and items of fewer than MIN_CHARS characters match
-nothing. Repeated rows are judged one by one, equal items each by their own id. Other columns than id and text are
+Items of fewer than MIN_CHARS characters match at word boundaries alone: what they match neither begins nor ends
+inside a run of letters and digits.
+
+Defined results: null and empty texts and null and empty items match nothing. Repeated rows are judged one by one, equal items each by their own id. Other columns than id and text are
 not read.
 """
 
@@ -62,15 +64,38 @@ class Myers:
         return False
 
 
+def bounded(text: str, at: int) -> bool:
+    """Whether no word goes on across the place."""
+    return not (0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum())
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def within_words(item: str, text: str, start: int, budget: int) -> bool:
+    """Whether a part of the text from word boundary to word boundary, near start, differs from the item in budget edits."""
+    ends = [e for e in range(start + len(item) - budget, start + len(item) + budget + 1) if 0 < e <= len(text) and bounded(text, e)]
+    for a in range(max(0, start - budget), start + budget + 1) if ends else ():
+        if bounded(text, a) and any(a < e and abs(e - a - len(item)) <= budget and (text[a:e] == item or budget and distance(item, text[a:e]) <= budget) for e in ends):
+            return True
+    return False
+
+
 class Matcher:
     """All items of a block."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items, places = [], {}
+        self.items, self.min_chars, places = [], min_chars, {}
         for item_id, text in items:
-            if len(text := normal(text or "")) >= min_chars:
+            if text := normal(text or ""):
                 budget = int(rate * len(text))
                 for offset, piece in pieces(text, budget):
                     places.setdefault(piece, []).append((len(self.items), offset, len(piece)))
@@ -95,7 +120,10 @@ class Matcher:
                 if (at, start) in tried:
                     continue
                 tried.add((at, start))
-                if start >= 0 and text.startswith(item, start) or myers.within(text[max(0, start - budget) : start + len(item) + budget], budget):
+                if len(item) < self.min_chars:
+                    if within_words(item, text, start, budget):
+                        found.add(at)
+                elif start >= 0 and text.startswith(item, start) or myers.within(text[max(0, start - budget) : start + len(item) + budget], budget):
                     found.add(at)
         return sorted(self.items[at][0] for at in found)
 
