@@ -95,6 +95,16 @@ def test_toxicity(spark, docs_of):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_covers_any_number_of_unlike_insults():
+    r = random.Random(9)
+    word = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    insults = [word(8, "bcdfghjklmpquvwxyz") for _ in range(60)]
+    plain = [word(r.randrange(4, 9), "aeinorst") for _ in range(300)]
+    texts = [" ".join([r.choice(plain) for _ in range(20)] + [insults[i // 2 % 60]] * (i % 2)) for i in range(3000)]
+    model = toxicity.fit(texts, [i % 2 for i in range(3000)])
+    assert (model.score(model.margins(insults)) >= 0.7).all() and (model.score(model.margins(plain)) < 0.7).all()
+
+
 def brute_verdict(url):
     if url is None or "://" not in url:
         return "", "", None

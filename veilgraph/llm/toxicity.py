@@ -32,7 +32,10 @@ from .common import remembered
 
 P, DECAY = 4, np.float32(0.6)
 WINDOW, STEP = 16, 8
-LANDMARKS, MAX_TRAINING = 36, 2500
+#: Landmarks are all unlike words that speak for toxicity, whatever their number, and COMMON_LANDMARKS others.
+COMMON_LANDMARKS, ALIKE, MAX_TRAINING = 4, 0.9, 2500
+#: Pairs of a word and a landmark that are compared at once.
+PAIRS = 250_000
 #: Lengths of the word beginnings that count as evidence beside whole words.
 STEMS = (4, 5, 6)
 #: Likelihood-ratio statistic from which a word is taken to speak for a label at first.
@@ -103,7 +106,11 @@ def overlap(a: list[str], b: list[str]) -> np.ndarray:
 def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of each word with each landmark; pairs without P characters in common are 0 and skipped."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    if not words:
+    if not words or not landmarks:
+        return out
+    if len(words) > (most := max(1, PAIRS // len(landmarks))):
+        for s in range(0, len(words), most):
+            out[s : s + most] = similarities(words[s : s + most], landmarks)
         return out
     i, j = np.nonzero(overlap(words, landmarks) >= P)
     if not len(i):
@@ -235,14 +242,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> ToxicityModel |
     speaking = plain + [u for u in speaking if u not in set(plain)]
     common = [u for u, _ in sorted(count[0].items(), key=lambda x: (-x[1], x[0])) if count[1][u]][:100]
     landmarks: list[str] = []
-    for pool, most in ((speaking, LANDMARKS - 4), (common, LANDMARKS)):
-        pool = pool[:400]
+    for pool, more in ((speaking, len(speaking)), (common, COMMON_LANDMARKS)):
         near = similarities(pool, landmarks).max(1) if landmarks and pool else np.zeros(len(pool))
-        while pool and len(landmarks) < most:
-            rank = (1 - near) * (np.linspace(1, 0.5, len(pool)))
+        most = len(landmarks) + more
+        while len(landmarks) < most and (near <= ALIKE).any():
+            rank = np.where(near <= ALIKE, (1 - near) * np.linspace(1, 0.5, len(pool)), -1)
             best = int(rank.argmax())
-            if near[best] > 0.9:
-                break
             landmarks.append(pool[best])
             near = np.maximum(near, similarities(pool, [pool[best]])[:, 0])
             near[best] = 1
@@ -253,7 +258,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> ToxicityModel |
     white = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
     words = sorted({u for x in own for u in x})
     at = {u: i for i, u in enumerate(words)}
-    sim = np.concatenate([similarities(words[i : i + 8_000], landmarks) for i in range(0, len(words), 8_000)]) if words else np.zeros((0, len(landmarks)), np.float32)
+    sim = similarities(words, landmarks)
     places = [np.array([at[u] for u in x], int) for x in own]
     rank = np.full(len(words), -1.0)
     sure = Counter(at[u] for i, x in stems.items() for u in {x[s] for s in plain if s in x} | ({witness[i]} if i in witness else set()))
@@ -272,7 +277,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> ToxicityModel |
             return None
         both = [*pos, *neg]
         w = _svm(sim[both] @ white, np.array([1.0] * len(pos) + [-1.0] * len(neg)), np.sqrt([*pos.values(), *neg.values()]))
-        rank = (sim @ white) @ w[:-1] + w[-1]
+        rank = sim @ (white @ w[:-1]).astype(np.float32) + w[-1]
     top = np.array([rank[x].max() if len(x) else w[-1] for x in places])
     slope, shift = _platt(top, np.where(y > 0, 1, -1))
     return ToxicityModel(landmarks, (white @ w[:-1]).astype(np.float32), float(w[-1]), slope, shift)
