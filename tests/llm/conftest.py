@@ -17,15 +17,16 @@ def spark(tmp_path_factory):
     return s
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: The columns of documents, and others whose names the operators use inside.
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, `__text` string, `__id` string, item_ids string, `__items` string, toxicity string, word string, tie string, pii_spans string"
 
 
 @pytest.fixture(scope="session")
 def docs_of(spark):
-    """A documents table from texts, with ids 0.. and a column that clashes with the operators' names."""
+    """A documents table from texts, with ids 0.. and columns that clash with the operators' names."""
 
     def make(texts, ids=None):
         ids = ids or range(len(texts))
-        return spark.createDataFrame([(i, t, None, None, None) for i, t in zip(ids, texts, strict=True)], DOCS)
+        return spark.createDataFrame([(i, t, None, None, None, *["clash"] * 9) for i, t in zip(ids, texts, strict=True)], DOCS)
 
     return make

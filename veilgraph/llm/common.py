@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,17 @@ def rows_of(batches: Iterable[pa.RecordBatch], most: int = BATCH_CHARS) -> Itera
             yield ids[start:], texts[start:]
 
 
+def parts_of(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose second column, a text, has about most bytes, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def crc32_mod(column: str, n: int):
     """crc32 of the id's decimal text, modulo n; null ids count as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(0))

@@ -5,12 +5,12 @@ A file holds a contiguous range of documents in ascending id order:
     ids (2 or 4 bytes each, little-endian) | boundaries | document ids | JSON head | head length (u32) | b"VGTK"
 
 Boundaries and document ids are monotone sequences coded after Elias and Fano: the low bits of each value stand
-packed, the high bits in unary in a bit vector; one 32-bit count a block of 512 bits answers select(i), so a
-document's offset is found without a table of 64-bit offsets. Executors write the files to the shared folder under
+packed, the high bits in unary in a bit vector; one 32-bit count a block of 512 bits, stored with them, answers
+select(i) and range(i, j), so offsets are found without a table of 64-bit offsets. Executors write the files to the shared folder under
 names of their own; only files that a finished task reports belong to the set, so repeated tasks do no harm.
 
-Defined results: null and empty texts hold the end id alone. Null document ids come first, repeated ids one after
-the other. An empty table gives no file. Columns other than the id and the text are not read.
+Defined results: null and empty texts hold the end id alone. Strings of added tokens in a text get those tokens' ids,
+as the library does by default. Null document ids come first, rows of one id in order of a hash of their texts. An empty table gives no file. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,28 +22,35 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, remembered, rows_of, shared_dir
+from .common import id_text, parts_of, remembered, shared_dir
 
 BLOCK = 512
 #: Chunks that a worker remembers; past this number the memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 48
+REMEMBERED, REMEMBERED_CHARS = 400000, 48
+#: Bytes of text that are encoded at once, unless one text has more.
+BATCH_BYTES = 8_000_000
+#: Chunks that the library gets in one call.
+AT_ONCE = 16_384
 MAGIC = b"VGTK"
 
 
 class EliasFano:
     """An ascending sequence of integers >= 0 in about 2 + log2(largest / count) bits each."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray | None = None):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        counts = np.bitwise_count(np.pad(high, (0, -len(high) % (BLOCK // 8))).reshape(-1, BLOCK // 8)).sum(1)
-        self.before = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32)
+        if before is None:
+            counts = np.bitwise_count(np.pad(high, (0, -len(high) % (BLOCK // 8))).reshape(-1, BLOCK // 8)).sum(1)
+            before = np.concatenate([[0], np.cumsum(counts)]).astype("<u4")
+        self.before = before
 
     @classmethod
     def build(cls, values) -> EliasFano:
@@ -57,13 +64,14 @@ class EliasFano:
         return cls(n, low_bits, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"), np.packbits(high, bitorder="little"))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack("<QBQQQ", self.n, self.low_bits, len(self.before), len(self.low), len(self.high)) + self.before.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, low_bits, a, b = struct.unpack_from("<QBQQ", data)
-        body = np.frombuffer(data, np.uint8, a + b, 25)
-        return cls(n, low_bits, body[:a], body[a:])
+        n, low_bits, blocks, a, b = struct.unpack_from("<QBQQQ", data)
+        at = 33 + 4 * blocks
+        body = np.frombuffer(data, np.uint8, a + b, at)
+        return cls(n, low_bits, body[:a], body[a:], np.frombuffer(data, "<u4", blocks, 33))
 
     def _low(self, i: int) -> int:
         if not self.low_bits:
@@ -80,13 +88,23 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(self.high[block * size : (block + 1) * size], bitorder="little"))
         return (block * BLOCK + int(ones[i - int(self.before[block])]) - i) << self.low_bits | self._low(i)
 
-    def values(self) -> np.ndarray:
-        if not self.n:
+    def range(self, i: int, j: int) -> np.ndarray:
+        """The values i to j - 1, from the blocks that hold them alone."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
             return np.zeros(0, np.uint64)
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
+        first, last = (int(np.searchsorted(self.before, k, "right")) - 1 for k in (i, j - 1))
+        size = BLOCK // 8
+        ones = np.flatnonzero(np.unpackbits(self.high[first * size : (last + 1) * size], bitorder="little"))[i - int(self.before[first]) :][: j - i]
+        high = (ones + (first * BLOCK - i)) - np.arange(j - i)
+        at, skip = divmod(i * self.low_bits, 8)
+        bits = np.unpackbits(self.low[at : (j * self.low_bits + 7) // 8], bitorder="little")[skip : skip + (j - i) * self.low_bits].reshape(j - i, self.low_bits).astype(np.uint64)
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) + (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
+    def values(self) -> np.ndarray:
+        return self.range(0, self.n)
+
 
 def _files(uri: str):
     """A file system that driver and executors reach, and the path in it."""
@@ -105,21 +123,22 @@ class TokenFileWriter:
         self.out, self.id_bytes = self.fs.open_output_stream(path), id_bytes
         self.lengths, self.doc_ids = [], []
 
-    def append(self, doc_id: int | None, ids: bytes) -> None:
-        self.out.write(ids)
-        self.lengths.append(len(ids) // self.id_bytes)
-        self.doc_ids.append(doc_id)
+    def append(self, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Some documents: their ids one after the other, and how many each has."""
+        self.out.write(ids.tobytes())
+        self.lengths.append(lengths)
+        self.doc_ids += doc_ids
 
-    def close(self) -> tuple[str, int, int, int | None]:
+    def close(self) -> tuple[str, int, int]:
         known = np.array([x for x in self.doc_ids if x is not None], np.int64)
         base = int(known[0]) if len(known) else 0
-        ends = np.cumsum([0, *self.lengths]).astype(np.uint64)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *self.lengths]))]).astype(np.uint64)
         parts = [EliasFano.build(ends).to_bytes(), EliasFano.build((known - base).astype(np.uint64)).to_bytes()]
-        head = json.dumps({"id_bytes": self.id_bytes, "ids": int(ends[-1]), "docs": len(self.lengths), "nulls": len(self.lengths) - len(known), "first": base, "sizes": [len(x) for x in parts]}).encode()
+        head = json.dumps({"id_bytes": self.id_bytes, "ids": int(ends[-1]), "docs": len(self.doc_ids), "nulls": len(self.doc_ids) - len(known), "first": base, "sizes": [len(x) for x in parts]}).encode()
         for x in (*parts, head, struct.pack("<I", len(head)), MAGIC):
             self.out.write(x)
         self.out.close()
-        return self.path, len(self.lengths), int(ends[-1]), base if len(known) else None
+        return self.path, len(self.doc_ids), int(ends[-1])
 
 
 class TokenFile:
@@ -152,49 +171,64 @@ class TokenFile:
         a, b = self.bounds.select(i), self.bounds.select(i + 1)
         return np.frombuffer(self._read(a * self.kind.itemsize, (b - a) * self.kind.itemsize), self.kind)
 
-    def documents(self, at_once: int = 4_000_000) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(document id, offset, ids) in order; about at_once ids are in memory."""
-        ends = self.bounds.values().astype(np.int64)
-        docs = [None] * self.head["nulls"] + (self.doc_ids.values().astype(np.int64) + self.head["first"]).tolist()
-        i = 0
-        while i < len(docs):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + at_once, "right")) - 1)
-            j = min(j, len(docs))
-            data = np.frombuffer(self._read(int(ends[i]) * self.kind.itemsize, int(ends[j] - ends[i]) * self.kind.itemsize), self.kind)
-            for k in range(i, j):
-                yield docs[k], int(ends[k]), data[ends[k] - ends[i] : ends[k + 1] - ends[i]]
-            i = j
+    def documents(self, at_once: int = 4_000_000, some: int = 4096) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(document id, offset, ids) in order. The boundaries of some documents at a time are selected, and about at_once
+        ids are in memory, or one document."""
+        nulls = self.head["nulls"]
+        for s in range(0, self.head["docs"], some):
+            e = min(s + some, self.head["docs"])
+            docs = [None] * (min(e, nulls) - min(s, nulls)) + (self.doc_ids.range(max(s, nulls) - nulls, max(e, nulls) - nulls).astype(np.int64) + self.head["first"]).tolist()
+            ends = self.bounds.range(s, e + 1).astype(np.int64)
+            i = 0
+            while i < len(docs):
+                j = min(max(i + 1, int(np.searchsorted(ends, ends[i] + at_once, "right")) - 1), len(docs))
+                data = np.frombuffer(self._read(int(ends[i]) * self.kind.itemsize, int(ends[j] - ends[i]) * self.kind.itemsize), self.kind)
+                for k in range(i, j):
+                    yield docs[k], int(ends[k]), data[ends[k] - ends[i] : ends[k + 1] - ends[i]]
+                i = j
 
 
 class ChunkEncoder:
     """The tokenizers library over whole texts, each repeating chunk once.
 
     Pre-tokenisation of byte-level BPE always ends before a single space between two characters that are no white
-    space, and around a single line end between two such; so texts split there, and chunks are encoded alone.
+    space, and around a single line end between two such; so texts split there, and chunks are encoded alone. The
+    split, the distinct chunks and the ids of a batch are column operations; Python handles only chunks that are new.
+    Texts with a string of an added token, or with the separator, go to the library whole.
     """
 
+    #: Letters that every Unicode version calls letters; a run of them after an optional space is one pre-token.
+    WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+    MARKS = ".,;:!?"
+    SEPARATOR = "\0"
+
     def __init__(self, path: str, id_bytes: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.dtype(f"<u{id_bytes}")
-        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.seen: dict[str, bytes] = {}
-
-    def _library(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _lines(self, chunks: list[str]) -> list[bytes]:
-        """Clean chunks without line ends, many to a text with one chunk a line: fewer calls, and a line end is one id of its own."""
-        end = self.kind.type(self.line_end)
-        texts = ["\n".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)]
-        out: list[bytes] = []
-        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, self.kind)
-            data, size = ids.tobytes(), self.kind.itemsize
-            cuts = (np.flatnonzero(ids == end) * size).tolist()
-            out += [data[a:b] for a, b in zip([0, *(c + size for c in cuts)], [*cuts, len(data)], strict=True)]
+        (self.line_end,) = self._alone(["\n"])[0].tolist()
+        self.marks = {m: self._alone([m])[0] for m in self.MARKS}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _alone(self, chunks: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for i in range(0, len(chunks), AT_ONCE) for e in self.library.encode_batch_fast(chunks[i : i + AT_ONCE], add_special_tokens=False)]
+
+    def _lines(self, library, chunks: list[str]) -> list[np.ndarray]:
+        """Chunks without line ends, many to a text with one chunk a line: fewer calls, and a line end is one id of its own."""
+        out: list[np.ndarray] = []
+        for s in range(0, len(chunks), AT_ONCE):  # what the library returns takes far more memory than the ids
+            for e in library.encode_batch_fast(["\n".join(chunks[i : i + 256]) for i in range(s, min(len(chunks), s + AT_ONCE), 256)], add_special_tokens=False):
+                ids = np.array(e.ids, self.kind)
+                cuts = np.flatnonzero(ids == self.line_end).tolist()
+                out += [ids[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
         return out
 
     @staticmethod
@@ -202,29 +236,83 @@ class ChunkEncoder:
         core = chunk[1:] if chunk[:1] == " " else chunk
         return chunk == "\n" or core != "" and not core[0].isspace() and not core[-1].isspace()
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        seen = self.seen
-        split = [x.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in x else [x, ""] for x in texts]
-        new = set(chain.from_iterable(split)).difference(seen)
-        odd = {c for c in new if not self._clean(c)}
-        if odd:
-            for i, chunks in enumerate(split):
-                if not odd.isdisjoint(chunks):
-                    split[i] = re.split(r"(?<=\S)(?= \S)", texts[i]) if texts[i] else []
-            new = set(chain.from_iterable(split)).difference(seen)
-        alone = [c for c in new if c in odd or "\n" in c or not self._clean(c)] if odd else [c for c in new if c == "\n"]
-        plain = list(new.difference(alone))
-        seen.update(zip(plain, self._lines(plain), strict=True) if plain else ())
-        seen.update(zip(alone, self._library(alone), strict=True) if alone else ())
-        out = [b"".join(map(seen.__getitem__, chunks)) for chunks in split]
+    def _remember(self, chunks: list[str], found: list[np.ndarray]) -> None:
+        n, sizes = len(self.slots), np.fromiter(map(len, found), np.int64, len(found))
+        self.slots.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.starts, self.sizes, self.ids = (_room(x, m) for x, m in ((self.starts, n + len(chunks)), (self.sizes, n + len(chunks)), (self.ids, self.used + int(sizes.sum()))))
+        self.sizes[n : n + len(chunks)] = sizes
+        self.starts[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
+        if found:
+            self.ids[self.used : self.used + int(sizes.sum())] = np.concatenate(found)
+        self.used += int(sizes.sum())
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes clean chunks and remembers them."""
+        plain, marked, alone, others = [], [], [], []
         for c in new:
-            if len(c) > REMEMBERED_CHARS:
-                del seen[c]
-        for c in alone:
-            seen.pop(c, None)
-        return out
+            if self.WORD.fullmatch(c):
+                plain.append(c)
+            elif c[-1] in self.marks and self.WORD.fullmatch(c, 0, len(c) - 1):
+                marked.append(c)
+            else:
+                (alone if "\n" in c else others).append(c)
+        own = set(plain)
+        plain += [w for w in {c[:-1] for c in marked} if w not in own and w not in self.slots]
+        for chunks, found in ((plain, lambda x: self._lines(self.words, x)), (others, lambda x: self._lines(self.library, x)), (alone, self._alone)):
+            if chunks:
+                self._remember(chunks, found(chunks))
+        if marked:
+            at = [self.slots[c[:-1]] for c in marked]
+            self._remember(marked, [np.concatenate([self.ids[self.starts[k] : self.starts[k] + self.sizes[k]], self.marks[c[-1]]]) for c, k in zip(marked, at, strict=True)])
+
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[slots]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[slots] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _odd(self, text: str) -> np.ndarray:
+        """A text with other white space: the library sees what lies between single spaces."""
+        chunks = re.split(r"(?<=\S)(?= \S)", text)
+        clean = [c for c in chunks if self._clean(c) and len(c) <= REMEMBERED_CHARS]
+        self._learn([c for c in dict.fromkeys(clean) if c not in self.slots])
+        rest = list({c for c in chunks if c not in self.slots})
+        own = dict(zip(rest, self._alone(rest), strict=True)) if rest else {}
+        return np.concatenate([own[c] if c in own else self.ids[self.starts[(k := self.slots[c])] : self.starts[k] + self.sizes[k]] for c in chunks])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and their number in each text. Texts are not null."""
+        if len(self.slots) >= REMEMBERED:
+            self._clear()
+        whole = pc.match_substring(texts, self.SEPARATOR)
+        for content in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, content))
+        split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 "), self.SEPARATOR)
+        bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        flat = split.flatten().dictionary_encode()
+        chunks = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = list(map(self.slots.get, chunks, repeat(-1)))
+        if -1 in at:
+            self._learn([c for c, k in zip(chunks, at, strict=True) if k < 0 and len(c) <= REMEMBERED_CHARS and self._clean(c)])
+            at = list(map(self.slots.get, chunks, repeat(-1)))
+        slots = np.array(at, np.int64)[flat.indices.to_numpy()]
+        # long chunks are not remembered; a text that holds one is put together by itself
+        inside = np.concatenate([[0], np.cumsum(slots < 0)])
+        alone = np.flatnonzero((inside[bounds[1:]] > inside[bounds[:-1]]) | whole.to_numpy(zero_copy_only=False)).tolist()
+        sizes = self.sizes[np.maximum(slots, 0)] * (slots >= 0)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        lengths = upto[bounds[1:]] - upto[bounds[:-1]]
+        parts, at, is_whole = [], 0, whole.to_pylist() if alone else []
+        for i in alone:
+            text = texts[i].as_py()
+            own = self._alone([text])[0] if is_whole[i] else self._odd(text) if text else np.zeros(0, self.kind)
+            parts += [self._gather(slots[at : bounds[i]]), own]
+            at, lengths[i] = bounds[i + 1], len(own)
+        parts.append(self._gather(slots[at:]))
+        return np.concatenate(parts), lengths
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
 @dataclass(frozen=True)
@@ -241,20 +329,23 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = remembered(("chunks", tokenizer_path, id_bytes), lambda: ChunkEncoder(tokenizer_path, id_bytes))
-        end, out = end_id.to_bytes(id_bytes, "little"), None
-        for ids, texts in rows_of(batches, 1_000_000):
-            out = out or TokenFileWriter(folder, id_bytes)
-            for doc_id, tokens in zip(ids, encoder.encode_batch(texts), strict=True):
-                out.append(doc_id, tokens + end)
+        out, first = None, None
+        for batch in parts_of(batches, BATCH_BYTES):
+            doc_ids = batch.column(0).to_pylist()
+            if not out:
+                out, first = TokenFileWriter(folder, id_bytes), (doc_ids[0], batch.column(2)[0].as_py())
+            ids, lengths = encoder.encode(batch.column(1))
+            out.append(doc_ids, lengths + 1, np.insert(ids, np.cumsum(lengths), end_id))
+            pa.default_memory_pool().release_unused()
         if out:
-            path, n, total, first = out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "docs": pa.array([n], pa.int64()), "ids": pa.array([total], pa.int64()), "first": pa.array([first], pa.int64())})
+            path, n, total = out.close()
+            yield pa.RecordBatch.from_pydict({"path": [path], "docs": pa.array([n], pa.int64()), "ids": pa.array([total], pa.int64()), "first": pa.array([first[0]], pa.int64()), "tie": pa.array([first[1]], pa.int64())})
 
-    # ordered before the encoder runs: the job that samples the bounds then reads ids only
-    ordered = id_text(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id")
-    rows = ordered.mapInArrow(run, "path string, docs long, ids long, first long").collect()
+    # ordered before the encoder runs; a hash of the text parts rows of one id, however many, and orders them
+    ordered = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
+    rows = ordered.mapInArrow(run, "path string, docs long, ids long, first long, tie long").collect()
     files, start = [], 0
-    for r in sorted(rows, key=lambda r: (r.first is not None, r.first)):
+    for r in sorted(rows, key=lambda r: (r.first is not None, r.first or 0, r.tie)):
         files.append((r.path, r.docs, r.ids, start))
         start += r.ids
     return TokenSet(folder, tuple(files))
