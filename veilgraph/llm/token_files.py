@@ -22,7 +22,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +32,13 @@ from pyspark.sql import functions as F
 from .common import id_text, parts_of, remembered, shared_dir
 
 BLOCK = 512
-#: Chunks that a worker remembers; past this number the memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 400000, 48
+#: Chunks that a worker remembers, and their bytes; past either the memory starts anew.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 64_000_000
 #: Bytes of text that are encoded at once, unless one text has more.
 BATCH_BYTES = 8_000_000
 #: Chunks that the library gets in one call.
 AT_ONCE = 16_384
+SEPARATOR = "\0"
 MAGIC = b"VGTK"
 
 
@@ -192,127 +192,126 @@ class ChunkEncoder:
     """The tokenizers library over whole texts, each repeating chunk once.
 
     Pre-tokenisation of byte-level BPE always ends before a single space between two characters that are no white
-    space, and around a single line end between two such; so texts split there, and chunks are encoded alone. The
-    split, the distinct chunks and the ids of a batch are column operations; Python handles only chunks that are new.
-    Texts with a string of an added token, or with the separator, go to the library whole.
+    space, around a single line end between two such, and between a letter and a mark; so texts split there, and chunks
+    are encoded alone. The split, the distinct chunks, the memory of chunks and the ids of a batch are column operations.
+    A text with other white space is split at single spaces alone. Texts with a string of an added token, or with the
+    separator, go to the library whole.
     """
 
-    #: Letters that every Unicode version calls letters; a run of them after an optional space is one pre-token.
-    WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
-    MARKS = ".,;:!?"
-    SEPARATOR = "\0"
+    #: Letters that every Unicode version calls letters, and marks of ASCII.
+    LETTER, MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-/:-@\[-`{-~]"
 
     def __init__(self, path: str, id_bytes: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # a run of letters after an optional space is one pre-token: no need to look for others
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.dtype(f"<u{id_bytes}")
         (self.line_end,) = self._alone(["\n"])[0].tolist()
-        self.marks = {m: self._alone([m])[0] for m in self.MARKS}
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        """The memory: chunks, and of each the place and number of its ids."""
+        self.chunks = pa.array([], pa.string())
+        self.ids, self.starts, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _alone(self, chunks: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for i in range(0, len(chunks), AT_ONCE) for e in self.library.encode_batch_fast(chunks[i : i + AT_ONCE], add_special_tokens=False)]
 
-    def _lines(self, library, chunks: list[str]) -> list[np.ndarray]:
-        """Chunks without line ends, many to a text with one chunk a line: fewer calls, and a line end is one id of its own."""
-        out: list[np.ndarray] = []
-        for s in range(0, len(chunks), AT_ONCE):  # what the library returns takes far more memory than the ids
-            for e in library.encode_batch_fast(["\n".join(chunks[i : i + 256]) for i in range(s, min(len(chunks), s + AT_ONCE), 256)], add_special_tokens=False):
-                ids = np.array(e.ids, self.kind)
-                cuts = np.flatnonzero(ids == self.line_end).tolist()
-                out += [ids[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
-        return out
-
-    @staticmethod
-    def _clean(chunk: str) -> bool:
-        core = chunk[1:] if chunk[:1] == " " else chunk
-        return chunk == "\n" or core != "" and not core[0].isspace() and not core[-1].isspace()
-
-    def _remember(self, chunks: list[str], found: list[np.ndarray]) -> None:
-        n, sizes = len(self.slots), np.fromiter(map(len, found), np.int64, len(found))
-        self.slots.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-        self.starts, self.sizes, self.ids = (_room(x, m) for x, m in ((self.starts, n + len(chunks)), (self.sizes, n + len(chunks)), (self.ids, self.used + int(sizes.sum()))))
-        self.sizes[n : n + len(chunks)] = sizes
-        self.starts[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        if found:
-            self.ids[self.used : self.used + int(sizes.sum())] = np.concatenate(found)
-        self.used += int(sizes.sum())
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes clean chunks and remembers them."""
-        plain, marked, alone, others = [], [], [], []
-        for c in new:
-            if self.WORD.fullmatch(c):
-                plain.append(c)
-            elif c[-1] in self.marks and self.WORD.fullmatch(c, 0, len(c) - 1):
-                marked.append(c)
-            else:
-                (alone if "\n" in c else others).append(c)
-        own = set(plain)
-        plain += [w for w in {c[:-1] for c in marked} if w not in own and w not in self.slots]
-        for chunks, found in ((plain, lambda x: self._lines(self.words, x)), (others, lambda x: self._lines(self.library, x)), (alone, self._alone)):
-            if chunks:
-                self._remember(chunks, found(chunks))
-        if marked:
-            at = [self.slots[c[:-1]] for c in marked]
-            self._remember(marked, [np.concatenate([self.ids[self.starts[k] : self.starts[k] + self.sizes[k]], self.marks[c[-1]]]) for c, k in zip(marked, at, strict=True)])
+    def _lines(self, library, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their number in each chunk. Chunks without line ends go to the library many to a text with one chunk a
+        line: fewer calls, and a line end is one id of its own."""
+        n = len(chunks)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array([*range(0, n, 256), n], pa.int32()), chunks), "\n")
+        found, ends = [np.zeros(0, self.kind)], []
+        for s in range(0, len(texts), AT_ONCE // 256):  # what the library returns takes far more memory than the ids
+            for e in library.encode_batch_fast(texts[s : s + AT_ONCE // 256].to_pylist(), add_special_tokens=False):
+                found.append(np.array([*e.ids, self.line_end], self.kind))
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(ids == self.line_end)
+        return ids[ids != self.line_end], np.diff(ends, prepend=-1) - 1
+
+    def _remember(self, chunks: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.chunks = pa.concat_arrays([self.chunks, chunks])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+    def _learn(self, new: pa.Array) -> None:
+        plain = pc.match_substring_regex(new, f"^ ?{self.LETTER}+$")
+        chunks = new.filter(plain)
+        self._remember(chunks, *self._lines(self.words, chunks))
+        rest = new.filter(pc.invert(plain))
+        alone = pa.array(["\n" in c or not _clean(c) for c in rest.to_pylist()], pa.bool_())
+        chunks = rest.filter(pc.invert(alone))
+        self._remember(chunks, *self._lines(self.library, chunks))
+        chunks = rest.filter(alone)
+        found = self._alone(chunks.to_pylist())
+        self._remember(chunks, np.concatenate([np.zeros(0, self.kind), *found]), np.array([len(x) for x in found], np.int64))
+
+    def _slots(self, chunks: pa.Array, all_of_them: bool) -> np.ndarray:
+        """Places in the memory; -1 for chunks that can't be encoded alone, unless all of them can."""
+        own = chunks.dictionary_encode()
+        words = own.dictionary
+        at = pc.index_in(words, value_set=self.chunks)
+        new = words.filter(pc.is_null(at))
+        if len(new):
+            if not all_of_them:
+                plain = pc.match_substring_regex(new, f"^( ?{self.LETTER}+|{self.MARK}+)$").to_numpy(zero_copy_only=False)
+                plain[~plain] = [_clean(c) for c in new.filter(pa.array(~plain)).to_pylist()]
+                new = new.filter(pa.array(plain))
+            self._learn(new)
+            at = pc.index_in(words, value_set=self.chunks)
+        return pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)[own.indices.to_numpy()]
 
     def _gather(self, slots: np.ndarray) -> np.ndarray:
         sizes = self.sizes[slots]
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(self.starts[slots] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
-    def _odd(self, text: str) -> np.ndarray:
-        """A text with other white space: the library sees what lies between single spaces."""
-        chunks = re.split(r"(?<=\S)(?= \S)", text)
-        clean = [c for c in chunks if self._clean(c) and len(c) <= REMEMBERED_CHARS]
-        self._learn([c for c in dict.fromkeys(clean) if c not in self.slots])
-        rest = list({c for c in chunks if c not in self.slots})
-        own = dict(zip(rest, self._alone(rest), strict=True)) if rest else {}
-        return np.concatenate([own[c] if c in own else self.ids[self.starts[(k := self.slots[c])] : self.starts[k] + self.sizes[k]] for c in chunks])
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and their number in each text. Texts are not null."""
-        if len(self.slots) >= REMEMBERED:
+        if len(self.chunks) >= REMEMBERED or self.chunks.nbytes + self.ids.nbytes >= REMEMBERED_BYTES:
             self._clear()
-        whole = pc.match_substring(texts, self.SEPARATOR)
+        whole = pc.match_substring(texts, SEPARATOR)
         for content in self.added:
             whole = pc.or_(whole, pc.match_substring(texts, content))
-        split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 "), self.SEPARATOR)
+        whole = whole.to_numpy(zero_copy_only=False)
+        cut = texts
+        for old, put in (("\n", "\0\n\0"), (" ", "\0 ")):
+            cut = pc.replace_substring(cut, old, put)
+        cut = pc.replace_substring_regex(cut, f"({self.LETTER})({self.MARK})", "\\1\0\\2")
+        split = pc.split_pattern(cut, SEPARATOR)
+        del cut
         bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-        flat = split.flatten().dictionary_encode()
-        chunks = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = list(map(self.slots.get, chunks, repeat(-1)))
-        if -1 in at:
-            self._learn([c for c, k in zip(chunks, at, strict=True) if k < 0 and len(c) <= REMEMBERED_CHARS and self._clean(c)])
-            at = list(map(self.slots.get, chunks, repeat(-1)))
-        slots = np.array(at, np.int64)[flat.indices.to_numpy()]
-        # long chunks are not remembered; a text that holds one is put together by itself
+        slots = self._slots(split.flatten(), False)
+        del split
         inside = np.concatenate([[0], np.cumsum(slots < 0)])
-        alone = np.flatnonzero((inside[bounds[1:]] > inside[bounds[:-1]]) | whole.to_numpy(zero_copy_only=False)).tolist()
-        sizes = self.sizes[np.maximum(slots, 0)] * (slots >= 0)
+        apart = (inside[bounds[1:]] > inside[bounds[:-1]]) | whole
+        sizes = self.sizes[np.maximum(slots, 0)] * (slots >= 0) if len(slots) else slots
         upto = np.concatenate([[0], np.cumsum(sizes)])
         lengths = upto[bounds[1:]] - upto[bounds[:-1]]
-        parts, at, is_whole = [], 0, whole.to_pylist() if alone else []
-        for i in alone:
-            text = texts[i].as_py()
-            own = self._alone([text])[0] if is_whole[i] else self._odd(text) if text else np.zeros(0, self.kind)
-            parts += [self._gather(slots[at : bounds[i]]), own]
-            at, lengths[i] = bounds[i + 1], len(own)
-        parts.append(self._gather(slots[at:]))
-        return np.concatenate(parts), lengths
-
-
-def _room(x: np.ndarray, n: int) -> np.ndarray:
-    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+        if not apart.any():
+            return self._gather(slots), lengths
+        own = self._apart(texts.filter(pa.array(apart)).to_pylist(), whole[apart].tolist())
+        parts, at = [], 0
+        for i, found in zip(np.flatnonzero(apart).tolist(), own, strict=True):
+            parts += [self._gather(slots[at : bounds[i]]), found]
+            at, lengths[i] = bounds[i + 1], len(found)
+        return np.concatenate([*parts, self._gather(slots[at:])]), lengths
+
+    def _apart(self, texts: list[str], whole: list[bool]) -> list[np.ndarray]:
+        """Texts that the common split doesn't fit."""
+        pieces = [re.split(r"(?<=\S)(?= \S)", t) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
+        slots = self._slots(pa.array([c for x in pieces for c in x], pa.string()), True)
+        ends = np.cumsum([len(x) for x in pieces])
+        return [self._alone([t])[0] if w else self._gather(slots[e - len(x) : e]) for t, w, x, e in zip(texts, whole, pieces, ends.tolist(), strict=True)]
+
+
+def _clean(chunk: str) -> bool:
+    core = chunk[1:] if chunk[:1] == " " else chunk
+    return chunk == "\n" or core != "" and not core[0].isspace() and not core[-1].isspace()
 
 
 @dataclass(frozen=True)
