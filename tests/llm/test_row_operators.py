@@ -91,8 +91,8 @@ def test_toxicity(spark, docs_of):
     docs = docs_of(["you moron there", "you mor-on there", "you m o r o n there", "you moxron there", "the other reinon", "", None])
     got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
     assert min(got[0], got[1], got[2]) >= 0.7 and got[3] > got[4] and max(got[4], got[5], got[6]) < 0.7
-    assert toxicity.fit(texts, [0] * 400) is None and toxicity.score(docs, None).select("toxicity").distinct().count() == 1
-    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.fit(texts, [0] * 400) is None and toxicity.score(docs, None, keep=["doc_id"]).select("toxicity").distinct().count() == 1
+    assert toxicity.score(docs.limit(0), model, keep=["doc_id"]).count() == 0
 
 
 def test_toxicity_covers_any_number_of_unlike_insults():
@@ -102,7 +102,8 @@ def test_toxicity_covers_any_number_of_unlike_insults():
     plain = [word(r.randrange(4, 9), "aeinorst") for _ in range(300)]
     texts = [" ".join([r.choice(plain) for _ in range(20)] + [insults[i // 2 % 60]] * (i % 2)) for i in range(3000)]
     model = toxicity.fit(texts, [i % 2 for i in range(3000)])
-    assert (model.score(model.margins(insults)) >= 0.7).all() and (model.score(model.margins(plain)) < 0.7).all()
+    in_text = lambda words: model.score(np.clip(model.margins(words), 0, 1), [21] * len(words))
+    assert (in_text(insults) >= 0.7).all() and (in_text(plain) < 0.7).all()
 
 
 def brute_verdict(url):

@@ -100,10 +100,18 @@ def rows_of(batches: Iterable[pa.RecordBatch], most: int = BATCH_CHARS) -> Itera
             yield ids[start:], texts[start:]
 
 
-def parts_of(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of batches whose second column, a text, has about most bytes, or one row."""
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """A column name that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def parts_of(batches: Iterable[pa.RecordBatch], most: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose texts, in the given column, have about most bytes, or one row."""
     for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
