@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm import decontamination, pseudonyms, sentence_pieces, shingle_join, toxicity
-from veilgraph.llm.common import documents
+from veilgraph.llm.common import documents, fresh
 from veilgraph.llm.queries import DEMO_KEY, toxicity_model
 
 #: Ids of removed copies up to which they are broadcast (8 bytes each); more are joined by shuffle.
@@ -17,8 +17,9 @@ BROADCAST_IDS = 2_000_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.7; null texts score low and stay."""
-    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
-    return scored.where("toxicity < 0.7").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = fresh("toxicity", docs.columns)
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), out_col=mark)
+    return scored.where(F.col(f"`{mark}`") < 0.7).drop(mark)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
