@@ -3,7 +3,8 @@
 Values are found by pattern and validated (Luhn, mod 97, calendar, numbering plans); each is mapped to a number below
 the size of its format, permuted by a keyed Feistel network with cycle walking, and written back in the same format.
 The permutation depends on key and format alone, so equal values get equal pseudonyms in all documents, and different
-values different ones. Check digits are computed anew, so a pseudonym is valid like its value.
+values different ones. Check digits are computed anew and numbers stay within their plan, so a pseudonym is valid like
+its value; dates keep their order, mark and width. The key is the caller's: who has it can turn pseudonyms back.
 
 Defined results: null texts stay null, texts without such values are unchanged to the letter. Repeated rows are
 treated one by one. Columns that are to stay are named; others are not read.
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import fresh
+
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
@@ -86,6 +89,11 @@ LIKELY = re.compile(r"@|\d[\d ()./-]{5}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}")
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def country_code(head: str) -> bool:
+    """Whether the North American plan holds."""
+    return head in ("", "1")
+
+
 class Pseudonyms:
     def __init__(self, key: bytes):
         self.key, self.known, self.cache = key, {}, {}
@@ -146,13 +154,21 @@ class Pseudonyms:
         country = re.match(r"\+(\d{1,3})(?=\D)", v)
         head = len(country[1]) if country else 2 * (v[0] == "+")
         own = d[head:]
+        american = len(own) == 10 and country_code(d[:head]) and own[0] not in "01" and own[3] not in "01"
         if v[0] == "+":
             if not 8 <= len(d) <= 15:
                 return None
-        elif len(own) != 10 or own[0] in "01" or own[3] in "01" or not re.search(r"\D", v):
+        elif not american or not re.search(r"\D", v):
             return None  # without a country code only what the North American plan allows
-        out = self._mixed("phone" if len(own) == 10 else f"phone{d[:head]}", [int(c) for c in own], [10] * len(own))
-        return self._fill(v, d[:head] + "".join(map(str, out)))
+        if american:
+            lead = (0, 3)
+            out = self._mixed("phone", [int(c) - 2 * (i in lead) for i, c in enumerate(own)], [8 if i in lead else 10 for i in range(10)])
+            return self._fill(v, d[:head] + "".join(str(x + 2 * (i in lead)) for i, x in enumerate(out)))
+        out = [int(c) for c in own]
+        while True:  # numbers outside the plan stay outside
+            out = self._mixed(f"phone{d[:head]}", out, [10] * len(own))
+            if not (len(own) == 10 and country_code(d[:head]) and out[0] > 1 and out[3] > 1):
+                return self._fill(v, d[:head] + "".join(map(str, out)))
 
     def iban(self, v: str) -> str | None:
         plain = v.replace(" ", "")
@@ -166,6 +182,7 @@ class Pseudonyms:
     def date(self, v: str) -> str | None:
         a, b, c = map(int, re.split(r"\D", v))
         mark = re.search(r"\D", v)[0]
+        pad = 1 if re.search(r"(?<!\d)\d(?!\d)", v) else 2  # as wide as they were written
         big = a > 31
         orders = [(a, b, c)] if big else [(c, b, a), (c, a, b)] if mark != "/" else [(c, a, b), (c, b, a)]
         for i, (y, m, d) in enumerate(orders):
@@ -180,7 +197,7 @@ class Pseudonyms:
                 return f"{n.year}{mark}{n.month:02}{mark}{n.day:02}"
             month_first = (mark == "/") != bool(i)
             x, y = (n.month, n.day) if month_first else (n.day, n.month)
-            return f"{x:02}{mark}{y:02}{mark}{n.year}"
+            return f"{x:0{pad}}{mark}{y:0{pad}}{mark}{n.year}"
         return None
 
     def value(self, kind: str, v: str) -> str | None:
@@ -199,7 +216,7 @@ class Pseudonyms:
         while m := FOUND.search(text, at):
             kind, at = m.lastgroup, m.end()
             new = self.value(kind, m[0])
-            if new is None and kind == "card":  # shorter runs of its digits may be a number of their own
+            if new is None and kind in ("card", "phone"):  # shorter runs of its digits may be a number of their own
                 for end in range(m.end() - 1, m.start() + 7, -1):
                     part = text[m.start() : end]
                     if part[-1].isdigit() and not text[end].isdigit():
@@ -208,8 +225,7 @@ class Pseudonyms:
                             at = end
                             break
                 else:
-                    rest = re.compile(r"\d+").match(text, m.start())
-                    at = rest.end()
+                    at = re.compile(r"\d+|.", re.S).match(text, m.start()).end()
             elif new is None:
                 at = re.compile(r"[A-Za-z0-9]+|.", re.S).match(text, m.start()).end()
             if new is not None:
@@ -219,10 +235,12 @@ class Pseudonyms:
         return "".join([*out, text[done:]]) if out else text, spans
 
 
-def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
-    """The columns in keep (all others by default), the text with pseudonyms and, if asked for, pii_spans: array of (kind, start, end)."""
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", keep: list[str] | None = None, spans: bool = True, spans_col: str = "pii_spans") -> DataFrame:
+    """The columns in keep (all others by default), the text with pseudonyms and, if asked for, spans_col: array of (kind, start, end)."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    own_text = fresh("text", keep)
+    own_spans = fresh("spans", [*keep, own_text])
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(own_text))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +248,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", keep: list
         for b in batches:
             pairs = [(None, []) if t is None else own.text(t) for t in b.column(b.num_columns - 1).to_pylist()]
             found = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for _, x in pairs], kind)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([t for t, _ in pairs], pa.string()), *[found] * spans], names=[*b.schema.names, *["__spans"] * spans])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([t for t, _ in pairs], pa.string()), *[found] * spans], names=[*b.schema.names, *[own_spans] * spans])
 
-    schema = StructType([*rows.schema, *StructType.fromDDL("__spans array<struct<kind:string,start:int,end:int>>")]) if spans else rows.schema
+    schema = StructType([*rows.schema, *StructType.fromDDL(f"{own_spans} array<struct<kind:string,start:int,end:int>>")]) if spans else rows.schema
     out = rows.mapInArrow(run, schema)
-    order = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c == text_col or c in keep]
-    return out.select(*order, *([F.col("__spans").alias("pii_spans")] if spans else []))
+    order = [F.col(f"`{own_text}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c == text_col or c in keep]
+    return out.select(*order, *([F.col(f"`{own_spans}`").alias(spans_col)] if spans else []))

@@ -25,7 +25,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(pages(spark, sf_dir), url_filter.standard_entries(spark)).withColumnRenamed("id", "page_id")
+    return url_filter.judge_urls(pages(spark, sf_dir), url_filter.standard_entries(spark, spark.conf.get("spark.veilgraph.url.list", None))).withColumnRenamed("id", "page_id")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +44,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
-#: A fixed key, so that results can be compared; a release passes a secret of its own.
+#: For tests and comparisons alone: everybody has it, so that its pseudonyms hide nothing.
 DEMO_KEY = b"veilgraph demonstration key"
 
 
+def release_key(spark: SparkSession) -> bytes:
+    """The key of the session, spark.veilgraph.pseudonym.key; the demonstration key where it is unset."""
+    return (spark.conf.get("spark.veilgraph.pseudonym.key", None) or DEMO_KEY.decode()).encode()[:64]
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonyms.pseudonymise(documents(spark, sf_dir), DEMO_KEY, keep=["doc_id"])
+    out = pseudonyms.pseudonymise(documents(spark, sf_dir), release_key(spark), keep=["doc_id"])
     return out.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_pii"), F.transform("pii_spans", lambda x: x["kind"]).alias("kinds"))
 
 
