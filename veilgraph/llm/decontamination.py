@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remembered
+from .common import fresh, remembered
 
 EDIT_RATE, MIN_CHARS, BLOCK_CHARS = 0.06, 24, 16_000_000
 
@@ -110,21 +110,34 @@ class Matcher:
         """Ids of the items that the text holds, ascending."""
         if not self.automaton or not text:
             return []
-        text, found, tried = normal(text), set(), set()
+        text, found, starts = normal(text), set(), {}
         for end, hits in self.automaton.iter(text):
             for at, offset, size in hits:
-                if at in found:
-                    continue
-                start = end + 1 - size - offset
-                _, item, budget, myers = self.items[at]
-                if (at, start) in tried:
-                    continue
-                tried.add((at, start))
-                if len(item) < self.min_chars:
-                    if within_words(item, text, start, budget):
+                if at not in found:
+                    start = end + 1 - size - offset
+                    if start >= 0 and len(self.items[at][1]) >= self.min_chars and text.startswith(self.items[at][1], start):
                         found.add(at)
-                elif start >= 0 and text.startswith(item, start) or myers.within(text[max(0, start - budget) : start + len(item) + budget], budget):
+                    else:
+                        starts.setdefault(at, set()).add(start)
+        for at, places in starts.items():
+            if at in found:
+                continue
+            _, item, budget, myers = self.items[at]
+            if len(item) < self.min_chars:
+                if any(within_words(item, text, start, budget) for start in places):
+                    found.add(at)
+                continue
+            # windows that overlap are read once, however often a piece repeats
+            low = high = None
+            for start in [*sorted(places), None]:
+                if start is not None and low is not None and start - budget <= high:
+                    high = start + len(item) + budget
+                    continue
+                if low is not None and myers.within(text[low:high], budget):
                     found.add(at)
+                    break
+                if start is not None:
+                    low, high = max(0, start - budget), start + len(item) + budget
         return sorted(self.items[at][0] for at in found)
 
 
@@ -140,11 +153,12 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE, keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, the columns in keep, item_ids (array of long, ascending)."""
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE, keep: list[str] | None = None, out_id: str = "id", out_col: str = "item_ids") -> DataFrame:
+    """Per row: out_id, the columns in keep, out_col (ids of items, array of long, ascending)."""
     spark, kept = docs.sparkSession, keep or []
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    rows = rows.withColumn("__items", F.array().cast("array<long>"))
+    own_id, own_text, own_items = fresh("own_id", kept), fresh("own_text", kept), fresh("own_items", kept)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{id_col}`").cast("long").alias(own_id), F.col(f"`{text_col}`").cast("string").alias(own_text))
+    rows = rows.withColumn(own_items, F.array().cast("array<long>"))
     for block in blocks(benchmark, item_id, item_text):
         held, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
@@ -156,4 +170,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=b.schema.names)
 
         rows = rows.mapInArrow(run, rows.schema)
-    return rows.select(F.col("__id").alias("id"), *[f"`{c}`" for c in kept], F.col("__items").alias("item_ids"))
+    return rows.select(F.col(f"`{own_id}`").alias(out_id), *[F.col(f"`{c}`") for c in kept], F.col(f"`{own_items}`").alias(out_col))
