@@ -1,4 +1,10 @@
-from veilgraph.llm.page_templates import extract
+import random
+import re
+import time
+
+import pytest
+
+from veilgraph.llm.page_templates import clean, extract, main_text, markup, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header class="site"><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>
@@ -38,3 +44,39 @@ def test_copies_of_a_page_without_article_stay(spark):
     got = {r.id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {got[i] for i in (*range(6), *range(10, 16))} == {"Story 7\nLong text number 7 with many words to read here"}
     assert got[18] == "Story 8\nLong text number 8 with many words to read here"
+
+
+NEUTRAL = """<html><body><div><div>Home</div><div>About {odd}</div></div><div class="k1">Buy {odd} now</div><div><p>Title {i}</p><p>{body}</p><div>More of {i}</div></div><div class="k2"><div>Reader {odd}</div></div><div>Imprint</div></body></html>"""
+
+
+def test_neutral_names(spark):
+    """Elements and classes that say nothing: the template finds the text, and without it the result is another."""
+    r = random.Random(3)
+    words = lambda n: " ".join(r.choice(["ka", "lo", "mi", "tur", "ben"]) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        body = words(r.randrange(5, 80))
+        rows.append((i, f"http://h{i % 2}.org/{i}", NEUTRAL.format(i=i, body=body, odd=words(2))))
+        want[i] = f"Title {i}\n{body}\nMore of {i}"
+    got = {x.id: x.text for x in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == want
+    assert any(main_text(h, None, frozenset()) != want[i] for i, _, h in rows)
+
+
+def by_regular_expression(page):
+    """Text nodes of a well-formed page, another way."""
+    page = re.sub(r"(?s)<!--.*?-->|<(script|style|head|select|textarea|button|template|iframe)\\b.*?</\\1>", " ", page)
+    return [x for t in re.split(r"<[^>]*>", page) if (x := clean(t))]
+
+
+def test_scanner_against_regular_expressions():
+    for page in (PAGE.format(i=1), PLAIN.format(i=2), DECOY.format(i=3, same="x"), NEUTRAL.format(i=1, body="b", odd="o"), "<p>1 < 2 <b>x</b><math><mi>y</mi></math><noscript>z</noscript>"):
+        assert [x for t, _, _ in parse(page)[0] if (x := clean(t))] == by_regular_expression(page.replace("1 < 2", "1 &lt; 2"))
+    assert [x[3:] for x in markup("<a href='x>y' b=\"<c>\"><br/><!-- <i> --></A><? x><u \"v>")] == [("a", " href='x>y' b=\"<c>\""), ("br", "/"), ("", ""), ("a", ""), ("", ""), ("u", ' "v')]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '>", "<div>", "</div>", "<svg>", "<select>", "<!", "<!--", "<", "<a x=\">\" ", "<div class=\"a b\">", "&amp", "</select", "<script>"])
+def test_hostile_pages_take_linear_time(piece):
+    start = time.process_time()
+    main_text(piece * (1_000_000 // len(piece)) + "'>", None, frozenset())
+    assert time.process_time() - start < 5

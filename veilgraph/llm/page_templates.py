@@ -1,14 +1,14 @@
 """Main text of pages by equivalence-class template deduction.
 
-The tokens of a page are its tags, told apart by their place in the page, and its text nodes. Tokens of one host that
-occur equally often on each of its pages share an occurrence vector; it is summed as one hash a token, so vectors
-need no page to meet another in a task. Tokens of equal vectors on at least SUPPORT of the host's pages make an
-equivalence class; it is valid if its members' mean places are in order, and classes must nest: one that crosses a
-larger one is dropped. The containers of the valid classes are the template, what they hold directly or in containers
-beside the template are slots. Text nodes on SUPPORT of a host's page contents are text of the template, others are
-data; contents count once however many copies they have, and pages whose three longest text nodes agree are copies.
-The slot with most data is the host's main slot. It grows to the article or main element around it, if any, else to
-the containers around it that add more data than text of the template.
+The tokens of a page are its tags, told apart by their place in the page (the path of their containers, those of one
+label numbered), and its text nodes. Tokens of one host that occur equally often on each of its pages share an occurrence
+vector; it is summed as one hash a token, so vectors need no page to meet another in a task. Tokens of equal vectors on
+at least SUPPORT of the host's pages make an equivalence class; it is valid if its members' mean places are in order, and
+classes must nest: one that crosses a larger one is dropped. The containers of the valid classes are the template, what
+they hold directly or in containers beside the template are slots. Text nodes on SUPPORT of a host's page contents are
+text of the template, others are data; contents count once however many copies they have, and pages whose three longest
+text nodes agree are copies. The slot with most data is the host's main slot; it grows to the containers around it that
+add more data than text of the template. Names of elements and classes have no part in that.
 
 A page's text is what stands in its host's main slot, without the containers that by element, role or name are menus,
 headers, footers, sidebars, notices, adverts, forms or comments. Nothing else is left out of the slot, except where it
@@ -17,7 +17,8 @@ LEAST_PAGES contents, or without the main slot, has no template: its article or
 container with most text.
 
 Defined results: null and empty pages give an empty text. A null or odd URL counts as host "". Repeated rows are
-treated one by one. Columns other than id, url and html are not read.
+treated one by one. Columns other than id, url and html are not read. Tags that never end are text of no page; reading a
+page takes time in proportion to its length, whatever it holds.
 """
 
 from __future__ import annotations
@@ -36,10 +37,13 @@ from pyspark.sql import functions as F
 from .common import free_shuffles, remove, shared_dir, stored
 
 SUPPORT, LEAST_PAGES, BROADCAST_HOSTS = 0.5, 4, 20_000
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
+#: Containers that lie deeper count as part of the container at this depth.
+MOST_DEPTH = 64
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+REST_OF_TAG = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Elements whose content is no text, containers, other elements that end a block, and void elements.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "head", "select", "textarea", "object", "canvas", "button", "math", "video", "audio"}
+RAW = {"script", "style", "template", "iframe", "head", "select", "textarea", "button"}
 CONTAINERS = set("html body div section article main nav header footer aside form ul ol dl table figure fieldset details dialog menu".split())
 BLOCKS = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody caption blockquote pre address hr figcaption summary legend title option".split())
 DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog"}
@@ -59,12 +63,17 @@ def host_of(url: str | None) -> str:
 class Node:
     """An open container."""
 
-    __slots__ = ("name", "path", "dropped", "article", "main")
+    __slots__ = ("name", "path", "dropped", "article", "main", "inside")
 
     def __init__(self, name: str, attributes: str, parent: Node | None):
         found = {k.lower(): (v or "").strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
         words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
         label = name + ("".join("." + w for w in sorted(found.get("class", "").split())) + ("#" + re.sub(r"\d+", "0", found["id"]) if found.get("id") else "")).replace("/", "|")
+        label = label if len(label) <= 80 else f"{name}.{xxhash.xxh64_hexdigest(label.encode('utf-8', 'surrogatepass'))}"
+        self.inside: Counter = Counter()
+        if parent:  # containers of one label in one container are told apart by their number
+            parent.inside[label] += 1
+            label += f"[{parent.inside[label]}]" if parent.inside[label] > 1 else ""
         self.name, self.path = name, (parent.path + "/" if parent else "") + label
         role, within = found.get("role", ""), bool(parent and parent.article)
         named = bool(words & NAMES) and not (words & CONTENT and not words & {"comment", "comments", "related", "sidebar", "ad", "ads", "share", "social"})
@@ -74,46 +83,77 @@ class Node:
         self.main = bool(parent and parent.main) or name == "main" or role == "main"
 
 
+def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name, attributes) of each tag; comments and declarations have no name, elements of
+    RAW come as one piece. Each character is read a bounded number of times: a quote that is never closed ends quoting for
+    the rest of the page, and what is known not to come again is not sought again."""
+    last, at, quoting, unclosed = page.rfind(">"), 0, True, set()
+    while 0 <= (i := page.find("<", at)):
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = len(page) if end < 0 else end + 3
+            yield i, at, False, "", ""
+            continue
+        if i > last:
+            return
+        m = TAG.match(page, i)
+        if not m:
+            if page[i + 1 : i + 2] in ("!", "?"):
+                at = page.find(">", i) + 1
+                yield i, at, False, "", ""
+            else:
+                at = i + 1
+            continue
+        rest = REST_OF_TAG.match(page, m.end()) if quoting else None
+        if not rest:
+            quoting = False
+        at = rest.end() if rest else page.find(">", m.end()) + 1
+        if not at:
+            return
+        close, name, attributes = m[1] == "/", m[2].lower(), page[m.end() : at - 1]
+        if name in RAW and not close and not attributes.rstrip().endswith("/"):
+            over = None if name in unclosed else re.compile(rf"</{name}\s*+>", re.I).search(page, at)
+            if over:
+                at = over.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:
+                unclosed.add(name)
+        yield i, at, close, name, attributes
+
+
 def parse(page: str) -> tuple[list[tuple[str, Node | None, int]], list[tuple[str, int]]]:
     """Text nodes (text, container, number of the block) and tag tokens (token, place), in page order."""
     texts: list[tuple[str, Node | None, int]] = []
     tags: list[tuple[str, int]] = []
     stack: list[Node] = []
-    at = block = place = 0
-    while True:
-        m = MARKUP.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at:
-            texts.append((page[at:end], stack[-1] if stack else None, block))
-        if not m:
-            break
-        at = m.end()
-        close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        name = name.lower()
-        if name in RAW:
-            if not close and not attributes.rstrip().endswith("/"):
-                over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if over or name in ("script", "style"):
-                    at = over.end() if over else len(page)
-            block += name == "head"
-            continue
-        if name in BLOCKS:
+    at = block = place = deeper = 0
+    for start, end, close, name, attributes in markup(page):
+        if start > at:
+            texts.append((page[at:start], stack[-1] if stack else None, block))
+        at = end
+        if name in BLOCKS or name == "head":
             block += 1
         elif name == "br":
             texts.append((" ", stack[-1] if stack else None, block))
-        if name in CONTAINERS:
-            if not close:
-                stack.append(Node(name, attributes, stack[-1] if stack else None))
-                tags.append((stack[-1].path, place))
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name == name:
-                        tags.append(("/" + stack[i].path, place))
-                        del stack[i:]
-                        break
-            place += 1
+        if name not in CONTAINERS:
+            continue
+        if not close and len(stack) >= MOST_DEPTH:
+            deeper += 1
+        elif not close:
+            stack.append(Node(name, attributes, stack[-1] if stack else None))
+            tags.append((stack[-1].path, place))
+        elif deeper:
+            deeper -= 1
+        else:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].name == name:
+                    tags.append(("/" + stack[i].path, place))
+                    del stack[i:]
+                    break
+        place += 1
+    if at < len(page):
+        texts.append((page[at:], stack[-1] if stack else None, block))
     return texts, tags
 
 
@@ -177,7 +217,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def page_level(path: str) -> bool:
     """Whether the path is of a whole page."""
-    return re.split("[.#]", path.rpartition("/")[2], maxsplit=1)[0] in ("", "html", "body")
+    return re.split(r"[.#\[]", path.rpartition("/")[2], maxsplit=1)[0] in ("", "html", "body")
 
 
 def main_slot(tags: list[str], slots: list[tuple[str, int, int]]) -> str | None:
@@ -187,10 +227,6 @@ def main_slot(tags: list[str], slots: list[tuple[str, int, int]]) -> str | None:
         return None
     parts = best.split("/")
     ups = ["/".join(parts[:i]) for i in range(len(parts), 0, -1)]
-    for element in ("article", "main"):
-        around = [p for p in ups if re.split("[.#]", p.rpartition("/")[2], maxsplit=1)[0] == element]
-        if around:
-            return around[-1]
     held = set(tags)
 
     def within(p: str) -> tuple[int, int]:
@@ -217,15 +253,20 @@ def templates(pages: DataFrame, folder: str) -> DataFrame:
     summed = summed.groupBy("host", "kind", "token", "path", "content").agg(F.sum("pages").alias("pages"), (F.sum(F.col("vector").cast("decimal(30,0)")) % (1 << 62)).cast("long").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"), F.sum("chars").alias("chars"))
     summed = stored(summed, f"{folder}/tokens")
     hosts = summed.where("kind = 0").groupBy("host").agg(F.sum("pages").alias("total"), F.count("*").alias("contents")).where(F.col("contents") >= LEAST_PAGES)
+    hosts = stored(hosts, f"{folder}/hosts")
+    # beside every row of its host only where it is small; else Spark splits hosts with many rows
+    of_host = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     # equivalence classes of tags: equal vectors; order within a class by mean place, nesting by the spans
-    tags = summed.where("kind = 1").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("total"))
+    tags = summed.where("kind = 1").join(of_host, "host").where(F.col("pages") >= SUPPORT * F.col("total"))
     tags = tags.groupBy("host", "vector", "pages").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("place", "path"))).alias("members"))
     larger = Window.partitionBy("host").orderBy(F.desc("size"), "first", "vector").rowsBetween(Window.unboundedPreceding, -1)
     spans = F.collect_list(F.struct("first", "last")).over(larger)
     crosses = F.exists(spans, lambda s: ((s["first"] < F.col("first")) & (F.col("first") < s["last"]) & (s["last"] < F.col("last"))) | ((F.col("first") < s["first"]) & (s["first"] < F.col("last")) & (F.col("last") < s["last"])))
     valid = tags.withColumn("crosses", crosses).where("NOT crosses").select("host", F.explode(F.transform("members", lambda m: m["path"])).alias("up")).where("up NOT LIKE '/%'")
+    # written, so that the join below deals its rows by host and container, not by host alone
+    valid = stored(valid, f"{folder}/valid")
     # text nodes of the template, by the contents that hold them
-    texts = summed.where("kind = 2").join(hosts, "host")
+    texts = summed.where("kind = 2").join(of_host, "host")
     fixed = texts.groupBy("host", "token", "content", "contents").agg(F.lit(1).alias("one")).groupBy("host", "token", "contents").agg(F.count("*").alias("held")).where(F.col("held") >= SUPPORT * F.col("contents")).select("host", "token", F.lit(True).alias("fixed"))
     # each container's text counts for the slot of its nearest container of the template
     paths = texts.join(fixed, ["host", "token"], "left").groupBy("host", "path").agg(F.sum(F.when(F.col("fixed").isNull(), F.col("chars")).otherwise(0)).alias("data"), F.sum(F.when(F.col("fixed"), F.col("chars")).otherwise(0)).alias("fixed"))
@@ -277,6 +318,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["id", "url", "text", "n_chars"])
 
     out = stored(with_host.mapInArrow(run, "id long, url string, text string, n_chars long"), f"{folder}/out")
-    remove(spark, f"{folder}/tokens", f"{folder}/templates")
+    remove(spark, *(f"{folder}/{x}" for x in ("tokens", "hosts", "valid", "templates")))
     free_shuffles(spark)
     return out
