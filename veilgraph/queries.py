@@ -11,7 +11,7 @@ from .functions import gumbel, laplace, uniform
 from .functions.noise import sql_draw, sql_laplace, sql_uniform
 from .operators import attacks, community, compare, mechanisms, paths, sampling, structure, synthesizers
 from .plans.evaluate import utility_report
-from .sources import co_occurrence, user_transitions
+from .sources import co_occurrence, order_chain, user_transitions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,7 +26,7 @@ def query(sql: str | None = None, graph: str = "e"):
 
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            edges = co_occurrence(spark, sf_dir, 45.0 if graph == "e2" else 40.0)
+            edges = order_chain(spark, sf_dir, graph == "e2").select("u", "v")
             return rounded(f(edges) if f.__code__.co_argcount == 1 else f(edges, spark, sf_dir))
 
         QUERIES[f.__name__] = run
@@ -37,11 +37,11 @@ def query(sql: str | None = None, graph: str = "e"):
     return put
 
 
-def _edges_sql(q: int) -> str:
-    return f"SELECT DISTINCT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity >= {q} AND b.l_quantity >= {q}"
+def _edges_sql(part: str = "") -> str:
+    return f"SELECT least(a, b) u, greatest(a, b) v, count(*) weight FROM (SELECT o_custkey a, lead(o_custkey) OVER (PARTITION BY CAST(o_orderdate AS DATE){part} ORDER BY o_orderkey) b FROM orders) WHERE a <> b GROUP BY 1, 2"
 
 
-WITH = f"""WITH RECURSIVE e AS MATERIALIZED ({_edges_sql(40)}), e2 AS MATERIALIZED ({_edges_sql(45)}),
+WITH = f"""WITH RECURSIVE ew AS MATERIALIZED ({_edges_sql()}), e AS MATERIALIZED (SELECT u, v FROM ew), e2 AS MATERIALIZED (SELECT u, v FROM ({_edges_sql(', o_orderpriority')})),
 s AS (SELECT u src, v dst FROM e UNION ALL SELECT v, u FROM e), deg AS MATERIALIZED (SELECT src id, count(*) deg FROM s GROUP BY src),
 s2 AS (SELECT u src, v dst FROM e2 UNION ALL SELECT v, u FROM e2), deg2 AS MATERIALIZED (SELECT src id, count(*) deg FROM s2 GROUP BY src),
 hist AS (SELECT deg, count(*) cnt FROM deg GROUP BY deg), hist2 AS (SELECT deg, count(*) cnt FROM deg2 GROUP BY deg),
@@ -59,6 +59,14 @@ def graph_size(e):
     return structure.graph_size(e)
 
 
+@query("SELECT p id, count(*) deg FROM (SELECT u p FROM both_ends UNION ALL SELECT v FROM both_ends) GROUP BY 1")
+def copurchase_degrees(e, spark, sf_dir):
+    return structure.degrees(co_occurrence(spark, sf_dir))
+
+
+ORACLE["copurchase_degrees"] = "WITH both_ends AS MATERIALIZED (SELECT DISTINCT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) " + ORACLE["copurchase_degrees"][len(WITH):]
+
+
 @query("SELECT id, deg FROM deg")
 def degree_table(e):
     return structure.degrees(e)
@@ -227,12 +235,12 @@ def eigenvector_centrality(e):
 
 @query("SELECT round(max(abs(fa - fb)), 6) ks FROM (SELECT sum(a) OVER (ORDER BY deg)::double / sum(a) OVER () fa, sum(b) OVER (ORDER BY deg)::double / sum(b) OVER () fb FROM (SELECT coalesce(h.deg, k.deg) deg, coalesce(h.cnt, 0) a, coalesce(k.cnt, 0) b FROM hist h FULL JOIN hist2 k ON h.deg = k.deg))")
 def ks_degree(e, spark, sf_dir):
-    return compare.ks(structure.degree_histogram(e), structure.degree_histogram(co_occurrence(spark, sf_dir, 45.0)))
+    return compare.ks(structure.degree_histogram(e), structure.degree_histogram(order_chain(spark, sf_dir, True)))
 
 
 @query(f"SELECT round(sum(p * ln((p + {compare.EPS}) / (q + {compare.EPS}))), 6) kl FROM (SELECT coalesce(h.cnt, 0) / (SELECT sum(cnt) FROM hist)::double p, coalesce(k.cnt, 0) / (SELECT sum(cnt) FROM hist2)::double q FROM hist h FULL JOIN hist2 k ON h.deg = k.deg)")
 def kl_degree(e, spark, sf_dir):
-    return compare.kl(structure.degree_histogram(e), structure.degree_histogram(co_occurrence(spark, sf_dir, 45.0)))
+    return compare.kl(structure.degree_histogram(e), structure.degree_histogram(order_chain(spark, sf_dir, True)))
 
 
 @query("SELECT round(sum(p * ln(p / (px * py))) / ((-sum(p * ln(px)) - sum(p * ln(py))) / 2), 6) nmi FROM (SELECT p, sum(p) OVER (PARTITION BY x) px, sum(p) OVER (PARTITION BY y) py FROM (SELECT id % 3 x, id % 5 y, count(*)::double / (SELECT count(*) FROM deg) p FROM deg GROUP BY 1, 2))")
@@ -243,7 +251,7 @@ def nmi_partitions(e):
 @query("SELECT round(count(*) / 50.0::double, 6) overlap FROM (SELECT id FROM deg ORDER BY deg DESC, id LIMIT 50) JOIN (SELECT id FROM deg2 ORDER BY deg DESC, id LIMIT 50) USING (id)")
 def topk_overlap(e, spark, sf_dir):
     value = lambda x: structure.degrees(x).withColumnRenamed("deg", "value")
-    return compare.top_overlap(value(e), value(co_occurrence(spark, sf_dir, 45.0)), 50)
+    return compare.top_overlap(value(e), value(order_chain(spark, sf_dir, True)), 50)
 
 
 _NOISY = f"(SELECT id, deg, greatest(round_even(deg + {sql_laplace('id', 21, '1.0::double')}, 0), 0)::bigint noisy FROM deg)"
@@ -407,12 +415,12 @@ def attr_ranges(e):
 @query()
 def aia_predictions(e):
     features = structure.node_features(e)
-    return attacks.infer_attribute(features, features.where("id % 50 = 0"), "deg", attacks.attribute_ranges(features))
+    return attacks.infer_attribute(features, features, "deg", attacks.attribute_ranges(features))
 
 
 @query()
 def mia_attack(e, spark, sf_dir):
-    real, n = synthesizers.compact(co_occurrence(spark, sf_dir, 49.0))
+    real, n = synthesizers.compact(e)
     first = real.orderBy("u", "v").first()
     return attacks.membership_attack(real, (first.u, first.v), n, 10.0, "fallback", shadows=3, rounds=2)
 

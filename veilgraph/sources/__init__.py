@@ -1,5 +1,5 @@
 """Edge-list sources and sinks."""
 
-from .edge_lists import co_occurrence, read_edges, read_weighted_edges, user_transitions, write_edges
+from .edge_lists import co_occurrence, order_chain, read_edges, read_weighted_edges, user_transitions, write_edges
 
-__all__ = ["co_occurrence", "read_edges", "read_weighted_edges", "user_transitions", "write_edges"]
+__all__ = ["co_occurrence", "order_chain", "read_edges", "read_weighted_edges", "user_transitions", "write_edges"]

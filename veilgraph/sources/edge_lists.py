@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,13 +34,38 @@ def read_weighted_edges(spark: SparkSession, path: str, comment: str | None = "#
     return rows.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), w.alias("w")).groupBy("u", "v").agg(F.sum("w").alias("weight"))
 
 
-def co_occurrence(spark: SparkSession, sf_dir: str, least_quantity: float = 40.0, most_quantity: float = 1e9) -> DataFrame:
+def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts ordered together: distinct (u, v), u < v. The join stays within an order."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where((F.col("l_quantity") >= least_quantity) & (F.col("l_quantity") <= most_quantity)).select("l_orderkey", F.col("l_partkey").alias("p"))
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_partkey").alias("p"))
     a, b = items.withColumnRenamed("p", "u"), items.withColumnRenamed("p", "v")
     return a.join(b, "l_orderkey").where("u < v").select("u", "v").distinct()
 
 
+def order_chain(spark: SparkSession, sf_dir: str, by_priority: bool = False) -> DataFrame:
+    """Customers whose orders follow each other on a day (and in a priority): (u, v, weight), u < v, the weight is how often."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("day"), (F.col("o_orderpriority") if by_priority else F.lit("")).alias("part"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    pairs = followed(orders, ["day", "part"], "k", "c")
+    return pairs.where("c <> next").groupBy(F.least("c", "next").alias("u"), F.greatest("c", "next").alias("v")).agg(F.count("*").alias("weight"))
+
+
+def followed(rows: DataFrame, groups: list[str], order: str, value: str) -> DataFrame:
+    """(value, next): each row with the next one of its group. Rows are dealt in sorted runs, so a group of any size is
+    spread over tasks; the first row of each run (one row a run) closes the gap to the run before."""
+    from ..session import cut_lineage
+
+    keys = [*groups, order]
+    runs = cut_lineage(rows.repartitionByRange(*keys).withColumn("run", F.spark_partition_id()))
+    place, here = F.struct(*keys), F.struct(*groups, F.col(value).alias("value"))
+    first = runs.groupBy("run").agg(F.min_by(here, place).alias("head"))
+    first = first.select("run", F.lead("head").over(Window.orderBy("run")).alias("head"))
+    inside = runs.withColumn("next", F.lead(here).over(Window.partitionBy("run").orderBy(*keys)))
+    out = inside.join(F.broadcast(first), "run").withColumn("next", F.coalesce("next", "head"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & (F.col(g) == F.col(f"next.{g}"))
+    return out.where(same).select(value, F.col("next.value").alias("next"))
+
+
 def user_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose events follow each other within an hour of a day: a denser graph."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.date_trunc("hour", "ts").alias("hour")).distinct()
