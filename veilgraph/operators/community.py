@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gumbel, uniform
+from ..functions.noise import draw
 from ..session import cut_lineage
 from . import structure
 
@@ -36,11 +37,13 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
 
 
 def exponential_moves(edges: DataFrame, labels: DataFrame, epsilon: float, passes: int = 1, seed: int = 11) -> DataFrame:
-    """One synchronous DP pass: each node draws among the communities of its neighbours and its own by the exponential
-    mechanism, as an argmax of scaled gains with Gumbel noise."""
+    """One synchronous DP pass: each node draws among all communities by the exponential mechanism, as an argmax of scaled
+    gains with Gumbel noise. A community without a neighbour gains -w(own) like any other of its kind: the communities are as
+    many rows a node, so they are to be few (a bounded number of blocks, as the private partitions have)."""
     c1 = epsilon / (4.0 * passes)
+    every = labels.select("id").crossJoin(F.broadcast(labels.select("com").distinct())).select("id", "com", F.lit(0).cast("long").alias("w"))
     near = structure.symmetric(edges).join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "com").agg(F.count("*").alias("w"))
-    near = near.unionByName(labels.select("id", "com", F.lit(0).cast("long").alias("w"))).groupBy("id", "com").agg(F.sum("w").alias("w"))
+    near = near.unionByName(every).groupBy("id", "com").agg(F.sum("w").alias("w"))
     own = near.join(labels.withColumnRenamed("com", "mine"), "id").withColumn("at_home", F.sum(F.when(F.col("com") == F.col("mine"), F.col("w")).otherwise(0)).over(_by("id")))
     u = uniform(F.col("id") * 2000003 + F.col("com"), seed)
     rated = own.withColumn("rate", c1 * (F.col("w") - F.col("at_home")) + gumbel(u))
@@ -53,28 +56,93 @@ def _by(*columns: str):
     return Window.partitionBy(*columns)
 
 
-def louvain(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(id, com): synchronous local moves by modularity gain, half of the nodes by hash in each round, best result kept."""
-    m = edges.count()
-    labels = cut_lineage(structure.vertices(edges).select("id", F.col("id").alias("com")))
-    deg = cut_lineage(structure.degrees(edges))
-    best, best_q = labels, -1.0
+def weighted(edges: DataFrame) -> DataFrame:
+    return edges if "weight" in edges.columns else edges.select("u", "v", F.lit(1).cast("long").alias("weight"))
+
+
+def weighted_quotient(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v, weight) of the graph of communities, u <= v; a loop holds the weight inside."""
+    ends = _ends(weighted(edges), labels)
+    return ends.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("weight").alias("weight"))
+
+
+def renumbered(labels: DataFrame) -> DataFrame:
+    """(id, com): communities numbered from 0 in order of their old names."""
+    names = structure.ranked(labels.select(F.col("com").alias("old")).distinct(), "old")
+    return labels.select("id", F.col("com").alias("old")).join(names, "old").select("id", F.col("idx").alias("com"))
+
+
+def community_state(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(com, degree, internal, loops): total degree, weight inside (loops whole, other edges once), weight of loops."""
+    e = _ends(weighted(edges), labels)
+    ends = e.select(F.explode(F.array(F.struct(F.col("cu").alias("com"), F.lit(1).alias("first")), F.struct(F.col("cv").alias("com"), F.lit(0).alias("first")))).alias("x"), "weight", (F.col("cu") == F.col("cv")).alias("same"), (F.col("u") == F.col("v")).alias("loop"))
+    inside = F.col("same") & (F.col("x.first") == 1)
+    return ends.groupBy(F.col("x.com").alias("com")).agg(F.sum("weight").alias("degree"), F.sum(F.when(inside, F.col("weight")).otherwise(0)).alias("internal"), F.sum(F.when(inside & F.col("loop"), F.col("weight")).otherwise(0)).alias("loops"))
+
+
+def weighted_modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+    state = community_state(edges, labels)
+    m = F.lit(float(weighted(edges).agg(F.sum("weight")).first()[0] or 1))
+    share = F.col("degree") / (2 * m)
+    return state.agg(F.sum(resolution * F.col("internal") / m - share * share).alias("modularity"))
+
+
+def louvain(edges: DataFrame, rounds: int = 8, seed: int = 700) -> DataFrame:
+    """(id, com): synchronous local moves by modularity gain, half of the nodes by draw in each round, best result kept.
+    edges: (u, v) or (u, v, weight), loops allowed."""
+    e = cut_lineage(weighted(edges))
+    m = e.agg(F.sum("weight")).first()[0] or 1
+    s = cut_lineage(e.where("u <> v").select(F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), "weight"), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), "weight"))).alias("x")).select("x.*"))
+    deg = cut_lineage(e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), "weight"), F.struct(F.col("v").alias("id"), "weight"))).alias("x")).groupBy(F.col("x.id").alias("id")).agg(F.sum("x.weight").alias("deg")))
+    labels = cut_lineage(deg.select("id", F.col("id").alias("com")))
+    best, best_q = labels, None
     for r in range(rounds):
         tot = labels.join(deg, "id").groupBy("com").agg(F.sum("deg").alias("tot"))
-        near = structure.symmetric(edges).join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "com").agg(F.count("*").alias("w"))
+        near = s.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "com").agg(F.sum("weight").alias("w"))
         near = near.unionByName(labels.select("id", "com", F.lit(0).cast("long").alias("w"))).groupBy("id", "com").agg(F.sum("w").alias("w"))
         x = near.join(tot, "com").join(deg, "id").join(labels.withColumnRenamed("com", "mine"), "id")
         rest = F.col("tot") - F.when(F.col("com") == F.col("mine"), F.col("deg")).otherwise(0)
-        x = x.withColumn("gain", F.col("w") - rest * F.col("deg") / F.lit(2.0 * max(m, 1)))
-        pick = x.groupBy("id").agg(F.max_by("com", F.struct("gain", -F.col("com"))).alias("best"), F.first("mine").alias("mine"))
-        moves = F.xxhash64("id", F.lit(r)) % 2 == 0
-        labels = cut_lineage(pick.select("id", F.when(moves, F.col("best")).otherwise(F.col("mine")).alias("com")))
-        q = modularity(edges, labels).first()[0] or 0.0
-        if q > best_q:
+        x = x.withColumn("gain", F.col("w") - rest * F.col("deg") / F.lit(2.0 * m))
+        pick = x.groupBy("id").agg(F.max_by("com", F.struct(F.round("gain", 9), -F.col("com"))).alias("best"), F.first("mine").alias("mine"))
+        labels = cut_lineage(pick.select("id", F.when(draw(F.col("id"), seed + r) % 2 == 0, F.col("best")).otherwise(F.col("mine")).alias("com")))
+        q = round(weighted_modularity(e, labels).first()[0] or 0.0, 9)
+        if best_q is None or q > best_q:
             best, best_q = labels, q
     return best
 
 
+def louvain_levels(edges: DataFrame, rounds: int = 8, least_gain: float = 1e-6) -> DataFrame:
+    """(level, node, com): communities of the nodes, then of the graph of communities, as long as modularity grows. Level 0
+    names nodes of the graph, level k communities of level k - 1; an empty graph has no levels."""
+    own, q, levels, level = cut_lineage(weighted(edges)), -1.0, None, 0
+    while not own.isEmpty():
+        labels = renumbered(louvain(own, rounds))
+        labels = cut_lineage(labels)
+        new = weighted_modularity(own, labels).first()[0] or 0.0
+        if level and new - q < least_gain:
+            break
+        part = labels.select(F.lit(level).cast("long").alias("level"), F.col("id").alias("node"), "com")
+        levels = part if levels is None else levels.unionByName(part)
+        q, level, own = new, level + 1, cut_lineage(weighted_quotient(own, labels))
+    return levels if levels is not None else edges.select(F.lit(0).cast("long").alias("level"), F.col("u").alias("node"), F.col("u").alias("com")).limit(0)
+
+
+def partition_at_level(levels: DataFrame, level: int) -> DataFrame:
+    """(id, com): the communities of the nodes at a level."""
+    out = levels.where("level = 0").select(F.col("node").alias("id"), "com")
+    for k in range(1, level + 1):
+        up = levels.where(F.col("level") == k).select(F.col("node").alias("com"), F.col("com").alias("up"))
+        out = out.join(up, "com").select("id", F.col("up").alias("com"))
+    return out
+
+
+def best_partition(edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """(id, com) at the last level."""
+    levels = cut_lineage(louvain_levels(edges, rounds))
+    top = levels.agg(F.max("level")).first()[0]
+    return partition_at_level(levels, top or 0)
+
+
 def eigenvector_centrality(edges: DataFrame, steps: int = 30) -> DataFrame:
     """(id, centrality): power iteration on A + I, normalised to length 1."""
     s = cut_lineage(structure.symmetric(edges))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import relative_error
+from ..session import cut_lineage
 from . import structure
 
 EPS = 2.220446049250313e-16
@@ -44,12 +46,15 @@ def nmi(labels: DataFrame, x: str, y: str) -> DataFrame:
 
 def scalar_metrics(edges: DataFrame) -> DataFrame:
     """metric, value: one long table."""
-    size, stats = structure.graph_size(edges), structure.degree_stats(edges)
-    tables = [
-        size.select(F.lit("node_count").alias("metric"), F.col("node_count").cast("double").alias("value")), size.select(F.lit("edge_count"), F.col("edge_count").cast("double")),
-        structure.triangle_count(edges).select(F.lit("triangle_count"), F.col("triangle_count").cast("double")), stats.select(F.lit("avg_degree"), "avg_degree"), stats.select(F.lit("degree_variance"), "degree_variance"),
-        structure.clustering_summary(edges).select(F.lit("global_clustering"), "transitivity"), structure.clustering_summary(edges).select(F.lit("avg_clustering"), "avg_clustering"), structure.assortativity(edges).select(F.lit("assortativity"), F.coalesce("assortativity", F.lit(0.0)))]
-    return reduce(DataFrame.union, tables)
+    d, t = F.col("deg"), F.col("triangles")
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    # one table of the nodes, with their triangles, gives all but one
+    base = structure.node_base(edges).agg(
+        zero(F.count("*")).alias("node_count"), zero(F.sum(d) / 2).alias("edge_count"), zero(F.sum(t) / 3).alias("triangle_count"), zero(F.avg(d)).alias("avg_degree"), zero(F.var_pop(d)).alias("degree_variance"),
+        zero(F.try_divide(F.sum(t), F.sum(d * (d - 1) / 2))).alias("global_clustering"), zero(F.avg("clustering")).alias("avg_clustering"))
+    names = base.columns
+    rows = base.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names])).alias("x")).select("x.metric", "x.value")
+    return rows.unionByName(structure.assortativity(edges).select(F.lit("assortativity").alias("metric"), F.coalesce("assortativity", F.lit(0.0)).alias("value")))
 
 
 def utility_losses(original: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -58,6 +63,58 @@ def utility_losses(original: DataFrame, synthetic: DataFrame) -> DataFrame:
     return a.join(b, "metric").select("metric", "original", "synthetic", relative_error(F.col("original"), F.col("synthetic")).alias("loss"))
 
 
+#: The tasks of a full utility report.
+TASKS = ("node_count", "edge_count", "triangle_count", "avg_degree", "diameter", "avg_shortest_path", "global_clustering", "avg_clustering", "modularity", "assortativity", "degree_variance", "degree_distribution", "distance_distribution", "community_detection", "eigenvector_centrality")
+
+
+@dataclass(frozen=True)
+class Measures:
+    """What is measured of one graph, once: a metric table, two histograms, communities and centralities."""
+
+    scalars: DataFrame
+    degrees: DataFrame
+    distances: DataFrame
+    communities: DataFrame
+    centrality: DataFrame
+
+
+def measured(edges: DataFrame) -> Measures:
+    from . import community, paths
+
+    e = cut_lineage(edges)
+    distances = cut_lineage(paths.distance_histogram(cut_lineage(paths.largest_component(e))))
+    labels = cut_lineage(community.louvain(e))
+    summary = distances.agg(F.coalesce(F.max("d"), F.lit(0)).cast("double").alias("diameter"), F.coalesce(F.sum(F.col("d") * F.col("cnt")) / F.sum("cnt"), F.lit(0.0)).alias("avg_shortest_path"))
+    modularity = community.modularity(e, labels).select(F.lit("modularity").alias("metric"), F.coalesce("modularity", F.lit(0.0)).alias("value"))
+    more = [summary.select(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("diameter", "avg_shortest_path")]
+    scalars = cut_lineage(reduce(DataFrame.unionByName, [scalar_metrics(e), *more, modularity]))
+    return Measures(scalars, cut_lineage(structure.degree_histogram(e)), distances, labels, cut_lineage(community.eigenvector_centrality(e).withColumnRenamed("centrality", "value")))
+
+
+def community_loss(a: DataFrame, b: DataFrame) -> DataFrame:
+    """1 - NMI of two partitions (id, com), matched in order of the ids as far as both go; (loss)."""
+    from . import influence
+
+    pairs = influence.by_position(a.withColumnRenamed("com", "value"), b.withColumnRenamed("com", "value"))
+    return nmi(pairs, "a", "b").select((1 - F.col("nmi")).alias("loss"))
+
+
+def centrality_loss(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Mean absolute difference of two (id, value), matched in order of the ids, against the largest value; (loss)."""
+    from . import influence
+
+    return influence.positional_errors(influence.by_position(a, b)).select(F.col("discrepancy").alias("loss"))
+
+
+def all_losses(real: Measures, fake: Measures) -> DataFrame:
+    """metric, loss: the 15 tasks."""
+    a, b = real.scalars.withColumnRenamed("value", "original"), fake.scalars.withColumnRenamed("value", "synthetic")
+    scalars = a.join(b, "metric").select("metric", relative_error(F.col("original"), F.col("synthetic")).alias("loss"))
+    named = lambda name, df, c: df.select(F.lit(name).alias("metric"), F.col(c).alias("loss"))
+    return reduce(DataFrame.unionByName, [scalars, named("degree_distribution", ks(real.degrees, fake.degrees), "ks"), named("distance_distribution", ks(real.distances, fake.distances, "d"), "ks"),
+                                          named("community_detection", community_loss(real.communities, fake.communities), "loss"), named("eigenvector_centrality", centrality_loss(real.centrality, fake.centrality), "loss")])
+
+
 def top_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Share of the k highest (id, value) of a among those of b."""
     first = lambda t: t.orderBy(F.desc("value"), "id").limit(k).select("id")

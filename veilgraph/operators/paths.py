@@ -66,13 +66,19 @@ class Adjacency:
         return out
 
 
+def _held(edges: DataFrame):
+    """The edges of a small graph for all tasks, as 16 bytes each."""
+    table = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).toArrow()
+    pairs = np.stack([c.to_numpy() for c in table.columns], 1) if table.num_rows else np.zeros((0, 2), np.int64)
+    return edges.sparkSession.sparkContext.broadcast(pairs)
+
+
 def distance_histogram(edges: DataFrame, with_self: bool = False) -> DataFrame:
     """(d, cnt) over ordered pairs with a path."""
     n = edges.count()
     if n > BROADCAST_EDGES:
         return _frontier_histogram(edges, with_self)
-    pairs = np.array([(r.u, r.v) for r in edges.toLocalIterator()], np.int64).reshape(-1, 2)
-    held = edges.sparkSession.sparkContext.broadcast(pairs)
+    held = _held(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = None
@@ -91,21 +97,98 @@ def distance_histogram(edges: DataFrame, with_self: bool = False) -> DataFrame:
     return h if with_self else h.where("d > 0")
 
 
-def _frontier_histogram(edges: DataFrame, with_self: bool, rounds: int = 1000) -> DataFrame:
+def _frontier_histogram(edges: DataFrame, with_self: bool) -> DataFrame:
+    h = _frontier_distances(edges, structure.vertices(edges)).groupBy("d").agg(F.count("*").alias("cnt"))
+    return h if with_self else h.where("d > 0")
+
+
+def _frontier_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, at, d) for all sources (id), a join a step, for graphs of any size."""
     s = cut_lineage(structure.symmetric(edges))
-    reached = cut_lineage(structure.vertices(edges).select("id", F.col("id").alias("at"), F.lit(0).cast("long").alias("d")))
-    front = reached
-    for d in range(1, rounds):
+    reached = cut_lineage(sources.select("id", F.col("id").alias("at"), F.lit(0).cast("long").alias("d")))
+    front, d = reached, 0
+    while True:
+        d += 1
         new = front.join(s, F.col("at") == F.col("src")).select("id", F.col("dst").alias("at")).distinct().join(reached, ["id", "at"], "left_anti").withColumn("d", F.lit(d).cast("long"))
         front = cut_lineage(new)
         if front.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(front)
-    h = reached.groupBy("d").agg(F.count("*").alias("cnt"))
-    return h if with_self else h.where("d > 0")
 
 
 def path_summary(edges: DataFrame) -> DataFrame:
     """Diameter and average path of the largest component."""
     h = distance_histogram(largest_component(edges))
     return h.agg(F.coalesce(F.max("d"), F.lit(0)).cast("long").alias("diameter"), F.coalesce(F.sum(F.col("d") * F.col("cnt")) / F.sum("cnt"), F.lit(0.0)).alias("avg_shortest_path"))
+
+
+UNREACHABLE = 3.0
+
+
+def pair_distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs: (u, v). Adds distance: steps from u to v, UNREACHABLE where there is no path or no such node."""
+    if edges.count() > BROADCAST_EDGES:
+        far = _frontier_distances(edges, pairs.select(F.col("u").alias("id")).distinct()).select(F.col("id").alias("u"), F.col("at").alias("v"), "d")
+        return pairs.join(far, ["u", "v"], "left").select("u", "v", F.coalesce(F.col("d").cast("double"), F.lit(UNREACHABLE)).alias("distance"))
+    held = _held(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
+        for b in batches:
+            graph = graph or Adjacency(held.value)
+            u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+            out, known = np.full(len(u), UNREACHABLE), lambda x: np.isin(x, graph.ids)
+            both = known(u) & known(v)
+            for source in np.unique(u[both]):
+                own = np.flatnonzero(both & (u == source))
+                d = graph.levels(int(np.searchsorted(graph.ids, source)))[np.searchsorted(graph.ids, v[own])]
+                out[own] = np.where(d >= 0, d, UNREACHABLE)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["u", "v", "distance"])
+
+    # the pairs of a source together, so that it is searched from once
+    rows = pairs.select(F.col("u").cast("long"), F.col("v").cast("long")).repartition("u").sortWithinPartitions("u")
+    return rows.mapInArrow(run, "u long, v long, distance double")
+
+
+def _dependencies(graph: Adjacency, source: int) -> np.ndarray:
+    """Share of the shortest paths from a source that pass over each arc (Brandes), both directions of an edge apart."""
+    level = graph.levels(source)
+    src = np.repeat(np.arange(len(graph.ids)), np.diff(graph.at))
+    down = np.flatnonzero((level[src] >= 0) & (level[graph.to] == level[src] + 1))
+    down = down[np.argsort(level[src[down]], kind="stable")]
+    cuts = np.searchsorted(level[src[down]], np.arange(level.max() + 2))
+    paths = np.zeros(len(graph.ids))
+    paths[source] = 1
+    steps = [down[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    for arcs in steps:
+        np.add.at(paths, graph.to[arcs], paths[src[arcs]])
+    gain, flow = np.zeros(len(graph.ids)), np.zeros(len(graph.to))
+    for arcs in reversed(steps):
+        flow[arcs] = paths[src[arcs]] / paths[graph.to[arcs]] * (1 + gain[graph.to[arcs]])
+        np.add.at(gain, src[arcs], flow[arcs])
+    return flow
+
+
+def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(u, v, betweenness): share of all pairs of nodes whose shortest paths pass over the edge. For a graph of up to
+    BROADCAST_EDGES edges; with sources (id), from those alone, scaled to all nodes."""
+    if edges.count() > BROADCAST_EDGES:
+        raise ValueError("the graph is too large to be held by a task; take a part of it")
+    held = _held(edges)
+    start = structure.vertices(edges) if sources is None else sources.select("id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, flow, seen = Adjacency(held.value), None, 0
+        for b in batches:
+            for s in np.searchsorted(graph.ids, b.column(0).to_numpy()):
+                own = _dependencies(graph, int(s))
+                flow, seen = own if flow is None else flow + own, seen + 1
+        if seen:
+            src = np.repeat(np.arange(len(graph.ids)), np.diff(graph.at))
+            u, v = np.minimum(src, graph.to), np.maximum(src, graph.to)
+            yield pa.RecordBatch.from_arrays([pa.array(graph.ids[u]), pa.array(graph.ids[v]), pa.array(flow), pa.array(np.full(len(flow), float(seen)))], ["u", "v", "f", "k"])
+
+    n = structure.vertices(edges).count()
+    sums = start.repartition("id").mapInArrow(run, "u long, v long, f double, k double").groupBy("u", "v").agg(F.sum("f").alias("f"), (F.sum("k") / 2).alias("k"))
+    # each pair of nodes is met from both of its ends
+    return sums.select("u", "v", (F.col("f") / F.col("k") * n / max(1, n * (n - 1))).alias("betweenness"))

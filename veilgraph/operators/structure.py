@@ -153,18 +153,27 @@ def node_features(edges: DataFrame) -> DataFrame:
     return node_base(edges).withColumnRenamed("clustering", "neighbor_connection_ratio").join(local_density(edges), "id").join(neighbor_stats(edges), "id").join(second_neighbors(edges), "id")
 
 
-def core_numbers(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, core): repeated h-index of the neighbours' values, which falls to the core number."""
+def padded_nodes(edges: DataFrame, n: int) -> DataFrame:
+    """(id): the nodes of the graph and 0 to n - 1, isolated or not."""
+    return vertices(edges).unionByName(edges.sparkSession.range(n).select("id")).distinct()
+
+
+def positive_cells(cells: DataFrame) -> DataFrame:
+    """cells: (i, j, x) of a matrix. (u, v): pairs with a positive cell above or below the diagonal."""
+    return canonical(cells.where("x > 0").select(F.col("i").alias("u"), F.col("j").alias("v")))
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(id, core): repeated h-index of the neighbours' values, which falls to the core number; until nothing moves."""
     from ..session import cut_lineage
 
     s = cut_lineage(symmetric(edges))
     value = degrees(edges).withColumnRenamed("deg", "core")
-    for _ in range(rounds):
+    while True:
         near = s.join(value.withColumnRenamed("id", "dst"), "dst").groupBy("src", "core").count()
         at_least = F.sum("count").over(Window.partitionBy("src").orderBy(F.desc("core")))
         h = near.withColumn("n", at_least).groupBy(F.col("src").alias("id")).agg(F.max(F.least("core", "n")).alias("h"))
         new = cut_lineage(value.join(h, "id").select("id", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")))
         value = new.select("id", "core")
         if new.where("moved").isEmpty():
-            break
-    return value
+            return value

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import gumbel, laplace, uniform
 from .functions.noise import sql_draw, sql_laplace, sql_uniform
-from .operators import attacks, community, compare, mechanisms, paths, sampling, structure, synthesizers
+from .operators import attacks, community, compare, evaluation, influence, mechanisms, paths, sampling, structure, synthesizers, tabular, worlds
+from .plans import jobs
 from .plans.evaluate import utility_report
 from .sources import co_occurrence, order_chain, user_transitions
 
@@ -220,7 +221,7 @@ def exp_mechanism_moves(e):
     return community.exponential_moves(e, _labels(e, 7), 10.0)
 
 
-ORACLE["exp_mechanism_moves"] = WITH.rstrip() + ", gains AS MATERIALIZED (SELECT id, com, sum(w)::bigint w FROM (SELECT src id, dst % 7 com, count(*) w FROM s GROUP BY 1, 2 UNION ALL SELECT id, id % 7, 0 FROM deg) GROUP BY 1, 2)\n" + ORACLE["exp_mechanism_moves"][len(WITH):]
+ORACLE["exp_mechanism_moves"] = WITH.rstrip() + ", gains AS MATERIALIZED (SELECT id, com, sum(w)::bigint w FROM (SELECT src id, dst % 7 com, count(*) w FROM s GROUP BY 1, 2 UNION ALL SELECT id, c, 0 FROM deg, (SELECT unnest(range(0, 7)) c)) GROUP BY 1, 2)\n" + ORACLE["exp_mechanism_moves"][len(WITH):]
 
 
 @query()
@@ -354,7 +355,7 @@ def bter_blocks(e):
 
 @query()
 def skg_fit_grid(e):
-    return synthesizers.skg_grid(*synthesizers.compact(e)).orderBy("loss", "a", "b", "c").limit(5)
+    return synthesizers.skg_grid(*synthesizers.compact(e), 10.0).orderBy("loss", "a", "b", "c").limit(5)
 
 
 def _generated(name: str):
@@ -442,3 +443,448 @@ ORACLE["event_graph_size"] = "WITH ev AS (SELECT DISTINCT user_id, date_trunc('h
 @query()
 def utility_report_tmf(e):
     return utility_report(e, ["tmf", "fallback"], [1.0])
+
+# ---------------------------------------------------------------- twins of iterative operators
+
+
+def _with(name: str, ctes: str) -> None:
+    """Puts further common tables before a registered SQL."""
+    ORACLE[name] = WITH.rstrip() + ", " + ctes + "\n" + ORACLE[name][len(WITH):]
+
+
+def _twin(name: str, sql: str, ctes: str = "") -> None:
+    ORACLE[name] = WITH + sql
+    if ctes:
+        _with(name, ctes)
+
+
+_twin("core_numbers", "SELECT id, core FROM h WHERE t = 60", """h(t, id, core) AS (SELECT 0, id, deg FROM deg UNION ALL SELECT t + 1, id, max(least(core, n)) FROM
+(SELECT h.t, s.src id, h.core, count(*) OVER (PARTITION BY s.src ORDER BY h.core DESC RANGE UNBOUNDED PRECEDING) n FROM s JOIN h ON h.id = s.dst) GROUP BY t, id HAVING t < 60)""")
+_DIST = """, big AS MATERIALIZED (SELECT id FROM {c} WHERE component = (SELECT component FROM {c} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+far(id, tip, d) USING KEY (id, tip) AS (SELECT id, id, 0 FROM {start} UNION (SELECT x.id, x.dst, x.d FROM (SELECT DISTINCT far.id, s2.dst, far.d + 1 d FROM far JOIN s2 ON s2.src = far.tip) x ANTI JOIN recurring.far r ON r.id = x.id AND r.tip = x.dst))"""
+_FAR = _REACH[2:] + _DIST.format(c=_COMP, start="big")
+_twin("distance_histogram", "SELECT d::bigint d, count(*) cnt FROM far WHERE d > 0 GROUP BY 1", _FAR)
+_twin("path_summary", "SELECT max(d)::bigint diameter, round(sum(d)::double / count(*), 6) avg_shortest_path FROM far WHERE d > 0", _FAR)
+_twin("eigenvector_centrality", "SELECT id, round(x / sqrt(sum(x * x) OVER ()), 6) centrality FROM p WHERE t = 30", "p(t, id, x) AS (SELECT 0, id, 1.0::double FROM deg UNION ALL SELECT t + 1, id, sum(x) FROM (SELECT t, id, x FROM p UNION ALL SELECT p.t, s.src, p.x FROM p JOIN s ON s.dst = p.id) WHERE t < 30 GROUP BY t, id)")
+_MOVES = f"""lv(r, id, com) AS (SELECT 0, id, id FROM deg UNION ALL SELECT r + 1, id, CASE WHEN {sql_draw('id', '700 + r')} % 2 = 0 THEN best ELSE mine END FROM
+(SELECT n.r, n.id, arg_max(n.com, (round(n.w - (t.tot - CASE WHEN n.com = l.com THEN g.deg ELSE 0 END) * g.deg / (2.0::double * (SELECT count(*) FROM e)), 9), -n.com)) best, min(l.com) mine FROM
+(SELECT r, id, com, sum(w)::bigint w FROM (SELECT lv.r, s.src id, lv.com, count(*) w FROM s JOIN lv ON lv.id = s.dst GROUP BY ALL UNION ALL SELECT r, id, com, 0 FROM lv) GROUP BY ALL) n
+JOIN (SELECT com, sum(deg)::bigint tot FROM lv JOIN deg USING (id) GROUP BY 1) t ON t.com = n.com JOIN deg g ON g.id = n.id JOIN lv l ON l.id = n.id GROUP BY 1, 2) WHERE r < 8),
+qual AS (SELECT r, round(sum(coalesce(inc, 0) / (SELECT count(*) FROM e)::double - power(dg / (2.0 * (SELECT count(*) FROM e)), 2)), 9) q FROM (SELECT r, com, sum(deg)::double dg FROM lv JOIN deg USING (id) GROUP BY ALL)
+LEFT JOIN (SELECT a.r, a.com, count(*) inc FROM e JOIN lv a ON a.id = e.u JOIN lv b ON b.id = e.v AND b.r = a.r AND b.com = a.com GROUP BY ALL) USING (r, com) WHERE r > 0 GROUP BY r)"""
+_twin("louvain", "SELECT id, com FROM lv WHERE r = (SELECT r FROM qual ORDER BY q DESC, r LIMIT 1)", _MOVES)
+
+
+@query("SELECT id, com FROM (SELECT id, dense_rank() OVER (ORDER BY id % 7 * 3) - 1 com FROM deg)")
+def renumber_labels(e):
+    return community.renumbered(structure.vertices(e).select("id", (F.col("id") % 7 * 3).alias("com")))
+
+
+def _weighted_graph(spark, sf_dir):
+    return order_chain(spark, sf_dir)
+
+
+@query("SELECT u, v, weight FROM ew")
+def weighted_edges(e, spark, sf_dir):
+    return _weighted_graph(spark, sf_dir)
+
+
+@query("SELECT least(u % 7, v % 7) u, greatest(u % 7, v % 7) v, sum(weight)::bigint weight FROM ew GROUP BY 1, 2")
+def weighted_quotient(e, spark, sf_dir):
+    return community.weighted_quotient(_weighted_graph(spark, sf_dir), _labels(e, 7))
+
+
+@query("""SELECT com, sum(w)::bigint AS "degree", sum(w * inside)::bigint internal, 0::bigint loops FROM (SELECT u % 7 com, weight w, (u % 7 = v % 7)::int inside FROM ew UNION ALL SELECT v % 7, weight, 0 FROM ew) GROUP BY 1""")
+def community_state(e, spark, sf_dir):
+    return community.community_state(_weighted_graph(spark, sf_dir), _labels(e, 7))
+
+
+@query("SELECT round(sum(1.5 * coalesce(inc, 0) / m - power(dg / (2.0 * m), 2)), 6) modularity FROM (SELECT sum(weight)::double m FROM ew), (SELECT com, sum(w)::double dg, sum(w * inside)::double inc FROM (SELECT u % 7 com, weight w, (u % 7 = v % 7)::int inside FROM ew UNION ALL SELECT v % 7, weight, 0 FROM ew) GROUP BY 1)")
+def weighted_modularity(e, spark, sf_dir):
+    return community.weighted_modularity(_weighted_graph(spark, sf_dir), _labels(e, 7), 1.5)
+
+
+@query()
+def louvain_levels(e):
+    return community.louvain_levels(e)
+
+
+# ---------------------------------------------------------------- pairs, positions, cells
+
+
+@query("SELECT p.u, p.v, coalesce(far.d::double, 3.0) distance FROM pairs p LEFT JOIN far ON far.id = p.u AND far.tip = p.v", "e2")
+def pair_distances(e):
+    idx = structure.relabelled(e)
+    pairs = idx.select(F.col("id").alias("u"), F.col("idx").alias("k")).join(idx.select(F.col("id").alias("v"), (F.col("idx") - 1).alias("k")), "k").select("u", "v")
+    return paths.pair_distances(e, pairs)
+
+
+_with("pair_distances", "pairs AS (SELECT id u, lead(id) OVER (ORDER BY id) v FROM deg2 QUALIFY v IS NOT NULL)" + _DIST.format(c="(SELECT id, id component FROM deg2)", start="deg2"))
+
+
+@query(None, "e2")
+def edge_betweenness(e):
+    return paths.edge_betweenness(e)
+
+
+@query("SELECT round(avg(abs(a.deg - b.deg)), 6) mae, round(avg((a.deg - b.deg) * (a.deg - b.deg)), 6) mse, round(avg(abs(a.deg - b.deg)) / greatest(max(a.deg), max(b.deg)), 6) discrepancy FROM (SELECT deg, row_number() OVER (ORDER BY id) r FROM deg) a JOIN (SELECT deg, row_number() OVER (ORDER BY id) r FROM deg2) b USING (r)")
+def positional_errors(e, spark, sf_dir):
+    value = lambda x: structure.degrees(x).withColumnRenamed("deg", "value")
+    return influence.positional_errors(influence.by_position(value(e), value(order_chain(spark, sf_dir, True))))
+
+
+_EVC = "p{n}(t, id, x) AS (SELECT 0, id, 1.0::double FROM deg{n} UNION ALL SELECT t + 1, id, sum(x) FROM (SELECT t, id, x FROM p{n} UNION ALL SELECT p{n}.t, s{n}.src, p{n}.x FROM p{n} JOIN s{n} ON s{n}.dst = p{n}.id) WHERE t < 30 GROUP BY t, id), c{n}v AS (SELECT x / sqrt(sum(x * x) OVER ()) c, row_number() OVER (ORDER BY id) r FROM p{n} WHERE t = 30)"
+
+
+@query("SELECT round(avg(abs(a.c - b.c)) / greatest(max(a.c), max(b.c), 1e-8), 6) loss FROM cv a JOIN c2v b USING (r)")
+def centrality_loss(e, spark, sf_dir):
+    c = lambda x: community.eigenvector_centrality(x).withColumnRenamed("centrality", "value")
+    return compare.centrality_loss(c(e), c(order_chain(spark, sf_dir, True).select("u", "v")))
+
+
+_with("centrality_loss", _EVC.format(n="") + ", " + _EVC.format(n="2"))
+
+
+@query("""SELECT round(1 - sum(p * ln(p / (px * py))) / ((-sum(p * ln(px)) - sum(p * ln(py))) / 2), 6) loss FROM (SELECT p, sum(p) OVER (PARTITION BY x) px, sum(p) OVER (PARTITION BY y) py FROM
+(SELECT a.x, b.y, count(*)::double / sum(count(*)) OVER () p FROM (SELECT id % 3 x, row_number() OVER (ORDER BY id) r FROM deg) a JOIN (SELECT id % 5 y, row_number() OVER (ORDER BY id) r FROM deg2) b USING (r) GROUP BY 1, 2))""")
+def community_loss(e, spark, sf_dir):
+    return compare.community_loss(_labels(e, 3), _labels(order_chain(spark, sf_dir, True), 5))
+
+
+@query("SELECT row_number() OVER (ORDER BY i, j) - 1 pos, i, j, coalesce(cnt, 0) cnt FROM (SELECT a.r i, b.r j FROM (SELECT unnest(range(0, 9)) r) a, (SELECT unnest(range(0, 9)) r) b WHERE a.r < b.r) LEFT JOIN (SELECT least(u % 16, v % 16) i, greatest(u % 16, v % 16) j, count(*) cnt FROM e GROUP BY 1, 2) USING (i, j)")
+def upper_cells(e):
+    return influence.upper_cells(community.quotient_graph(e, _labels(e, 16)).select("c1", "c2", F.col("weight").alias("cnt")), 9)
+
+
+@query("SELECT i, j, trunc((pos * 1.5 - 20))::bigint x FROM (SELECT row_number() OVER (ORDER BY a.r, b.r) - 1 pos, a.r i, b.r j FROM (SELECT unnest(range(0, 9)) r) a, (SELECT unnest(range(0, 9)) r) b WHERE a.r < b.r) WHERE pos % 3 <> 1")
+def filled_cells(e, spark, sf_dir):
+    return influence.filled_cells(spark.range(36).where("id % 3 <> 1").select(F.col("id").alias("pos"), (F.col("id") * 1.5 - 20).cast("double").alias("x")), 9)
+
+
+@query("SELECT id FROM (SELECT id FROM deg UNION SELECT unnest(range(0, 2000)))")
+def padded_nodes(e):
+    return structure.padded_nodes(e, 2000)
+
+
+@query("SELECT least(u, v) u, greatest(u, v) v FROM (SELECT u % 50 u, v % 50 v, sum(u % 3 - 1) x FROM e GROUP BY 1, 2) WHERE x > 0 AND u <> v GROUP BY 1, 2")
+def positive_cells(e):
+    return structure.positive_cells(e.groupBy((F.col("u") % 50).alias("i"), (F.col("v") % 50).alias("j")).agg(F.sum(F.col("u") % 3 - 1).alias("x")))
+
+
+@query("SELECT row_number() OVER (ORDER BY prio, id) - 1 AS rank, id, prio FROM (SELECT o_custkey id, arg_max(o_shippriority_, o_orderkey) prio FROM (SELECT o_custkey, o_orderkey, o_totalprice o_shippriority_ FROM orders) GROUP BY 1)")
+def priority_queue(e, spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("prio"), F.col("o_orderkey").alias("seq"))
+    return influence.merge_queues(rows, "id", "prio").select("rank", "id", "prio")
+
+
+# ---------------------------------------------------------------- influence
+
+
+@query()
+def influence_seeds(e):
+    return influence.seeds(e, 20)
+
+
+@query("SELECT round(avg(n), 6) mean_spread, min(n) least, max(n) most, round_even(avg(n), 0)::bigint spread FROM (SELECT run, count(*) n FROM hit GROUP BY 1)")
+def cascade_spread(e, spark, sf_dir):
+    start = structure.degrees(e).orderBy(F.desc("deg"), "id").limit(20).select("id")
+    return influence.spread(_weighted_graph(spark, sf_dir), start, 100, 0.05)
+
+
+_with("cascade_spread", f"""live AS MATERIALIZED (SELECT run, src, dst FROM (SELECT u src, v dst, weight FROM ew UNION ALL SELECT v, u, weight FROM ew), (SELECT unnest(range(0, 100)) run) WHERE {sql_uniform('src * 2000003 + dst + run * 104729', 401)} < 1 - power(0.95::double, weight)),
+hit(run, id) AS (SELECT run, id FROM (SELECT id FROM deg ORDER BY deg DESC, id LIMIT 20), (SELECT unnest(range(0, 100)) run) UNION SELECT hit.run, live.dst FROM hit JOIN live ON live.run = hit.run AND live.src = hit.id)""")
+
+
+@query("SELECT walk, step::bigint step, w.id, g.deg FROM walks w JOIN deg2 g ON g.id = w.id", "e2")
+def random_walks(e):
+    return influence.random_walks(e, 2, 16)
+
+
+_with("random_walks", f"""near AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 nth, count(*) OVER (PARTITION BY src) deg FROM s2),
+walks(walk, step, id) AS (SELECT id * 2 + w, 0, id FROM deg2, (SELECT unnest(range(0, 2)) w) UNION ALL SELECT w.walk, w.step + 1, n.dst FROM walks w JOIN near n ON n.src = w.id AND n.nth = {sql_draw('w.walk * 64 + w.step + 1', 411)} % n.deg WHERE w.step < 15)""")
+
+
+# ---------------------------------------------------------------- mechanisms
+
+
+@query("""SELECT deg, noisy, round(fit, 6) fit, round_even(fit, 0)::bigint rounded FROM (SELECT b.deg, b.noisy, (SELECT max(m) FROM (SELECT j.deg, min(a) m FROM (SELECT j.deg, k.deg kd, sum(x.noisy)::double / count(*) a FROM nh j, nh k, nh x WHERE j.deg <= b.deg AND k.deg >= b.deg AND x.deg BETWEEN j.deg AND k.deg GROUP BY 1, 2) j GROUP BY 1)) fit FROM nh b)""")
+def isotonic_fit(e):
+    return mechanisms.isotonic(mechanisms.noisy_histogram(e, 1.0).select("deg", "noisy"), "deg", "noisy")
+
+
+_with("isotonic_fit", f"nh AS MATERIALIZED (SELECT g.deg::bigint deg, greatest(round_even(coalesce(cnt, 0) + {sql_laplace('g.deg', 31, '4.0::double')}, 0), 0)::bigint noisy FROM (SELECT unnest(range(0, (SELECT max(deg) + 1 FROM deg))) deg) g LEFT JOIN hist h ON g.deg = h.deg)")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum([x * x FOR x IN v])), 6) length, round(v[1], 6) first FROM (SELECT vec_id, [x::double / greatest(1.0, n / 0.5) FOR x IN embedding] v FROM (SELECT vec_id, embedding, sqrt(list_sum([x::double * x::double FOR x IN embedding])) n FROM embeddings))")
+def clipped_vectors(e, spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", mechanisms.clipped(F.col("embedding"), 0.5).alias("v"))
+    return v.select("vec_id", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("length"), F.element_at("v", 1).alias("first"))
+
+
+@query(f"SELECT id, round({mechanisms.gaussian_sigma(1.0, 1e-5, 10)!r}::double * sqrt(-2 * ln({sql_uniform('id', 611)})) * cos(2 * pi() * {sql_uniform('id', 612)}), 6) noise FROM deg")
+def gaussian_noise(e):
+    return structure.vertices(e).select("id", mechanisms.gaussian_noise(uniform(F.col("id"), 611), uniform(F.col("id"), 612), mechanisms.gaussian_sigma(1.0, 1e-5, 10)).alias("noise"))
+
+
+@query(f"SELECT src, arg_max(dst, (round(deg / 2.0::double - ln(-ln({sql_uniform('src * 2000003 + dst', 601)})), 9), dst)) choice FROM s JOIN deg ON deg.id = dst GROUP BY 1")
+def gumbel_choice(e):
+    rows = structure.symmetric(e).join(structure.degrees(e).withColumnRenamed("id", "dst"), "dst")
+    return mechanisms.gumbel_choice(rows, "src", "dst", "deg", F.col("src") * 2000003 + F.col("dst"), 2.0)
+
+
+_HRG = f"""hb AS MATERIALIZED (SELECT level, prefix, (1 << level)::bigint half, least((1 << level)::bigint, n - (prefix * 2 + 1) * (1 << level)::bigint) rgt FROM (SELECT count(*) n FROM deg), (SELECT unnest(range(0, ceil(log2((SELECT count(*) FROM deg)::double))::bigint)) level), LATERAL (SELECT unnest(range(0, (n - 1 - (1 << level)::bigint) // (2 * (1 << level)::bigint) + 1)) prefix)),
+hn AS MATERIALIZED (SELECT level, prefix, half, rgt, half * rgt pairs, least(greatest(round_even(coalesce(cnt, 0) + {sql_laplace('prefix * 64 + level', 41, '0.1::double')}, 0), 0)::bigint, half * rgt) k FROM hb LEFT JOIN (SELECT floor(log2(xor(u, v)::double))::bigint level, u >> (floor(log2(xor(u, v)::double))::bigint + 1) prefix, count(*) cnt FROM c GROUP BY 1, 2) USING (level, prefix) WHERE rgt > 0)"""
+
+
+@query("SELECT level, prefix, pairs, k FROM hn")
+def hrg_noisy_counts(e):
+    return synthesizers.hrg_noisy(*synthesizers.compact(e), 10.0)
+
+
+_with("hrg_noisy_counts", _HRG)
+_HKEY = "(prefix * 64 + level) * 1009 + i * 48611"
+_twin("hrg_graph", "SELECT u, v FROM (SELECT block, u, v, k, row_number() OVER (PARTITION BY block ORDER BY i) r FROM (SELECT block, k, least(a, b) u, greatest(a, b) v, min(i) i FROM draws WHERE a <> b GROUP BY ALL)) WHERE r <= k",
+      _HRG + f""", draws AS MATERIALIZED (SELECT prefix * 64 + level block, k, i, prefix * 2 * half + {sql_draw(_HKEY, 42)} % half a, prefix * 2 * half + half + {sql_draw(_HKEY, 43)} % rgt b FROM hn, LATERAL (SELECT unnest(range(1, 4 * k + 17)) i) WHERE k > 0)""")
+
+
+@query(f"SELECT c1, c2, coalesce(cnt, 0) cnt, greatest(round_even(coalesce(cnt, 0) + {sql_laplace('c1 * 2003 + c2', 51, '0.5::double')}, 0), 0)::bigint k FROM (SELECT a.r c1, b.r c2 FROM (SELECT unnest(range(0, 16)) r) a, (SELECT unnest(range(0, 16)) r) b WHERE a.r < b.r) LEFT JOIN (SELECT least(u % 16, v % 16) c1, greatest(u % 16, v % 16) c2, count(*) cnt FROM e GROUP BY 1, 2) USING (c1, c2)")
+def privgraph_between(e):
+    return synthesizers.privgraph_between(e, _labels(e, 16), 2.0, 16)
+
+
+@query(f"SELECT id, id % 16 com, coalesce(n, 0) deg, greatest(round_even(coalesce(n, 0) + {sql_laplace('id', 55, '1.0::double')}, 0), 0)::bigint k FROM deg LEFT JOIN (SELECT src, count(*) n FROM s WHERE src % 16 = dst % 16 GROUP BY 1) ON src = id")
+def privgraph_inside(e):
+    return synthesizers.privgraph_inside(e, _labels(e, 16), 2.0)
+
+
+@query(f"SELECT sum(noisy)::bigint d, sum(noisy * (noisy - 1))::bigint h, greatest(round_even((SELECT count(*) FROM tri) + {sql_laplace('1::bigint', 83, '2 * exp(-0.5::double) * greatest((SELECT max(triangles) FROM base), 1) / 5.0::double')}, 0), 0)::bigint triangle_count FROM (SELECT greatest(round_even(deg + {sql_laplace('id', 82, '0.2::double')}, 0), 0)::bigint noisy FROM deg)")
+def skg_moments(e):
+    return synthesizers.skg_moments(e, 10.0)
+
+
+# ---------------------------------------------------------------- worlds
+
+_W = f"(SELECT unnest(range(0, 6)) world)"
+
+
+def _six_worlds(spark, target) -> DataFrame:
+    return spark.range(6).select(F.col("id").alias("world"), target.cast("long").alias("target"), (F.col("id") % 2).cast("int").alias("bit"), (F.col("id") % 2).cast("int").alias("st"))
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY d, id) - 1 target_no FROM (SELECT id, {sql_draw('id', 201)} d FROM deg) ORDER BY d, id LIMIT 20")
+def node_targets(e):
+    return worlds.targets(structure.vertices(e), F.col("id"), 20)
+
+
+@query(f"SELECT u, v, row_number() OVER (ORDER BY d, u * 2000003 + v) - 1 target_no FROM (SELECT u, v, {sql_draw('u * 2000003 + v', 202)} d FROM e) ORDER BY d, u * 2000003 + v LIMIT 20")
+def edge_targets(e):
+    return worlds.targets(e, sampling.edge_key(), 20, 202)
+
+
+_BASE = f"""tw AS (SELECT world, world * 3 target, world % 2 bit, world % 2 st FROM {_W}), nn AS (SELECT count(*) n FROM deg),
+bn AS MATERIALIZED (SELECT world, id FROM (SELECT world, id, row_number() OVER (PARTITION BY world ORDER BY {sql_draw('id * 4099 + world', 212)}, id) r, greatest(1, floor(0.8::double * n)::bigint + {sql_draw('world', 211)} % 11 - 5) k FROM deg, tw, nn WHERE id <> target) WHERE r <= k)"""
+
+
+@query("SELECT world, id FROM bn")
+def base_nodes(e, spark, sf_dir):
+    return worlds.base_nodes(structure.vertices(e), _six_worlds(spark, F.col("id") * 3))
+
+
+_with("base_nodes", _BASE)
+
+
+@query(f"SELECT world, id FROM (SELECT world, id, row_number() OVER (PARTITION BY world ORDER BY {sql_draw('id * 4099 + world', 222)}, id) r, greatest(10, floor(n * (0.6::double + 0.2::double * {sql_uniform('world', 221)})))::bigint k FROM deg, tw, nn WHERE id <> target) WHERE r <= k UNION ALL SELECT world, target FROM tw WHERE st = 1")
+def training_nodes(e, spark, sf_dir):
+    return worlds.training_nodes(structure.vertices(e), _six_worlds(spark, F.col("id") * 3))
+
+
+_with("training_nodes", _BASE)
+_SHADOW = _BASE + f""", rp AS (SELECT world, arg_min(id, ({sql_draw('id * 4099 + world', 241)}, id)) target FROM deg, tw WHERE bit = 0 AND id <> target AND NOT EXISTS (SELECT 1 FROM bn WHERE bn.world = tw.world AND bn.id = deg.id) GROUP BY 1),
+put AS (SELECT world, target FROM tw WHERE bit = 1 UNION ALL SELECT world, target FROM rp),
+sw AS MATERIALIZED (SELECT a.world, e.u, e.v FROM e JOIN bn a ON a.id = e.u JOIN bn b ON b.id = e.v AND b.world = a.world UNION SELECT world, least(target, dst), greatest(target, dst) FROM (SELECT p.world, p.target, s.dst, row_number() OVER (PARTITION BY p.world ORDER BY {sql_draw('s.dst * 4099 + p.world', 231)}, s.dst) r FROM put p JOIN s ON s.src = p.target JOIN bn ON bn.world = p.world AND bn.id = s.dst) x WHERE r <= 1 + {sql_draw('x.world', 232)} % 3)"""
+
+
+@query("SELECT world, u, v FROM sw")
+def shadow_worlds(e, spark, sf_dir):
+    return worlds.shadow_worlds(e, _six_worlds(spark, F.col("id") * 3))
+
+
+_with("shadow_worlds", _SHADOW)
+_WORLD = """wsym AS MATERIALIZED (SELECT world, u src, v dst FROM sw UNION ALL SELECT world, v, u FROM sw), wdeg AS MATERIALIZED (SELECT world, src id, count(*) deg FROM wsym GROUP BY 1, 2),
+wtri AS MATERIALIZED (SELECT a.world, a.u a, a.v b, b.v c FROM sw a JOIN sw b ON a.world = b.world AND a.v = b.u JOIN sw c ON c.world = a.world AND c.u = a.u AND c.v = b.v),
+wbase AS MATERIALIZED (SELECT d.world, d.id, deg, coalesce(t, 0) t, CASE WHEN deg < 2 THEN 0.0::double ELSE 2.0::double * coalesce(t, 0) / (deg * (deg - 1)) END cl FROM wdeg d LEFT JOIN (SELECT world, id, count(*) t FROM (SELECT world, a id FROM wtri UNION ALL SELECT world, b FROM wtri UNION ALL SELECT world, c FROM wtri) GROUP BY 1, 2) USING (world, id))"""
+
+
+@query("""SELECT tw.world, round(g.n, 6) n, round(g.m, 6) m, round(mean_degree, 6) mean_degree, round(std_degree, 6) std_degree, max_degree::double max_degree, min_degree::double min_degree, round(avg_clustering, 6) avg_clustering, round(transitivity, 6) transitivity,
+round(coalesce(CASE WHEN k < 2 THEN 0 ELSE 2.0 * coalesce(i, 0) / (k * (k - 1)) END, 0)::double, 6) two_hop_density, round(coalesce(md, 0), 6) two_hop_mean_degree FROM tw
+JOIN (SELECT world, count(*)::double n, sum(deg)::double / 2 m, avg(deg) mean_degree, stddev_pop(deg) std_degree, max(deg) max_degree, min(deg) min_degree, avg(cl) avg_clustering, sum(t)::double / sum(deg * (deg - 1) / 2) transitivity FROM wbase GROUP BY 1) g USING (world)
+LEFT JOIN (SELECT world, count(*) k, avg(deg) md FROM near2 n JOIN wdeg d USING (world) WHERE d.id = n.w GROUP BY 1) h USING (world) LEFT JOIN (SELECT a.world, count(*) i FROM near2 a JOIN sw ON sw.world = a.world AND sw.u = a.w JOIN near2 b ON b.world = a.world AND b.w = sw.v GROUP BY 1) x USING (world)""")
+def world_node_features(e, spark, sf_dir):
+    w = _six_worlds(spark, F.col("id") * 3)
+    out = worlds.node_target_features(worlds.shadow_worlds(e, w), w.select("world", "target"))
+    return out.select("world", *[F.element_at("features", i + 1).alias(c) for i, c in enumerate(worlds.NODE_FEATURES)])
+
+
+_with("world_node_features", _SHADOW + ", " + _WORLD + ", near1 AS (SELECT tw.world, target, dst w FROM tw JOIN wsym ON wsym.world = tw.world AND src = target), near2 AS MATERIALIZED (SELECT world, w FROM near1 UNION SELECT n.world, s.dst FROM near1 n JOIN wsym s ON s.world = n.world AND s.src = n.w WHERE s.dst <> n.target)")
+
+
+@query("""SELECT p.world, coalesce(here, 0)::double present, coalesce(common, 0)::double common_neighbors, (a.deg * b.deg)::double degree_product, (coalesce(here, 0) * (a.t + b.t))::double end_triangles,
+round(coalesce(common, 0)::double / (a.deg + b.deg - coalesce(common, 0)), 6) jaccard, abs(a.deg - b.deg)::double degree_difference, round((a.cl + b.cl) / 2, 6) mean_clustering FROM pr p JOIN wbase a ON a.world = p.world AND a.id = p.u JOIN wbase b ON b.world = p.world AND b.id = p.v
+LEFT JOIN (SELECT world w1, 1 here FROM pr JOIN sw USING (world, u, v)) ON w1 = p.world LEFT JOIN (SELECT p.world w2, count(*) common FROM pr p JOIN wsym x ON x.world = p.world AND x.src = p.u JOIN wsym y ON y.world = p.world AND y.src = p.v AND y.dst = x.dst GROUP BY 1) ON w2 = p.world""")
+def world_edge_features(e, spark, sf_dir):
+    w, first = _six_worlds(spark, F.col("id") * 3), e.orderBy("u", "v").limit(6)
+    graphs = worlds.shadow_worlds(e, w)
+    pairs = structure.ranked(first.withColumn("k", F.col("u") * 2000003 + F.col("v")), "k").select(F.col("idx").alias("world"), "u", "v")
+    ends = graphs.select("world", F.explode(F.array("u", "v")).alias("id")).distinct()
+    pairs = pairs.join(ends.withColumnRenamed("id", "u"), ["world", "u"], "left_semi").join(ends.withColumnRenamed("id", "v"), ["world", "v"], "left_semi")
+    out = worlds.edge_target_features(graphs, pairs)
+    names = [c for c in worlds.EDGE_FEATURES if not c.startswith("pad") and c != "betweenness"]
+    return out.select("world", *[F.element_at("features", worlds.EDGE_FEATURES.index(c) + 1).alias(c) for c in names])
+
+
+_with("world_edge_features", _SHADOW + ", " + _WORLD + ", pr AS MATERIALIZED (SELECT world, u, v FROM (SELECT row_number() OVER (ORDER BY u, v) - 1 world, u, v FROM e ORDER BY u, v LIMIT 6))")
+
+
+_EDGEW = f"""pw AS (SELECT row_number() OVER (ORDER BY u, v) - 1 world, u tu, v tv FROM e ORDER BY u, v LIMIT 6), en AS MATERIALIZED (SELECT world, id FROM (SELECT world, id, row_number() OVER (PARTITION BY world ORDER BY {sql_draw('id * 4099 + world', 251)}, id) r FROM deg, pw WHERE id <> tu AND id <> tv) WHERE r <= greatest(5, floor(0.7::double * (SELECT count(*) FROM deg))) UNION ALL SELECT world, tu FROM pw UNION ALL SELECT world, tv FROM pw)"""
+
+
+@query("SELECT a.world, e.u, e.v FROM e JOIN en a ON a.id = e.u JOIN en b ON b.id = e.v AND b.world = a.world JOIN pw ON pw.world = a.world WHERE NOT (a.world % 2 = 0 AND e.u = tu AND e.v = tv)")
+def edge_worlds(e):
+    first = structure.ranked(e.orderBy("u", "v").limit(6).withColumn("k", F.col("u") * 2000003 + F.col("v")), "k")
+    return worlds.edge_worlds(e, first.select(F.col("idx").alias("world"), "u", "v", (F.col("idx") % 2).alias("bit")))
+
+
+_with("edge_worlds", _EDGEW)
+
+
+@query(f"""SELECT world, u, v FROM sw JOIN pt2 USING (world) WHERE greatest(1 + {sql_laplace('u * 2000003 + v + world * 7919', 262, '1 / 1.0::double')}, 0) > theta""")
+def perturbed_kept(e, spark, sf_dir):
+    graphs = worlds.shadow_worlds(e, _six_worlds(spark, F.col("id") * 3))
+    fake = worlds.perturbed(graphs, spark.range(6).select(F.col("id").alias("world"), F.lit(2.0).alias("epsilon")))
+    # what is drawn anew and happens to be an edge of the world is not told apart from what was kept: such pairs were kept out
+    return fake.join(graphs, ["world", "u", "v"], "left_semi").join(worlds.kept_edges(graphs, spark.range(6).select(F.col("id").alias("world"), F.lit(2.0).alias("epsilon"))), ["world", "u", "v"], "left_semi")
+
+
+_with("perturbed_kept", _SHADOW + f""", mt AS (SELECT world, m, n, greatest(m + {sql_laplace('world', 261, '1 / 1.0::double')}, 0) mt FROM (SELECT world, count(*) m FROM sw GROUP BY 1) JOIN (SELECT world, count(DISTINCT id) n FROM (SELECT world, u id FROM sw UNION ALL SELECT world, v FROM sw) GROUP BY 1) USING (world)),
+pt2 AS MATERIALIZED (SELECT world, CASE WHEN 1.0 < ln(n * (n - 1) / 2.0::double / mt - 1) THEN ln(n * (n - 1) / 2.0::double / mt - 1) / 2.0 ELSE ln(n * (n - 1) / 2.0::double / (2 * mt) - 0.5 + exp(1.0::double) / 2) END theta FROM mt)""")
+
+
+@query(f"""SELECT w.world, CASE {sql_draw('w.world', 311)} % 5 {' '.join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(attacks.ATTRIBUTES))} END attribute FROM {_W} w""")
+def sensitive_attributes(e, spark, sf_dir):
+    return spark.range(6).select(F.col("id").alias("world"), evaluation.sensitive_attribute(F.col("id"), attacks.ATTRIBUTES).alias("attribute"))
+
+
+@query(f"SELECT count(*) n FROM (SELECT id FROM {_FIRST} INTERSECT SELECT id FROM {_SPLIT} WHERE id NOT IN (SELECT id FROM {_FIRST}))")
+def split_overlap(e):
+    a, b = sampling.node_split(e, 0.5, 100)
+    return a.intersect(b).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- attacks
+
+
+@query()
+def node_membership_attack(e):
+    return attacks.mia_statistics(evaluation.node_membership(e, [1.0, 10.0], 2, 2, shadows=5))
+
+
+@query()
+def edge_membership_attack(e):
+    return attacks.mia_statistics(evaluation.edge_membership(e, [1.0, 10.0], 2, 2, shadows=5))
+
+
+@query()
+def node_attribute_attack(e):
+    return evaluation.attribute_table(evaluation.node_attributes(e, [1.0, 10.0], 4, 1))
+
+
+@query(f"""SELECT epsilon, round(avg(s), 6) mean_success, round(max(s), 6) best_success, round(min(s), 6) worst_success, arg_min(target, (-s, target)) best_target, arg_min(target, (s, target)) worst_target FROM (SELECT epsilon, target::varchar target, avg((actual = prediction)::int) s FROM {_RESULTS} GROUP BY 1, 2) GROUP BY 1""")
+def best_and_worst_targets(e, spark, sf_dir):
+    return evaluation.best_and_worst(_results(spark, sf_dir))
+
+
+@query(f"""SELECT epsilon, total_attacks, in_member_attacks, out_member_attacks, round(tpr, 6) tpr, round(fpr, 6) fpr, round(success_rate, 6) success_rate, round(tpr - fpr, 6) advantage, unique_targets, round(advantage_std, 6) advantage_std, round(advantage_range, 6) advantage_range FROM
+(SELECT epsilon, count(*) total_attacks, count(*) FILTER (actual = 1) in_member_attacks, count(*) FILTER (actual = 0) out_member_attacks, avg((actual = prediction)::int) FILTER (actual = 1) tpr, avg((actual = prediction)::int) FILTER (actual = 0) fpr, avg((actual = prediction)::int) success_rate FROM {_RESULTS} GROUP BY 1)
+JOIN (SELECT epsilon, count(*) unique_targets, stddev_pop(a) advantage_std, max(a) - min(a) advantage_range FROM (SELECT epsilon, target, avg((actual = prediction)::int) a FROM {_RESULTS} GROUP BY 1, 2) GROUP BY 1) USING (epsilon)""")
+def attribute_table(e, spark, sf_dir):
+    return evaluation.attribute_table(_results(spark, sf_dir).select("epsilon", "target", F.col("actual").alias("st"), F.col("success").alias("correct")))
+
+
+@query(f"SELECT target % 5 attribute, actual st, count(*) attacks, round(avg((actual = prediction)::int), 6) accuracy, round(avg(confidence), 6) mean_error FROM {_RESULTS} GROUP BY 1, 2")
+def attack_summary(e, spark, sf_dir):
+    return evaluation.attack_summary(_results(spark, sf_dir).select((F.col("target") % 5).alias("attribute"), F.col("actual").alias("st"), F.col("success").alias("correct"), F.col("confidence").alias("error")))
+
+
+# ---------------------------------------------------------------- tables
+
+
+def _customers(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+
+
+def _meta(spark, sf_dir):
+    return tabular.Metadata.of(_customers(spark, sf_dir), ["c_acctbal"], ["c_mktsegment"], 8)
+
+
+@query("SELECT c_custkey, c_nationkey::bigint c_nationkey, c_mktsegment, least(greatest(floor((c_acctbal - lo) / ((hi - lo) / 8)), 0), 7)::bigint c_acctbal FROM customer, (SELECT min(c_acctbal) lo, max(c_acctbal) hi FROM customer)")
+def binned_table(e, spark, sf_dir):
+    return tabular.binned(_customers(spark, sf_dir), _meta(spark, sf_dir))
+
+
+@query("SELECT c_custkey, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::bigint c_mktsegment FROM customer")
+def coded_table(e, spark, sf_dir):
+    return tabular.coded(_customers(spark, sf_dir), _meta(spark, sf_dir)).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT c_custkey, round(CASE WHEN c_custkey % 4 = 0 THEN (SELECT median(c_acctbal) FROM customer WHERE c_custkey % 4 <> 0) ELSE c_acctbal END, 6) c_acctbal, CASE WHEN c_custkey % 6 = 0 THEN (SELECT c_mktsegment FROM customer WHERE c_custkey % 6 <> 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) ELSE c_mktsegment END c_mktsegment FROM customer")
+def imputed_table(e, spark, sf_dir):
+    c = _customers(spark, sf_dir).select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("c_acctbal"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return tabular.imputed(c, ["c_acctbal"], ["c_mktsegment"])
+
+
+@query(f"SELECT shadow, c_custkey FROM (SELECT shadow, c_custkey, row_number() OVER (PARTITION BY shadow ORDER BY {sql_draw('c_custkey * 8191 + shadow', 501)}, c_custkey) r FROM customer, (SELECT unnest(range(0, 5)) shadow)) WHERE r <= 100")
+def shadow_tables(e, spark, sf_dir):
+    return tabular.shadow_splits(_customers(spark, sf_dir).select("c_custkey"), "c_custkey", 5, 100)
+
+
+@query("SELECT o_orderkey, round(regr_intercept + regr_slope * k, 4) predicted FROM (SELECT o_orderkey, o_custkey::double k FROM orders), (SELECT regr_slope(o_totalprice, o_custkey) regr_slope, regr_intercept(o_totalprice, o_custkey) regr_intercept FROM orders)")
+def linear_reconstruction(e, spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    return tabular.LinearReconstruction(["o_custkey"], "o_totalprice").train(o).attack(o).select("o_orderkey", F.round("predicted", 4).alias("predicted"))
+
+
+@query("SELECT s_suppkey c_custkey, round((SELECT avg(y) FROM (SELECT (c_custkey % 2)::double y FROM customer ORDER BY power(c_acctbal - s_acctbal, 2), (c_custkey % 2) LIMIT 5)), 6) guess FROM supplier")
+def nearest_guess(e, spark, sf_dir):
+    rows = _customers(spark, sf_dir).withColumn("label", F.col("c_custkey") % 2)
+    asked = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return tabular.nearest(rows, asked, ["c_acctbal"], "label", "c_custkey")
+
+
+@query()
+def table_membership(e, spark, sf_dir):
+    rows = _customers(spark, sf_dir)
+    data = tabular.shadow_data(rows, "c_custkey", rows.orderBy("c_custkey").limit(10), 4, 200)
+    model = tabular.MembershipClassifier(["c_acctbal"], ["c_mktsegment"], ["c_nationkey", "c_mktsegment"], "LogisticRegression").train(data)
+    return model.attack(rows)
+
+
+@query()
+def table_reconstruction(e, spark, sf_dir):
+    rows = _customers(spark, sf_dir)
+    return tabular.ForestReconstruction(["c_acctbal"], ["c_nationkey"], "c_mktsegment", ["c_nationkey", "c_acctbal"]).train(rows).attack(rows)
+
+
+# ---------------------------------------------------------------- reports
+
+
+@query()
+def utility_full(e):
+    """The 15 losses of one synthetic graph."""
+    real, n = synthesizers.compact(e)
+    return compare.all_losses(compare.measured(real), compare.measured(synthesizers.synthesize(real, n, 10.0, "tmf")[0]))
+
+
+@query()
+def standalone_report(e):
+    return jobs.standalone(e, ["tmf"], [10.0], 1)
