@@ -111,13 +111,18 @@ def node_attributes(edges: DataFrame, epsilons: list[float], k: int, rounds: int
     fake = cut_lineage(worlds.perturbed(worlds.induced(edges, nodes), w.select("world", "epsilon")))
     rows = worlds.of_world(structure.node_features(cut_lineage(worlds.tagged(fake)))).select("world", *[F.col(a).cast("double").alias(a) for a in attributes])
     asked = known_features(real, w.select("world", "target", "st", "attribute"), attributes)
+    return _guessed(w, rows, asked, real, attributes, 10)
+
+
+def _guessed(w: DataFrame, rows: DataFrame, asked: DataFrame, real: DataFrame, attributes: tuple[str, ...], least: int) -> DataFrame:
+    """A forest a world learns on its rows and predicts what is asked."""
     rows = rows.select("world", *attributes, F.lit(False).alias("asked"), F.lit(None).cast("string").alias("attribute")).unionByName(
         asked.select("world", *[F.coalesce(F.element_at("known", F.lit(a)), F.lit(0.0)).alias(a) for a in attributes], F.lit(True).alias("asked"), "attribute"))
     names = list(attributes)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         known, one = pdf[~pdf.asked], pdf[pdf.asked]
-        if len(known) < 10 or one.empty:
+        if len(known) < least or one.empty:
             return pd.DataFrame({"world": [], "predicted": [], "training_samples": []})
         hidden = one.attribute.iloc[0]
         use = [a for a in names if a != hidden]
@@ -134,6 +139,22 @@ def node_attributes(edges: DataFrame, epsilons: list[float], k: int, rounds: int
     return out.select("epsilon", "target", "st", "round", "attribute", "true_value", "predicted_value", "absolute_error", "error", "correct", "training_samples")
 
 
+EDGE_ATTRIBUTES = ("common_neighbors", "jaccard", "preferential_attachment", "degree_difference", "mean_clustering")
+
+
+def edge_attributes(edges: DataFrame, epsilons: list[float], k: int, rounds: int, attributes: tuple[str, ...] = EDGE_ATTRIBUTES) -> DataFrame:
+    """As node_attributes, of k edge targets: training graphs hold both ends, and the edge itself if st is 1."""
+    key = F.col("u") * 2000003 + F.col("v")
+    chosen = worlds.targets(edges.select("u", "v"), key, k, 204)
+    w = cut_lineage(attribute_jobs(job_table(edges.sparkSession, epsilons, chosen, rounds), attributes))
+    graphs = cut_lineage(worlds.edge_worlds(edges, w.select("world", "u", "v", F.col("st").alias("bit"))))
+    fake = cut_lineage(worlds.perturbed(graphs, w.select("world", "epsilon")))
+    real = cut_lineage(structure.edge_features(edges).withColumn("id", key))
+    rows = worlds.of_world(structure.edge_features(cut_lineage(worlds.tagged(fake))), "u").select("world", *[F.col(a).cast("double").alias(a) for a in attributes])
+    plan = w.withColumn("target", key)
+    return _guessed(plan, rows, known_features(real, plan.select("world", "target", "st", "attribute"), attributes), real, attributes, 5)
+
+
 def attribute_table(results: DataFrame) -> DataFrame:
     """One row an epsilon: the share of right guesses with and without the target, their difference, and its spread."""
     side = lambda k: F.coalesce(F.avg(F.when(F.col("st") == k, F.col("correct").cast("double"))), F.lit(0.0))

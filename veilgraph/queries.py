@@ -798,6 +798,11 @@ def node_attribute_attack(e):
     return evaluation.attribute_table(evaluation.node_attributes(e, [1.0, 10.0], 4, 1))
 
 
+@query()
+def edge_attribute_attack(e):
+    return evaluation.attribute_table(evaluation.edge_attributes(e, [10.0], 4, 1))
+
+
 @query(f"""SELECT epsilon, round(avg(s), 6) mean_success, round(max(s), 6) best_success, round(min(s), 6) worst_success, arg_min(target, (-s, target)) best_target, arg_min(target, (s, target)) worst_target FROM (SELECT epsilon, target::varchar target, avg((actual = prediction)::int) s FROM {_RESULTS} GROUP BY 1, 2) GROUP BY 1""")
 def best_and_worst_targets(e, spark, sf_dir):
     return evaluation.best_and_worst(_results(spark, sf_dir))

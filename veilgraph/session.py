@@ -15,13 +15,21 @@ def session(app: str = "veilgraph", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df under spark.checkpoint.dir, which all executors share, and reads it back."""
-    spark = df.sparkSession
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Unset, a temporary one serves a local master, where all is one machine; a
+    cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veilgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df under spark.checkpoint.dir, which all executors share, and reads it back."""
+    spark = df.sparkSession
+    path = f"{shared_base(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -80,3 +80,43 @@ def write_edges(edges: DataFrame, path: str, sep: str = " ", header: bool = Fals
 def write_table(df: DataFrame, path: str) -> None:
     """A result table as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_csr(spark: SparkSession, path: str) -> DataFrame:
+    """(u, v), u <= v, distinct, from binary files: the number of nodes (int32), for each node the number of links up to and
+    with it (int64), the links' ends (int32), all little-endian. A file is read by one task, as its links have no names."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                n = int(np.frombuffer(data, "<i4", 1)[0])
+                ends = np.frombuffer(data, "<i8", n, 4)
+                to = np.frombuffer(data, "<i4", int(ends[-1]) if n else 0, 4 + 8 * n).astype(np.int64)
+                src = np.repeat(np.arange(n, dtype=np.int64), np.diff(ends, prepend=0))
+                for i in range(0, len(to), 1 << 20):
+                    yield pa.RecordBatch.from_arrays([pa.array(src[i : i + (1 << 20)]), pa.array(to[i : i + (1 << 20)])], ["a", "b"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "a long, b long")
+    return rows.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """Detailed results, nested columns kept, as Parquet."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def append_runs(rows: DataFrame, path: str) -> None:
+    """Adds rows to a table of runs."""
+    rows.withColumn("written", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def load_method(path: str, name: str):
+    """A function (edges, n, epsilon) -> edges of a Python file, for the registry; what goes wrong is raised."""
+    import importlib.util
+
+    spec = importlib.util.spec_from_file_location("veilgraph_plugin", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return getattr(module, name)
