@@ -25,6 +25,20 @@ def test_equals_the_library():
         assert own.decode(ids).decode() == sp.decode(ids), text
 
 
+def test_both_agendas_agree():
+    """Parts of all lengths, with characters that are no piece, by the heap and side by side."""
+    own, r = PieceModel(PATH), random.Random(8)
+    parts = list({"".join(r.choice("▁abcdeéñ漢🎉thein0.") for _ in range(r.randrange(1, 40))) for _ in range(3000)} | {"a" * n for n in range(1, 40)})
+    assert own._agendas(parts) == [own._agenda(p) for p in parts]
+
+
+def test_a_very_long_text_and_ties():
+    own, sp = PieceModel(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = ["word and word " * 50_000 + "x" * 5_000, "aaaa aaaaa aaaaaa " * 10, "word and word " * 3]
+    for text, got in zip(texts * 2, own.encode_batch(texts * 2), strict=True):
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == sp.encode(text, add_bos=True, add_eos=True)
+
+
 def test_decodes_any_ids():
     own, sp = PieceModel(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
     r = random.Random(5)

@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
-The encoder keeps an agenda (a heap) of adjacent symbol pairs ordered by piece score, then by position. As no
+The encoder keeps an agenda of adjacent symbol pairs ordered by piece score, then by position: a heap for a long part, a
+row of ranks for each of many short ones, which are merged side by side. As no
 piece of such a vocabulary has a space mark after another character, a text splits before each run of space
 marks into segments that never merge with each other; segments that repeat are encoded once per worker. Every
 segment that a worker meets for the first time is also encoded by the sentencepiece library, a batch at a time,
@@ -18,7 +19,9 @@ import re
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,7 +30,10 @@ from .common import id_text, remembered, rows_of
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries and characters up to which a worker remembers segments; past it the memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 1_200_000, 48
+REMEMBERED, REMEMBERED_CHARS = 700_000, 48
+#: Parts that are merged side by side, and segments that the library gets in one text.
+AT_ONCE, TOGETHER = 32_768, 256
+NO_PAIR, NO_ID = 1 << 60, 0xFFFFFFFF
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,8 +104,7 @@ class PieceModel:
         self.head, self.tail = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         self._pairs()
         self.seen: dict[str, bytes] = {}
-        self.seen_parts: dict[str, bytes] = {}
-        self.fresh: dict[str, bytes] = {}
+        self._tables()
         self.library = None
         if verify:
             import sentencepiece
@@ -148,55 +153,140 @@ class PieceModel:
                     ids.append(self.unk)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _part(self, part: str) -> bytes:
-        if (ids := self.seen_parts.get(part)) is None:
-            ids = self._agenda(part)
-            if len(part) <= 8:
-                if len(self.seen_parts) >= REMEMBERED // 8:
-                    self.seen_parts.clear()
-                self.seen_parts[part] = ids
-        return ids
-
-    def _segment(self, segment: str) -> bytes:
-        """segment: one or more spaces, then no space. Those with one space are remembered without it."""
-        key = segment[1:] if segment[1:2] != " " and len(segment) > 1 else segment
-        if (ids := self.seen.get(key)) is None:
-            ids = b"".join(map(self._part, self.parts.findall(segment.replace(" ", MARK))))
-            if self.library and len(segment) > 1:  # a lone space would reach the library as an empty text
-                self.fresh[segment] = ids
-            if len(key) <= REMEMBERED_CHARS:
-                self.seen[key] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers, without begin and end."""
-        if not text:
-            return b""
-        if MARK in text:
-            text = text.replace(MARK, " ")
-        words, seen = text.split(" "), self.seen
-        if "" in words:
-            return b"".join(map(self._segment, re.findall(" +[^ ]*", " " + text)))
-        long = {}
-        for w in set(words).difference(seen):
-            ids = self._segment(" " + w)
-            if len(w) > REMEMBERED_CHARS:
-                long[w] = ids
-        if long:
-            return b"".join([long[w] if w in long else seen[w] for w in words])
-        return b"".join(map(seen.__getitem__, words))
+    def _agendas(self, parts: list[str]) -> list[bytes]:
+        """_agenda() of many parts, side by side by length: a row of an array is a part's agenda, the ranks of its adjacent
+        pairs; in each step every part merges its pair of the best score, the first one on ties."""
+        out: list[bytes | None] = [None] * len(parts)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        for low, high in ((1, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 32)):
+            rows = np.flatnonzero((lengths > low) & (lengths <= high))
+            for s in range(0, len(rows), AT_ONCE):
+                some = rows[s : s + AT_ONCE]
+                for i, ids in zip(some.tolist(), self._side_by_side([parts[i] for i in some.tolist()], high), strict=True):
+                    out[i] = ids
+        return [self._agenda(x) if ids is None else ids for x, ids in zip(parts, out, strict=True)]
+
+    def _side_by_side(self, parts: list[str], width: int) -> list[bytes | None]:
+        """None for parts with a character that is no symbol."""
+        points = np.frombuffer("".join([x.ljust(width, "\0") for x in parts]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(parts), width)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        inside = np.arange(width) < lengths[:, None]
+        symbols = np.where(inside & (self.points[at] == points), self.point_symbols[at], -1)
+        odd = (inside & (symbols < 0)).any(1)
+        found: list[bytes | None] = [None] * len(parts)
+        rows = np.flatnonzero(~odd)
+        symbols, left = symbols[rows], lengths[rows]
+        value = self._value(symbols[:, :-1], symbols[:, 1:])
+        columns = np.arange(width)
+        while len(rows):
+            best = (value >> 20).argmin(1)
+            n = np.arange(len(rows))
+            own = value[n, best]
+            done = own == NO_PAIR
+            if done.any():
+                ids = self.id_of_symbol[symbols[done]].astype("<u4")
+                bad = ((ids == NO_ID) & (columns < left[done][:, None])).any(1)  # a symbol that is no piece is spelled in bytes
+                for i, k, x, odd_one in zip(rows[done].tolist(), left[done].tolist(), ids, bad.tolist(), strict=True):
+                    if not odd_one:
+                        found[i] = x[:k].tobytes()
+                go = ~done
+                rows, symbols, value, left, best, own = rows[go], symbols[go], value[go], left[go], best[go], own[go]
+                if not len(rows):
+                    break
+                n = np.arange(len(rows))
+            symbols[n, best] = own & self.no_symbol
+            # what stands after the merged pair moves one place to the front
+            move = np.minimum(columns + (columns > best[:, None]), width - 1)
+            symbols = np.take_along_axis(symbols, move, 1)
+            left = left - 1
+            symbols[n, left] = -1
+            value = np.take_along_axis(value, np.minimum(move[:, :-1], width - 2), 1)
+            value[n, np.minimum(left - 1, width - 2)] = NO_PAIR
+            for place in (best - 1, best):
+                inner = np.flatnonzero((place >= 0) & (place < width - 1))
+                k = place[inner]
+                value[inner, k] = self._value(symbols[inner, k], symbols[inner, k + 1])
+        return found
+
+    def _value(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the score << 20 | symbol made of two symbols, NO_PAIR where they make none."""
+        key = a.astype(np.int64) << 20 | b
+        slot = self._slot(key)
+        out = np.where(self.table_keys[slot] == key, self.table_values[slot], NO_PAIR)
+        open_ = (self.table_keys[slot] != key) & (self.table_keys[slot] >= 0) & (a >= 0) & (b >= 0)
+        while open_.any():  # the next slots, while they hold other keys
+            slot = (slot + open_) & (len(self.table_keys) - 1)
+            own = self.table_keys[slot]
+            hit = open_ & (own == key)
+            out[hit] = self.table_values[slot[hit]]
+            open_ &= (own != key) & (own >= 0)
+        return np.where((a >= 0) & (b >= 0), out, NO_PAIR)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.table_bits)).astype(np.int64)
+
+    def _tables(self) -> None:
+        """Symbols of characters, pieces of symbols, and the pairs in a hash table of a quarter's load."""
+        chars = sorted((ord(c), i) for c, i in self.symbol_of.items() if len(c) == 1)
+        self.points, self.point_symbols = (np.array(x) for x in zip(*chars, strict=True))
+        self.id_of_symbol = np.full(len(self.symbol_of) + 1, NO_ID, np.int64)
+        for symbol, i in self.ids_of.items():
+            self.id_of_symbol[symbol] = i
+        self.table_bits = max(4, (4 * len(self.pair)).bit_length())
+        self.table_keys, self.table_values = np.full(1 << self.table_bits, -1, np.int64), np.zeros(1 << self.table_bits, np.int64)
+        keys = np.fromiter(self.pair, np.int64, len(self.pair))
+        for key, slot in zip(keys.tolist(), self._slot(keys).tolist(), strict=True):
+            while self.table_keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.table_bits) - 1)
+            self.table_keys[slot], self.table_values[slot] = key, self.pair[key]
+
+    def _learn(self, segments: list[str]) -> dict[str, bytes]:
+        """Ids of segments: one or more spaces, then no space. All are held against the library's, a batch at a time."""
+        split = [self.parts.findall(x.replace(" ", MARK)) for x in segments]
+        parts = list({p for x in split for p in x})
+        ids_of = dict(zip(parts, self._agendas(parts), strict=True))
+        out = {x: b"".join([ids_of[p] for p in own]) for x, own in zip(segments, split, strict=True)}
+        if self.library:
+            known = [x for x in segments if len(x) > 1]  # a lone space would reach the library as an empty text
+            # most segments stand side by side in a text as they do alone, so many are held against the library at once,
+            # and one by one only where that differs
+            for s in range(0, len(known), TOGETHER):
+                some = known[s : s + TOGETHER]
+                if b"".join([out[x] for x in some]) != array("I", self.library.encode("".join(some)[1:])).tobytes():
+                    for x in some:
+                        if out[x] != array("I", self.library.encode(x[1:])).tobytes():
+                            raise RuntimeError(f"the ids of {x[:80]!r} differ from the library's")
+        return out
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids with begin and end; what is new is checked against the library."""
+        """Ids with begin and end, as little-endian 32-bit integers; what is new is checked against the library."""
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
-        out = [self.head + self.encode(x) + self.tail for x in texts]
-        if self.fresh:
-            known = list(self.fresh)
-            for segment, ids in zip(known, self.library.encode([x[1:] for x in known], num_threads=1), strict=True):
-                if self.fresh[segment] != struct.pack(f"<{len(ids)}I", *ids):
-                    raise RuntimeError(f"the ids of {segment[:80]!r} differ from the library's")
-            self.fresh.clear()
+        seen = self.seen
+        split, odd = [], {}
+        for i, text in enumerate(texts):
+            if MARK in text:
+                text = text.replace(MARK, " ")
+            words = text.split(" ") if text else []
+            if "" in words:  # runs of spaces belong to the segment that they begin
+                odd[i] = re.findall(" +[^ ]*", " " + text)
+                words = []
+            split.append(words)
+        new = set(chain.from_iterable(split)).difference(seen)
+        rest = {x for own in odd.values() for x in own}
+        found = self._learn([*(" " + w for w in new), *sorted(x for x in rest if x[1:] not in new)])
+        long = {w: found[" " + w] for w in new if len(w) > REMEMBERED_CHARS}
+        seen.update((w, found[" " + w]) for w in new if w not in long)
+        out = []
+        for i, words in enumerate(split):
+            if i in odd:
+                own = [found[x] for x in odd[i]]
+            elif long and not long.keys().isdisjoint(words):
+                own = [long[w] if w in long else seen[w] for w in words]
+            else:
+                own = map(seen.__getitem__, words)
+            out.append(self.head + b"".join(own) + self.tail)
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
