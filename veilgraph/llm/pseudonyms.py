@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh
+from .common import forget, fresh
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -244,6 +244,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", keep: list
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = Pseudonyms(key)
         for b in batches:
             pairs = [(None, []) if t is None else own.text(t) for t in b.column(b.num_columns - 1).to_pylist()]

@@ -30,7 +30,7 @@ from .common import id_text, remembered, rows_of
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries and characters up to which a worker remembers segments; past it the memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 700_000, 48
+REMEMBERED, REMEMBERED_CHARS = 500_000, 48
 #: Parts that are merged side by side, and segments that the library gets in one text.
 AT_ONCE, TOGETHER = 32_768, 256
 NO_PAIR, NO_ID = 1 << 60, 0xFFFFFFFF

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, parts_of, remembered
+from .common import forget, fresh, parts_of, remembered
 
 P, DECAY = 4, np.float32(0.6)
 WINDOW, STEP = 16, 8
@@ -364,6 +364,7 @@ def train(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TRAINING, id_
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(bounded), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         texts, marks, chars = [], [], [0, 0]
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -427,5 +428,6 @@ def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text",
                 values = np.array([(known[w], w != "") for w in names], float).reshape(-1, 2)[code.indices.to_numpy()]
                 total, n = (np.bincount(text_of, values[:, k], b.num_rows) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own.score(total, n))], names=[*b.schema.names[:-1], out_col])
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, rows.drop(held_text).schema.add(out_col, "double"))
