@@ -21,9 +21,12 @@ BATCH_CHARS = 4_000_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset (tests)."""
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share. Unset, a temporary one serves a local master
+    (tests), where all is one machine; a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veilgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
