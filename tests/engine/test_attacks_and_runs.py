@@ -61,7 +61,7 @@ def test_first_of_each_against_sorting(spark):
 def test_membership_of_what_is_not_hidden(spark):
     """Without noise worth the name the attack mostly tells the edge's bit."""
     e = graph(spark, [(i, (i * 7 + 1) % 30) for i in range(30) if i != (i * 7 + 1) % 30] + [(i, i + 1) for i in range(29)]).distinct()
-    out = evaluation.edge_membership(e, [2000.0], 2, 3, shadows=6)
+    out = evaluation.edge_membership(e, [2000.0], 2, 3, shadows=15)
     assert out.count() == 6 and out.agg(F.avg("success")).first()[0] > 0.75
     stats = attacks.mia_statistics(out).first()
     assert stats.total_attacks == 6 and stats.success_rate > 0.75 and stats.advantage > 0.5
