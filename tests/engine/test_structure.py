@@ -84,10 +84,20 @@ def test_searches_side_by_side_agree_with_single_ones(spark):
     e, want = graph(spark, pairs), steps(pairs)
     assert len(want) > paths.LANES and max(Counter(x for p in pairs for x in p).values()) > paths.COLUMNS
     assert {r.d: r.cnt for r in paths.distance_histogram(e, True).collect()} == Counter(d for x in want.values() for d in x.values())
+    big = {d: c for d, c in Counter(d for x in want.values() if len(x) > len(want) / 2 for d in x.values()).items() if d}
+    assert one(paths.path_summary(e)) == {"diameter": max(big), "avg_shortest_path": pytest.approx(sum(d * c for d, c in big.items()) / sum(big.values()))}
     # the work is dealt over tasks, however few bytes the sources are
     assert paths.spread_range(spark, 10_000, paths.LANES).rdd.getNumPartitions() > 1
 
 
+def test_pair_distances_of_many_sources(spark):
+    pairs = random_graph(400, 300, 90)
+    want = steps(pairs)
+    asked = [(u, v) for u in range(400) for v in (u, (u * 7 + 1) % 400, 999)]
+    got = {(r.u, r.v): r.distance for r in paths.pair_distances(graph(spark, pairs), spark.createDataFrame(asked, "u long, v long")).collect()}
+    assert got == {(u, v): float(want.get(u, {}).get(v, paths.UNREACHABLE)) for u, v in asked}
+
+
 def test_empty(spark):
     e = graph(spark, SMALL).limit(0)
     assert one(structure.graph_size(e)) == {"node_count": 0, "edge_count": 0}
