@@ -10,7 +10,7 @@ from veilgraph.sources import append_runs, followed, load_method, read_csr
 from veilgraph import queries
 from pyspark.sql import functions as F
 
-from .test_structure import SMALL, graph
+from .test_structure import SMALL, graph, random_graph, steps
 
 
 def two_cliques(k=6):
@@ -27,6 +27,33 @@ def test_betweenness_and_distances(spark):
     assert {(r.u, r.v): r.distance for r in paths.pair_distances(e, pairs).collect()} == {(0, 3): 3.0, (3, 0): 3.0, (1, 1): 0.0, (0, 9): 3.0, (0, 1): 1.0}
 
 
+def test_betweenness_against_counting_paths(spark):
+    pairs = random_graph(90, 110, 70)
+    near = {x: [w for p in pairs if x in p for w in p if w != x] for x in {y for p in pairs for y in p}}
+    far, want = steps(pairs), dict.fromkeys(pairs, 0.0)
+
+    def count(s):
+        """Shortest paths from s to each node."""
+        out = {s: 1}
+        for x in sorted(far[s], key=far[s].get):
+            if x != s:
+                out[x] = sum(out[w] for w in near[x] if far[s][w] == far[s][x] - 1)
+        return out
+
+    paths_from = {s: count(s) for s in near}
+    for s in near:
+        for t in far[s]:
+            for u, v in pairs:
+                for a, b in ((u, v), (v, u)):
+                    if t != s and a in far[s] and far[s][a] + 1 + far[t][b] == far[s][t]:
+                        want[u, v] += paths_from[s][a] * paths_from[t][b] / paths_from[s][t]
+    n = len(near)
+    rows = paths.edge_betweenness(graph(spark, pairs)).collect()
+    assert len(rows) == len(pairs) and {(r.u, r.v): r.betweenness for r in rows} == pytest.approx({k: x / (n * (n - 1)) for k, x in want.items()})
+    part = paths.edge_betweenness(graph(spark, pairs), spark.createDataFrame([(s,) for s in near], "id long")).collect()
+    assert sum(r.betweenness for r in part) == pytest.approx(sum(r.betweenness for r in rows))
+
+
 def test_core_numbers_of_a_long_path(spark):
     e = graph(spark, [(i, i + 1) for i in range(30)] + [(0, 30)])
     assert {r.core for r in structure.core_numbers(e).collect()} == {2}
