@@ -1,9 +1,11 @@
 import math
+import random
 import struct
 
+import numpy as np
 import pytest
 
-from veilgraph.functions.noise import draw
+from veilgraph.functions.noise import draw, drawn
 from veilgraph.operators import attacks, community, compare, evaluation, influence, mechanisms, paths, structure, synthesizers, tabular, worlds
 from veilgraph.plans import jobs
 from veilgraph.sources import append_runs, followed, load_method, read_csr
@@ -140,6 +142,32 @@ def test_influence(spark):
     assert [(r.k, r.p) for r in influence.merge_queues(rows, "k", "p").orderBy("rank").collect()] == [(1, 1.0), (2, 3.0)]
 
 
+def test_cascades_of_searches_and_of_joins_agree(spark):
+    e = graph(spark, random_graph(80, 120, 40)).withColumn("weight", F.col("u") % 3 + 1)
+    start = spark.createDataFrame([(0,), (7,), (7,), (5000,)], "id long")
+    got, want = (sorted(map(tuple, f(e, start, 12, 0.2).select("run", "id").collect())) for f in (influence.cascades, influence._joined_cascades))
+    assert got == want and len(got) > 3 * 12
+    keys = [0, 5, 2**40 + 3, 2**60]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", draw(F.col("k"), 401)).collect()
+    assert [int(x) for x in drawn(np.array([r[0] for r in rows]), 401)] == [r[1] for r in rows]
+
+
+def test_nearest_against_sorting(spark):
+    """Ties in distance go by label, also where a value has many copies or two values are as far."""
+    r = random.Random(6)
+    rows = [(i, r.choice([1.0, 2.0, 3.0, 4.5, 7.0]), float(r.randrange(3)), i % 4) for i in range(300)] + [(900, 40.0, 1.0, 2), (901, None, 1.0, 0)]
+    asked = [(i, x, 1.0) for i, x in enumerate([0.0, 1.5, 2.0, 2.5, 39.0, 100.0, 20.0])]
+    data, targets = spark.createDataFrame(rows, "k long, x double, z double, y long"), spark.createDataFrame(asked, "k long, x double, z double")
+    for numbers, place in ((["x"], (1,)), (["x", "z"], (1, 2))):
+        for parts in (1, 6):
+            got = {x.k: x.guess for x in tabular.nearest(data.repartition(parts), targets, numbers, "y", "k").collect()}
+            for t in asked:
+                near = sorted((sum((w[c] - t[c]) ** 2 for c in place), w[3]) for w in rows if w[1] is not None)[:5]
+                assert got[t[0]] == pytest.approx(sum(y for _, y in near) / 5), (numbers, t)
+    few = tabular.nearest(data.where("k < 3"), targets, ["x"], "y", "k").collect()
+    assert {x.guess for x in few} == {1.0} and "CartesianProduct" not in (plan := tabular.nearest(data, targets, ["x"], "y", "k")._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
 def test_tabular(spark):
     rows = spark.createDataFrame([(i, float(i % 7) if i % 5 else None, "ab"[i % 2] if i % 3 else None, float(2 * (i % 7) + 1)) for i in range(200)], "k long, x double, c string, y double")
     full = tabular.imputed(rows, ["x"], ["c"])
