@@ -6,6 +6,8 @@ import math
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -147,14 +149,77 @@ def shadow_data(rows: DataFrame, key: str, targets: DataFrame, shadows: int, siz
     return sanitise(both) if sanitise else both
 
 
+def _closest(x: np.ndarray, y: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of rows (x, y) the k of least (distance, y) to each target t, for one number: (place in t, distance, y). Only what lies
+    next to a target on either side is met, and further rows as long as they are as near as the k-th."""
+    sides = []
+    for sign in (1, -1):  # at or above the target, and below it
+        order = np.lexsort((y, sign * x))
+        v, label = x[order], y[order]
+        run = np.flatnonzero(np.diff(v, prepend=np.nan) != 0)
+        nth = np.arange(len(v)) - np.repeat(run, np.diff(np.append(run, len(v))))
+        v, label = v[nth < k], label[nth < k]
+        sides.append((v, label, np.searchsorted(v, t) if sign > 0 else np.searchsorted(-v, -t, "right")))
+    width = k
+    while True:
+        d, own, more = [], [], []
+        for v, label, start in sides:
+            at = start[:, None] + np.arange(width)
+            here = at < len(v)
+            at = np.minimum(at, len(v) - 1)
+            d.append(np.where(here, (v[at] - t[:, None]) ** 2, np.nan))
+            own.append(label[at])
+            more.append(start + width < len(v))
+        both, labels = np.concatenate(d, 1), np.concatenate(own, 1)
+        limit = np.sort(both, 1)[:, k - 1]
+        if not any((m & (s[:, -1] <= limit)).any() for m, s in zip(more, d, strict=True)):
+            break
+        width *= 2
+    order = np.lexsort((labels, both))[:, :k]
+    both, labels = np.take_along_axis(both, order, 1), np.take_along_axis(labels, order, 1)
+    place, _ = used = np.nonzero(~np.isnan(both))
+    return place, both[used], labels[used]
+
+
+def _closest_of_all(x: np.ndarray, y: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The same for several numbers, against all rows."""
+    out = []
+    for i in range(0, len(t), 64):
+        d = sum(((x[:, c] - t[i : i + 64, None, c]) ** 2 for c in range(x.shape[1])), 0.0)
+        place, at = np.nonzero(d <= (np.partition(d, k - 1, 1)[:, k - 1 : k] if k < len(x) else np.inf))
+        own, label = d[place, at], y[at]
+        order = np.lexsort((label, own, place))
+        place, own, label = place[order], own[order], label[order]
+        first = np.arange(len(place)) - np.searchsorted(place, place) < k
+        out.append((place[first] + i, own[first], label[first]))
+    return tuple(np.concatenate([o[c] for o in out]) for c in range(3))
+
+
 def nearest(rows: DataFrame, targets: DataFrame, numbers: list[str], label: str, key: str, k: int = 5) -> DataFrame:
-    """(key, guess): the mean label of the k rows nearest to each target, ties by label. The targets are the stated queries."""
-    q = F.broadcast(targets.select(F.col(key).alias("__q"), *[F.col(c).cast("double").alias(f"__{c}") for c in numbers]))
-    distance = sum((F.pow(F.col(c).cast("double") - F.col(f"__{c}"), F.lit(2.0)) for c in numbers), F.lit(0.0))
-    near = rows.crossJoin(q).select("__q", F.struct(distance.alias("d"), F.col(label).cast("double").alias("y")).alias("n"))
-    # the k least of each part first, so that no task gets all rows of a target
-    part = near.groupBy("__q", F.spark_partition_id().alias("p")).agg(F.expr(f"slice(array_sort(collect_list(n)), 1, {k})").alias("n"))
-    return part.select("__q", F.explode("n").alias("n")).groupBy("__q").agg(F.expr(f"slice(array_sort(collect_list(n)), 1, {k})").alias("n")).select(F.col("__q").alias(key), F.expr("aggregate(n, 0D, (a, x) -> a + x.y) / size(n)").alias("guess"))
+    """(key, guess): the mean label of the k rows nearest to each target, ties by label. The targets are the stated queries.
+    Rows and targets without one of the numbers are left out."""
+    asked = targets.select(F.col(key).alias("__q"), *[F.col(c).cast("double").alias(f"__{c}") for c in numbers]).dropna(subset=[f"__{c}" for c in numbers])
+    table = asked.toArrow()
+    name = asked.schema["__q"].dataType.simpleString()
+    held = rows.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), np.stack([table.column(i + 1).to_numpy() for i in range(len(numbers))], 1)))
+    # rows that are alike count at most k times
+    alike = rows.select(*[F.col(c).cast("double").alias(f"__{c}") for c in numbers], F.col(label).cast("double").alias("__y")).dropna()
+    alike = alike.groupBy(*alike.columns).agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+
+    def run(batches):
+        own = [b for b in batches if b.num_rows]
+        names, t = held.value
+        if not own or not len(t):
+            return
+        part = pa.Table.from_batches(own)
+        times = part.column(len(numbers) + 1).to_numpy()
+        x, y = (np.repeat(v, times, 0) for v in (np.stack([part.column(i).to_numpy() for i in range(len(numbers))], 1), part.column(len(numbers)).to_numpy()))
+        for i in range(0, len(t), 4096):
+            place, d, labels = _closest(x[:, 0], y, t[i : i + 4096, 0], k) if len(numbers) == 1 else _closest_of_all(x, y, t[i : i + 4096], k)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(place + i)), pa.array(d), pa.array(labels)], ["q", "d", "y"])
+
+    near = alike.mapInArrow(run, f"q {name}, d double, y double").groupBy("q").agg(F.expr(f"slice(array_sort(collect_list(struct(d, y))), 1, {k})").alias("n"))
+    return near.select(F.col("q").alias(key), F.expr("aggregate(n, 0D, (a, x) -> a + x.y) / size(n)").alias("guess"))
 
 
 class LinearReconstruction(PrivacyAttack):
