@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 from collections import Counter, defaultdict
@@ -5,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from veilgraph.operators import compare, community, mechanisms, paths, structure, synthesizers
-from veilgraph.sources import read_edges, read_weighted_edges, write_edges
+from veilgraph.sources import edge_lists, read_edges, read_weighted_edges, transition_degrees, user_transitions, write_edges
 
 #: A graph of 7 nodes and 9 edges whose measures are known.
 SMALL = [(0, 1), (0, 2), (0, 4), (0, 5), (0, 7), (1, 3), (1, 5), (2, 5), (3, 7)]
@@ -98,6 +99,26 @@ def test_pair_distances_of_many_sources(spark):
     assert got == {(u, v): float(want.get(u, {}).get(v, paths.UNREACHABLE)) for u, v in asked}
 
 
+@pytest.mark.parametrize("shift", [0, 1 << 40])
+def test_held_two_hop_features_agree_with_joins(spark, shift):
+    """The held form writes no neighbourhoods; ids need not be small."""
+    e = graph(spark, [(u + shift, v + shift) for u, v in [*random_graph(60, 90, 30), (900, 901)]])
+    got, want = ({r.id: r for r in f(e).collect()} for f in (structure.two_hop_features, structure._joined_two_hop_features))
+    assert set(got) == set(want) and all(list(got[k]) == pytest.approx(list(want[k])) for k in want)
+    assert "Join" not in structure.two_hop_features(e)._jdf.queryExecution().executedPlan().toString()
+    assert structure.two_hop_features(e.limit(0)).count() == 0
+
+
+def test_counted_transitions_agree_with_pairs(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    rows = [(r.choice([None, *range(150)]), datetime.datetime(2024, 1, 1, r.randrange(20), r.randrange(60))) for _ in range(600)] + [(500, datetime.datetime(2024, 2, 1)), (3, None)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    want = user_transitions(spark, str(tmp_path)).groupBy("u").count().collect()
+    for size in (64, 1 << 14):
+        monkeypatch.setattr(edge_lists, "BLOCK_USERS", size)
+        assert sorted(map(tuple, transition_degrees(spark, str(tmp_path)).collect())) == sorted(map(tuple, want))
+
+
 def test_empty(spark):
     e = graph(spark, SMALL).limit(0)
     assert one(structure.graph_size(e)) == {"node_count": 0, "edge_count": 0}
