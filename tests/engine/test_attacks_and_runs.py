@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from veilgraph.functions.noise import draw, drawn
 from veilgraph.operators import attacks, community, compare, evaluation, influence, mechanisms, paths, structure, synthesizers, tabular, worlds
 from veilgraph.plans import jobs
+from veilgraph.session import cut_lineage
 from veilgraph.sources import append_runs, followed, load_method, read_csr
 from veilgraph import queries
 from pyspark.sql import functions as F
@@ -87,6 +89,20 @@ def test_first_of_each_against_sorting(spark):
     assert got == {(w, i) for w, x in own.items() for _, i in sorted(x)[: w * 40 + 3]}
 
 
+def test_perturbed_worlds_hold_what_is_kept_and_the_first_draws(spark, monkeypatch):
+    """The kept edges are all in, and numbering draws in small steps changes nothing."""
+    graphs = cut_lineage(graph(spark, random_graph(60, 150, 20)).withColumn("world", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))).select("world", "u", "v"))
+    eps = spark.createDataFrame([(0, 9.0), (1, 16.0)], "world long, epsilon double")
+    want = None
+    for size in (10_000, 7):
+        monkeypatch.setattr(worlds, "DRAWS", size)
+        fake, kept = ({tuple(r) for r in f(graphs, eps).collect()} for f in (worlds.perturbed, worlds.kept_edges))
+        assert kept and kept < fake and (want is None or want == fake)
+        want = fake
+    rows = worlds._sizes(graphs, eps, 261).collect()
+    assert {r.world: math.ceil(r.mt) for r in rows} == Counter(w for w, _, _ in want)
+
+
 def test_membership_of_what_is_not_hidden(spark):
     """Without noise worth the name the attack mostly tells the edge's bit."""
     e = graph(spark, [(i, (i * 7 + 1) % 30) for i in range(30) if i != (i * 7 + 1) % 30] + [(i, i + 1) for i in range(29)]).distinct()

@@ -20,6 +20,8 @@ from . import structure
 TAG = 1_000_000_000
 #: Draws fall into so many steps; only the step in which a group's limit lies is ranked.
 STEPS_SHIFT = 15
+#: Draws of a world that are numbered by one row.
+DRAWS = 10_000
 
 
 def targets(rows: DataFrame, key: Column, k: int, stream: int = 201) -> DataFrame:
@@ -141,14 +143,16 @@ def perturbed(graphs: DataFrame, epsilons: DataFrame, stream: int = 261) -> Data
     size = _sizes(graphs, epsilons, stream)
     kept = _kept(graphs, size, stream)
     left = size.join(kept.groupBy("world").agg(F.count("*").alias("have")), "world", "left").withColumn("more", F.ceil(F.col("mt") - F.coalesce("have", F.lit(0)))).where("more > 0")
-    rows = left.select("world", "n", "more", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.col("more") + 100)).alias("i"))
+    # numbered in two steps, so that no row holds all numbers of a world and worlds are spread over tasks
+    tens = left.select("world", "n", "more", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((2 * F.col("more") + 100) / DRAWS))).alias("ten"))
+    tens = tens.repartition(4 * graphs.sparkSession.sparkContext.defaultParallelism, "world", "ten")
+    rows = tens.select("world", "n", "more", F.explode(F.sequence(F.col("ten") * DRAWS, F.least(F.col("ten") * DRAWS + DRAWS - 1, 2 * F.col("more") + 100))).alias("i"))
     key = F.col("i") * 4099 + F.col("world")
     rows = rows.select("world", "more", "i", (draw(key, stream + 2) % F.col("n")).alias("a"), (draw(key, stream + 3) % F.col("n")).alias("b")).where("a <> b")
     for c in "ab":
         rows = rows.join(ids.select("world", F.col("idx").alias(c), F.col("id").alias(f"id_{c}")), ["world", c])
     pairs = rows.groupBy("world", "more", F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).agg(F.min("i").alias("i")).join(kept, ["world", "u", "v"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("world").orderBy("i"))
-    return kept.unionByName(pairs.withColumn("r", nth).where("r <= more").select("world", "u", "v"))
+    return kept.unionByName(first_of_each(pairs, "world", F.col("i"), "i", "more").select("world", "u", "v"))
 
 
 def tagged(graphs: DataFrame) -> DataFrame:
