@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from veilgraph.operators import compare, community, mechanisms, paths, structure, synthesizers
@@ -164,3 +165,38 @@ def test_edge_lists(spark, tmp_path):
     assert [tuple(r) for r in read_weighted_edges(spark, str(p)).collect()] == [(0, 1, 3.5)]
     write_edges(graph(spark, SMALL), str(tmp_path / "out"))
     assert read_edges(spark, str(tmp_path / "out")).count() == 9
+
+
+def test_searches_meet_all_nodes_though_steps_pick_them():
+    """Long chains with hubs, some of them apart: steps that pick nodes and steps that meet all give the same levels."""
+    r = np.random.default_rng(5)
+    chain = np.arange(3000)
+    a = np.concatenate([chain[:-1], np.full(90, 700), np.full(80, 2900), r.integers(0, 3000, 200), 5000 + chain[:50]])
+    b = np.concatenate([chain[1:], r.integers(0, 1500, 90), r.integers(2000, 3000, 80), r.integers(0, 3000, 200), 5001 + chain[:50]])
+    pairs = np.unique(np.sort(np.stack([a, b], 1)[a != b], 1), axis=0)
+    ids = np.unique(pairs)
+    x, y = np.searchsorted(ids, pairs[:, 0]), np.searchsorted(ids, pairs[:, 1])
+    key = np.sort(np.concatenate([x << 32 | y, y << 32 | x]))
+    graph = paths.Adjacency(ids, np.searchsorted(key, np.arange(len(ids) + 1) << 32), (key & 0xFFFFFFFF).astype(np.int32), {})
+    search, sources = paths.Search(graph), np.array([0, 699, 1, *range(2890, 2960), len(ids) - 1])
+    got = np.full((len(sources), len(ids)), -1)
+    for d, front in enumerate(search.levels(sources)):
+        bits = np.unpackbits(front.view(np.uint8), axis=1, count=len(sources), bitorder="little")[search.rank].T.astype(bool)
+        got[bits] = d
+    for k, s in enumerate(sources.tolist()):
+        want, front, d = np.full(len(ids), -1), {s}, 0
+        while front:
+            want[list(front)] = d
+            front, d = {j for i in front for j in graph.to[graph.at[i] : graph.at[i + 1]].tolist() if want[j] < 0}, d + 1
+        assert got[k].tolist() == want.tolist()
+    label = paths.component_labels(graph.at, graph.to)
+    assert set(label.tolist()) == {0, int(np.searchsorted(ids, 5000))} and (label == 0).sum() == 3000
+
+
+def test_the_largest_component_is_measured_without_a_join(spark, monkeypatch):
+    """Of two components of one size that of the least id; found in the graph that is held anyway."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (4, 5), (5, 6), (4, 6), (6, 7), (20, 21)], "u long, v long")
+    monkeypatch.setattr(paths, "largest_component", lambda e: pytest.fail("joins"))
+    got = {r.d: r.cnt for r in paths.distance_histogram(edges, largest=True).collect()}
+    assert got == {1: 6, 2: 4, 3: 2}
+    assert paths.path_summary(edges).first() == (3, 20 / 12)

@@ -82,7 +82,7 @@ def measured(edges: DataFrame) -> Measures:
     from . import community, paths
 
     e = cut_lineage(edges)
-    distances = cut_lineage(paths.distance_histogram(cut_lineage(paths.largest_component(e))))
+    distances = cut_lineage(paths.distance_histogram(e, largest=True))
     labels = cut_lineage(community.louvain(e))
     summary = distances.agg(F.coalesce(F.max("d"), F.lit(0)).cast("double").alias("diameter"), F.coalesce(F.sum(F.col("d") * F.col("cnt")) / F.sum("cnt"), F.lit(0.0)).alias("avg_shortest_path"))
     modularity = community.modularity(e, labels).select(F.lit("modularity").alias("metric"), F.coalesce("modularity", F.lit(0.0)).alias("value"))

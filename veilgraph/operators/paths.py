@@ -46,8 +46,11 @@ def largest_component(edges: DataFrame) -> DataFrame:
 
 #: Neighbours of a node that are met one by one for all nodes at once; those beyond are met node by node.
 COLUMNS = 64
-#: Sources that are searched from side by side, a bit each.
-LANES = 256
+#: Sources that are searched from side by side, a bit each; four times as many where a bit for each of them and each node
+#: takes at most LANE_BYTES.
+LANES, LANE_BYTES = 256, 1 << 24
+#: Share of the nodes up to which a step of a search picks the nodes that it meets.
+SOME = 0.7
 
 
 class Adjacency:
@@ -84,27 +87,70 @@ class Search:
         self.columns = [self.rank[graph.to[graph.at[order[: many(j)]] + j]].astype(np.int32) for j in range(min(COLUMNS, int(deg[0]) if self.n else 0))]
         hubs = order[: many(COLUMNS)]
         rest = graph.deg[hubs] - COLUMNS
-        self.rest_at = np.cumsum(rest) - rest
+        self.rest_at, self.rest_size = np.cumsum(rest) - rest, rest
         self.rest = self.rank[graph.to[np.repeat(graph.at[hubs] + COLUMNS - self.rest_at, rest) + np.arange(rest.sum())]]
 
     def levels(self, sources: np.ndarray) -> Iterator[np.ndarray]:
-        """For each distance from 0 the nodes (by rank) that have it: [node, word], bit k % 64 of word k // 64 for source k."""
+        """For each distance from 0 the nodes (by rank) that have it: [node, word], bit k % 64 of word k // 64 for source k.
+        A step meets only nodes next to the front that some source has not seen."""
         k = np.arange(len(sources))
         seen = np.zeros((self.n, -(-len(sources) // 64)), np.uint64)
         np.bitwise_or.at(seen, (self.rank[sources], k // 64), np.uint64(1) << (k % 64).astype(np.uint64))
+        whole = np.bitwise_or.reduce(seen, axis=0)
         front, held, new = seen.copy(), np.empty_like(seen), np.empty_like(seen)
-        while front.any():
+        active = np.unique(self.rank[sources])
+        while len(active):
             yield front
+            near = self._next_to(active)
+            near = near[(seen[near] != whole).any(axis=1)]
             new[:] = 0
-            for to in self.columns:
-                np.take(front, to, axis=0, out=held[: len(to)], mode="clip")
-                np.bitwise_or(new[: len(to)], held[: len(to)], out=new[: len(to)])
-            if len(self.rest):
-                new[: len(self.rest_at)] |= np.bitwise_or.reduceat(front[self.rest], self.rest_at, axis=0)
-            new &= ~seen
-            seen |= new
+            if len(near) < SOME * self.n:
+                found = np.zeros((len(near), seen.shape[1]), np.uint64)
+                for to in self.columns:
+                    some = near[: np.searchsorted(near, len(to))]
+                    if not len(some):
+                        break
+                    part = np.take(front, to[some], axis=0, out=held[: len(some)], mode="clip")
+                    np.bitwise_or(found[: len(some)], part, out=found[: len(some)])
+                hubs = near[: np.searchsorted(near, len(self.rest_at))]
+                if len(hubs):
+                    size = self.rest_size[hubs]
+                    ends = np.cumsum(size)
+                    arcs = np.repeat(self.rest_at[hubs] - ends + size, size) + np.arange(ends[-1])
+                    found[: len(hubs)] |= np.bitwise_or.reduceat(front[self.rest[arcs]], ends - size, axis=0)
+                found &= ~seen[near]
+                seen[near] |= found
+                new[near] = found
+                active = near[found.any(axis=1)]
+            else:
+                for to in self.columns:
+                    np.take(front, to, axis=0, out=held[: len(to)], mode="clip")
+                    np.bitwise_or(new[: len(to)], held[: len(to)], out=new[: len(to)])
+                if len(self.rest):
+                    new[: len(self.rest_at)] |= np.bitwise_or.reduceat(front[self.rest], self.rest_at, axis=0)
+                new &= ~seen
+                seen |= new
+                active = np.flatnonzero(new.any(axis=1))
             front, new = new, front
 
+    def _next_to(self, active: np.ndarray) -> np.ndarray:
+        """The nodes with a neighbour among active ones, all where these are many; in order."""
+        if len(active) > SOME * self.n:
+            return np.arange(self.n)
+        mark = np.zeros(self.n, bool)
+        for to in self.columns:
+            some = active[: np.searchsorted(active, len(to))]
+            if not len(some):
+                break
+            mark[to[some]] = True
+        for i in active[: np.searchsorted(active, len(self.rest_at))].tolist():
+            mark[self.rest[self.rest_at[i] : self.rest_at[i] + self.rest_size[i]]] = True
+        return np.flatnonzero(mark)
+
+
+def lanes(nodes: int) -> int:
+    return 4 * LANES if nodes * LANES <= 2 * LANE_BYTES else LANES
+
 
 def held(edges: DataFrame, *more: str):
     """The edges (u, v) of a graph for all tasks, 4 bytes an end and 8 for each further column, as the arguments of Adjacency."""
@@ -141,24 +187,48 @@ def spread_range(spark: SparkSession, n: int, least: int = 1) -> DataFrame:
     return spark.range(0, n, 1, max(1, min(-(-n // least), 4 * spark.sparkContext.defaultParallelism)))
 
 
-def distance_histogram(edges: DataFrame, with_self: bool = False) -> DataFrame:
-    """(d, cnt) over ordered pairs with a path."""
+def component_labels(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Of each node the least node of its component, in compressed rows without empty ones: labels go to neighbours and
+    to the node that was the label before, and are followed to their ends, until nothing moves."""
+    label = np.arange(len(at) - 1)
+    while len(label):
+        least = np.minimum(label, np.minimum.reduceat(label[to], at[:-1]))
+        new = least.copy()
+        np.minimum.at(new, label, least)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    return label
+
+
+def distance_histogram(edges: DataFrame, with_self: bool = False, largest: bool = False) -> DataFrame:
+    """(d, cnt) over ordered pairs with a path; with largest, those of the largest component alone, the one of the least id on
+    ties."""
     edges = cut_lineage(edges.select("u", "v"))
     if edges.count() > BROADCAST_EDGES:
-        return _frontier_histogram(edges, with_self)
+        return _frontier_histogram(cut_lineage(largest_component(edges)) if largest else edges, with_self)
     graph = held(edges)
+    n, start = len(graph.value[0]), None
+    if largest and n:
+        label = component_labels(*graph.value[1:3])
+        best = np.bincount(label).argmax()
+        n = int((label == best).sum())
+        start = edges.sparkSession.sparkContext.broadcast(np.flatnonzero(label == best))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search, total = None, {}
         for b in batches:
             search = search or Search(Adjacency(*graph.value))
-            sources = b.column(0).to_numpy()
-            for i in range(0, len(sources), LANES):
-                for d, front in enumerate(search.levels(sources[i : i + LANES])):
+            sources, many = b.column(0).to_numpy(), lanes(search.n)
+            sources = sources if start is None else start.value[sources]
+            for i in range(0, len(sources), many):
+                for d, front in enumerate(search.levels(sources[i : i + many])):
                     total[d] = total.get(d, 0) + int(np.bitwise_count(front).sum(dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["d", "cnt"])
 
-    h = spread_range(edges.sparkSession, len(graph.value[0]), LANES).mapInArrow(run, "d long, cnt long").groupBy("d").agg(F.sum("cnt").alias("cnt"))
+    h = spread_range(edges.sparkSession, n, lanes(n)).mapInArrow(run, "d long, cnt long").groupBy("d").agg(F.sum("cnt").alias("cnt"))
     return h if with_self else h.where("d > 0")
 
 
@@ -183,7 +253,7 @@ def _frontier_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def path_summary(edges: DataFrame) -> DataFrame:
     """Diameter and average path of the largest component."""
-    h = distance_histogram(largest_component(edges))
+    h = distance_histogram(edges, largest=True)
     return h.agg(F.coalesce(F.max("d"), F.lit(0)).cast("long").alias("diameter"), F.coalesce(F.sum(F.col("d") * F.col("cnt")) / F.sum("cnt"), F.lit(0.0)).alias("avg_shortest_path"))
 
 
@@ -207,10 +277,11 @@ def pair_distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
             out = np.full(len(u), UNREACHABLE)
             asked = np.flatnonzero((u >= 0) & (v >= 0))
             sources, lane = np.unique(u[asked], return_inverse=True)
-            for i in range(0, len(sources), LANES):
-                here = np.flatnonzero((lane >= i) & (lane < i + LANES))
+            many = lanes(search.n)
+            for i in range(0, len(sources), many):
+                here = np.flatnonzero((lane >= i) & (lane < i + many))
                 left, k = asked[here], lane[here] - i
-                for d, front in enumerate(search.levels(sources[i : i + LANES])):
+                for d, front in enumerate(search.levels(sources[i : i + many])):
                     found = front[search.rank[v[left]], k // 64] >> (k % 64).astype(np.uint64) & np.uint64(1) > 0
                     out[left[found]] = d
                     left, k = left[~found], k[~found]
