@@ -200,3 +200,19 @@ def test_the_largest_component_is_measured_without_a_join(spark, monkeypatch):
     got = {r.d: r.cnt for r in paths.distance_histogram(edges, largest=True).collect()}
     assert got == {1: 6, 2: 4, 3: 2}
     assert paths.path_summary(edges).first() == (3, 20 / 12)
+
+
+def test_rounds_in_one_task_are_those_of_joins(spark, monkeypatch):
+    """Communities and centralities of a graph with loops and weights, the same in one task and by joins; without edges none."""
+    r = random.Random(4)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(40) + 40 * (i % 3), r.randrange(40) + 40 * (i % 3)) for i in range(260))} | {(3, 50), (60, 100), (500, 500)})
+    e = spark.createDataFrame([(a, b, r.randrange(1, 4)) for a, b in pairs], "u long, v long, weight long")
+    got = {x.id: x.com for x in community.louvain(e, 4).collect()}
+    assert got == {x.id: x.com for x in community._joined_louvain(e, 4, 700).collect()} and len(set(got.values())) < len(got) / 2
+    plain = e.where("u < v").select("u", "v")
+    near, want = ({x.id: x.centrality for x in f(plain, 7).collect()} for f in (community.eigenvector_centrality, community._joined_centrality))
+    assert near.keys() == want.keys() and all(abs(near[k] - want[k]) < 1e-12 for k in near)
+    assert community.louvain(plain.limit(0)).count() == community.eigenvector_centrality(plain.limit(0)).count() == 0
+    monkeypatch.setattr(community, "_joined_louvain", lambda *a: pytest.fail("joins"))
+    monkeypatch.setattr(community, "_joined_centrality", lambda *a: pytest.fail("joins"))
+    assert community.louvain(e, 1).count() == community.eigenvector_centrality(e, 1).count() == len(got)
