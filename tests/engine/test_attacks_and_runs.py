@@ -243,3 +243,27 @@ def test_sources(spark, tmp_path):
 
 def test_every_query_with_sql_has_a_name_of_its_own():
     assert set(queries.ORACLE) <= set(queries.QUERIES) and math.isclose(len(queries.QUERIES), len(set(queries.QUERIES)))
+
+
+def test_edge_worlds_in_a_task_are_those_of_tables(spark, monkeypatch):
+    """Features of the perturbed worlds of edge targets: drawn in a task that holds the graph, and by joins."""
+    import random
+
+    from veilgraph.operators import paths
+
+    r = random.Random(8)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(70), r.randrange(70)) for _ in range(500)) if a != b} | {(900, 901)})
+    e = spark.createDataFrame(pairs, "u long, v long")
+    jobs = [(i, *(pairs[i * 7 % len(pairs)] if i else pairs[-1]), i % 2, [0.5, 2.0, 10.0, 40.0][i % 4]) for i in range(24)]
+    w = spark.createDataFrame(jobs, "world long, u long, v long, bit int, epsilon double")
+    fake = worlds.perturbed(worlds.edge_worlds(e, w.select("world", "u", "v", "bit")), w.select("world", "epsilon"))
+    want = {x.world: x.features for x in worlds.edge_target_features(fake, w.select("world", "u", "v")).collect()}
+    with monkeypatch.context() as m:
+        for name in ("induced", "perturbed"):
+            m.setattr(worlds, name, lambda *a: pytest.fail("worlds are written"))
+        got = {x.world: x.features for x in worlds.edge_membership_features(e, w).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got)
+    assert sum(any(x) for x in got.values()) > 12
+    monkeypatch.setattr(paths, "BROADCAST_EDGES", 10)
+    some = w.where("world < 4")
+    assert {x.world: x.features for x in worlds.edge_membership_features(e, some).collect()} == {k: want[k] for k in range(4)}

@@ -67,11 +67,10 @@ def node_membership(edges: DataFrame, epsilons: list[float], k: int, rounds: int
 
 def edge_membership(edges: DataFrame, epsilons: list[float], k: int, rounds: int, shadows: int = SHADOWS) -> DataFrame:
     """Results of the attack on k edge targets."""
+    edges = cut_lineage(edges.select("u", "v"))
     chosen = worlds.targets(edges.select("u", "v"), F.col("u") * 2000003 + F.col("v"), k, 202)
     w = cut_lineage(membership_worlds(job_table(edges.sparkSession, epsilons, chosen, rounds), shadows))
-    graphs = cut_lineage(worlds.edge_worlds(edges, w.select("world", "u", "v", "bit")))
-    fake = cut_lineage(worlds.perturbed(graphs, w.select("world", "epsilon")))
-    features = worlds.edge_target_features(fake, w.select("world", "u", "v"))
+    features = worlds.edge_membership_features(edges, w)
     return membership_results(w.withColumn("target", F.concat_ws("-", "u", "v")).join(features, "world"))
 
 

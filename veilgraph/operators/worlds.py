@@ -7,14 +7,17 @@ tagged with its number where operators on one graph run over all worlds at once.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import laplace, uniform
-from ..functions.noise import draw
+from ..functions.noise import P, draw, drawn
 from ..session import cut_lineage
-from . import structure
+from . import paths, structure
 
 #: Distance of the ids of two worlds.
 TAG = 1_000_000_000
@@ -215,3 +218,130 @@ def edge_target_features(graphs: DataFrame, worlds: DataFrame, betweenness: Data
     present = F.coalesce("present", F.lit(0))
     values = [present, n, F.col("du") * F.col("dv"), F.col("betweenness"), present * (F.col("tu") + F.col("tv")), F.try_divide(n, F.col("du") + F.col("dv") - n), F.abs(F.col("du") - F.col("dv")), (F.col("cu") + F.col("cv")) / 2]
     return rows.select("world", padded([F.when(both, v) for v in values]).alias("features"))
+
+
+# ---------------------------------------------------------------- a world in one task
+
+#: Numbers that are drawn at once.
+DRAWN = 1 << 19
+
+
+def _laplace(key: np.ndarray, stream: int, scale: float) -> np.ndarray:
+    u = (drawn(key, stream) + 0.5) / float(P)
+    return -scale * np.sign(u - 0.5) * np.log(1 - 2 * np.abs(u - 0.5))
+
+
+class Worlds:
+    """Draws worlds of a held graph one by one, the same as the tables above. Edges of a world are two arrays of places of
+    ids, the lower first, in order."""
+
+    def __init__(self, ids: np.ndarray, u: np.ndarray, v: np.ndarray):
+        """ids in order, and the edges as places of them, the lower first, in order."""
+        self.ids, self.n, self.u, self.v = ids, len(ids), u, v
+
+    def edge_world(self, world: int, u: int, v: int, bit: int, share: float = 0.7, stream: int = 251) -> tuple[np.ndarray, np.ndarray]:
+        """A world of edge_worlds(); u and v are places."""
+        k, key = max(5, math.floor(share * self.n)), np.arange(self.n)
+        for i in range(0, self.n, DRAWN):
+            key[i : i + DRAWN] |= drawn(self.ids[i : i + DRAWN] * 4099 + world, stream) << 32
+        key[[u, v]] = np.iinfo(np.int64).max
+        inside = key <= np.partition(key, k - 1)[k - 1] if k <= self.n else np.ones(self.n, bool)
+        del key
+        inside[[u, v]] = True
+        here = np.empty(len(self.u), bool)
+        for i in range(0, len(here), DRAWN):
+            j = slice(i, i + DRAWN)
+            here[j] = inside[self.u[j]] & inside[self.v[j]]
+        if not bit:
+            here &= (self.u != u) | (self.v != v)
+        return self.u[here], self.v[here]
+
+    def perturbed(self, world: int, u: np.ndarray, v: np.ndarray, epsilon: float, stream: int = 261) -> tuple[np.ndarray, np.ndarray]:
+        """A world of perturbed(); its drawn edges stand after those that are kept."""
+        mark = np.zeros(self.n, bool)
+        mark[u] = True
+        mark[v] = True
+        nodes = np.flatnonzero(mark).astype(np.int32)  # places by rank
+        rank = (np.cumsum(mark) - 1).astype(np.int32)
+        m, n, eps1, w = len(u), len(nodes), epsilon / 2, np.array([world], np.int64)
+        mt = max(m + float(_laplace(w, stream, 1 / eps1)[0]), 0.0)
+        if n < 2 or mt <= 0:
+            return u[:0], v[:0]
+        cells = n * (n - 1) / 2
+        limit, a, b = math.log(max(cells / mt - 1, 1e-12)), math.log(max(cells / (2 * mt) - 0.5, 1e-300)), eps1 + math.log(0.5)
+        theta = limit / (2 * eps1) if eps1 < limit else (max(a, b) + math.log(math.exp(a - max(a, b)) + math.exp(b - max(a, b)))) / eps1
+        kept = np.zeros(m, bool)
+        for i in range(0, m, DRAWN):
+            j = slice(i, i + DRAWN)
+            cell = self.ids[u[j]] * 2000003 + self.ids[v[j]] + world * 7919
+            kept[j] = np.maximum(1 + _laplace(cell, stream + 1, 1 / eps1), 0) > theta
+        u, v = u[kept], v[kept]
+        more = math.ceil(mt - len(u))
+        if more <= 0:
+            return u, v
+        pair = np.empty(2 * more + 101, np.int64)
+        for i in range(0, len(pair), DRAWN):
+            key = np.arange(i, min(i + DRAWN, len(pair))) * 4099 + world
+            a, b = drawn(key, stream + 2) % n, drawn(key, stream + 3) % n
+            pair[i : i + DRAWN] = np.where(a == b, -1, np.minimum(a, b) << 32 | np.maximum(a, b))
+        known, first, part = rank[u].astype(np.int64) << 32 | rank[v], [], -(-n // (1 + len(pair) // DRAWN))
+        for low in range(0, n, part):  # by lower ends, as an executor's tasks do this side by side
+            which = np.flatnonzero((pair >= low << 32) & (pair < (low + part) << 32)).astype(np.int32)
+            one = pair[which]
+            order = np.argsort(one, kind="stable")  # the first of equal pairs is that of the least number
+            one, which = one[order], which[order]
+            new = np.ones(len(one), bool)
+            new[1:] = one[1:] != one[:-1]
+            if len(known):
+                new &= known[np.minimum(np.searchsorted(known, one), len(known) - 1)] != one
+            first.append(which[new])
+        first = np.concatenate(first)
+        if len(first) > more:
+            first = first[first <= np.partition(first, more - 1)[more - 1]]
+        pair = pair[first]
+        return np.concatenate([u, nodes[pair >> 32]]), np.concatenate([v, nodes[pair & 0xFFFFFFFF]])
+
+    def edge_features(self, u: np.ndarray, v: np.ndarray, a: int, b: int) -> list[float]:
+        """The features of edge_target_features() of the pair of places a and b, without betweenness."""
+        near, deg, ratio, closed = [], [], [], []
+        for x in (a, b):
+            mark = np.zeros(self.n, bool)
+            mark[v[u == x]] = True
+            mark[u[v == x]] = True
+            near.append(mark)
+            d, t = int(mark.sum()), int((mark[u] & mark[v]).sum())
+            deg.append(d)
+            closed.append(t)
+            ratio.append(2.0 * t / (d * (d - 1)) if d > 1 else 0.0)
+        if not all(deg):
+            return [0.0] * 10
+        n, present = int((near[0] & near[1]).sum()), int(near[0][b])
+        return [float(x) for x in (present, n, deg[0] * deg[1], 0, present * sum(closed), n / (sum(deg) - n), abs(deg[0] - deg[1]), sum(ratio) / 2, 0, 0)]
+
+
+def edge_membership_features(edges: DataFrame, worlds: DataFrame) -> DataFrame:
+    """worlds: (world, u, v, bit, epsilon). (world, features): of the perturbed training graph of each edge target. A world is
+    drawn and measured in one task and never written where tasks can hold the graph."""
+    if edges.count() > paths.BROADCAST_EDGES:
+        fake = cut_lineage(perturbed(cut_lineage(edge_worlds(edges, worlds.select("world", "u", "v", "bit"))), worlds.select("world", "epsilon")))
+        return edge_target_features(fake, worlds.select("world", "u", "v"))
+    context = edges.sparkSession.sparkContext
+    graph, tasks = paths.held(edges), 4 * context.defaultParallelism
+    ids, at, to, _ = graph.value
+    src = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at))
+    up = src < to
+    ends = context.broadcast((ids, src[up], to[up]))
+    del at, to, src, up
+    graph.destroy()  # tasks get each edge once
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for b in batches:
+            own = own or Worlds(*ends.value)
+            for world, u, v, bit, epsilon in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, y = np.searchsorted(own.ids, sorted((u, v))).tolist()
+                values = own.edge_features(*own.perturbed(world, *own.edge_world(world, x, y, bit), epsilon), x, y)
+                yield pa.RecordBatch.from_arrays([pa.array([world], pa.int64()), pa.array([values], pa.list_(pa.float64()))], ["world", "features"])
+
+    rows = worlds.select("world", "u", "v", "bit", F.col("epsilon").cast("double")).repartitionById(tasks, F.pmod("world", F.lit(tasks)).cast("int"))
+    return rows.mapInArrow(run, "world long, features array<double>")
