@@ -267,3 +267,20 @@ def test_edge_worlds_in_a_task_are_those_of_tables(spark, monkeypatch):
     monkeypatch.setattr(paths, "BROADCAST_EDGES", 10)
     some = w.where("world < 4")
     assert {x.world: x.features for x in worlds.edge_membership_features(e, some).collect()} == {k: want[k] for k in range(4)}
+
+
+def test_node_worlds_in_a_task_are_those_of_tables(spark, monkeypatch):
+    """Features of the perturbed worlds of node targets: drawn in a task that holds the graph, and by joins."""
+    r = random.Random(9)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(420)) if a != b} | {(900, 901)})
+    e = spark.createDataFrame(pairs, "u long, v long")
+    w = spark.createDataFrame([(i, i * 5 % 60 if i else 900, i % 2, [0.5, 2.0, 10.0, 40.0][i // 2 % 4]) for i in range(24)], "world long, target long, bit int, epsilon double")
+    fake = worlds.perturbed(cut_lineage(worlds.shadow_worlds(e, w)), w.select("world", "epsilon"))
+    want = {x.world: x.features for x in worlds.node_target_features(fake, w.select("world", "target")).collect()}
+    with monkeypatch.context() as m:
+        for name in ("induced", "perturbed", "shadow_worlds"):
+            m.setattr(worlds, name, lambda *a: pytest.fail("worlds are written"))
+        m.setattr(worlds, "PATHS", 50)
+        got = {x.world: x.features for x in worlds.node_membership_features(e, w).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+    assert sum(all(x) for x in got.values()) > 6

@@ -56,12 +56,10 @@ def membership_results(rows: DataFrame) -> DataFrame:
 
 def node_membership(edges: DataFrame, epsilons: list[float], k: int, rounds: int, shadows: int = SHADOWS) -> DataFrame:
     """Results of the attack on k node targets."""
+    edges = cut_lineage(edges.select("u", "v"))
     chosen = worlds.targets(structure.vertices(edges), F.col("id"), k).withColumnRenamed("id", "node")
     w = cut_lineage(membership_worlds(job_table(edges.sparkSession, epsilons, chosen, rounds), shadows))
-    plan = w.select("world", F.col("node").alias("target"), "bit")
-    graphs = cut_lineage(worlds.shadow_worlds(edges, plan))
-    fake = cut_lineage(worlds.perturbed(graphs, w.select("world", "epsilon")))
-    features = worlds.node_target_features(fake, plan.select("world", "target"))
+    features = worlds.node_membership_features(edges, w.withColumnRenamed("node", "target"))
     return membership_results(w.withColumn("target", F.col("node").cast("string")).join(features, "world"))
 
 

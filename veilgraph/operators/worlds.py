@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import laplace, uniform
 from ..functions.noise import P, draw, drawn
@@ -239,23 +240,62 @@ class Worlds:
         """ids in order, and the edges as places of them, the lower first, in order."""
         self.ids, self.n, self.u, self.v = ids, len(ids), u, v
 
-    def edge_world(self, world: int, u: int, v: int, bit: int, share: float = 0.7, stream: int = 251) -> tuple[np.ndarray, np.ndarray]:
-        """A world of edge_worlds(); u and v are places."""
-        k, key = max(5, math.floor(share * self.n)), np.arange(self.n)
+    def _chosen(self, world: int, k: int, stream: int, out: list[int]) -> np.ndarray:
+        """Marks the first k nodes by draw, without those in out."""
+        key = np.arange(self.n)
         for i in range(0, self.n, DRAWN):
             key[i : i + DRAWN] |= drawn(self.ids[i : i + DRAWN] * 4099 + world, stream) << 32
-        key[[u, v]] = np.iinfo(np.int64).max
+        key[out] = np.iinfo(np.int64).max
         inside = key <= np.partition(key, k - 1)[k - 1] if k <= self.n else np.ones(self.n, bool)
-        del key
-        inside[[u, v]] = True
+        inside[out] = False
+        return inside
+
+    def _within(self, inside: np.ndarray) -> np.ndarray:
+        """Marks the edges with both ends inside."""
         here = np.empty(len(self.u), bool)
         for i in range(0, len(here), DRAWN):
             j = slice(i, i + DRAWN)
             here[j] = inside[self.u[j]] & inside[self.v[j]]
+        return here
+
+    def edge_world(self, world: int, u: int, v: int, bit: int, share: float = 0.7, stream: int = 251) -> tuple[np.ndarray, np.ndarray]:
+        """A world of edge_worlds(); u and v are places."""
+        inside = self._chosen(world, max(5, math.floor(share * self.n)), stream, [u, v])
+        inside[[u, v]] = True
+        here = self._within(inside)
         if not bit:
             here &= (self.u != u) | (self.v != v)
         return self.u[here], self.v[here]
 
+    def training_world(self, world: int, target: int, st: int, least: int = 10, stream: int = 221) -> tuple[np.ndarray, np.ndarray]:
+        """The edges among a world's training_nodes(); target is a place."""
+        part = (drawn(np.array([world], np.int64), stream)[0] + 0.5) / float(P)
+        inside = self._chosen(world, max(least, math.floor(self.n * (0.6 + 0.2 * part))), stream + 1, [target])
+        inside[target] = bool(st)
+        here = self._within(inside)
+        return self.u[here], self.v[here]
+
+    def node_world(self, world: int, target: int, bit: int, share: float = 0.8, spread: int = 5) -> tuple[np.ndarray, np.ndarray]:
+        """A world of shadow_worlds(); target is a place."""
+        w = np.array([world], np.int64)
+        base = self._chosen(world, max(1, math.floor(share * self.n) + int(drawn(w, 211)[0]) % (2 * spread + 1) - spread), 212, [target])
+        here = self._within(base)
+        u, v, put = self.u[here], self.v[here], target
+        if not bit:
+            base[target] = True  # no replacement of itself
+            rest = np.flatnonzero(~base)
+            base[target] = False
+            if not len(rest):
+                return u, v
+            put = int(rest[drawn(self.ids[rest] * 4099 + world, 241).argmin()])
+        near = np.concatenate([self.u[self.v == put], self.v[self.u == put]])
+        near = near[base[near]]
+        few = near[np.lexsort((near, drawn(self.ids[near] * 4099 + world, 231)))][: 1 + int(drawn(w, 232)[0]) % 3]
+        new = sorted((min(put, x), max(put, x)) for x in few.tolist())
+        first = [int(np.searchsorted(u, a)) for a, _ in new]
+        at = [i + int(np.searchsorted(v[i : np.searchsorted(u, a, "right")], b)) for i, (a, b) in zip(first, new, strict=True)]
+        return tuple(np.insert(x, at, [e[side] for e in new]) for side, x in enumerate((u, v))) if new else (u, v)
+
     def perturbed(self, world: int, u: np.ndarray, v: np.ndarray, epsilon: float, stream: int = 261) -> tuple[np.ndarray, np.ndarray]:
         """A world of perturbed(); its drawn edges stand after those that are kept."""
         mark = np.zeros(self.n, bool)
@@ -319,29 +359,193 @@ class Worlds:
         return [float(x) for x in (present, n, deg[0] * deg[1], 0, present * sum(closed), n / (sum(deg) - n), abs(deg[0] - deg[1]), sum(ratio) / 2, 0, 0)]
 
 
-def edge_membership_features(edges: DataFrame, worlds: DataFrame) -> DataFrame:
-    """worlds: (world, u, v, bit, epsilon). (world, features): of the perturbed training graph of each edge target. A world is
-    drawn and measured in one task and never written where tasks can hold the graph."""
-    if edges.count() > paths.BROADCAST_EDGES:
-        fake = cut_lineage(perturbed(cut_lineage(edge_worlds(edges, worlds.select("world", "u", "v", "bit"))), worlds.select("world", "epsilon")))
-        return edge_target_features(fake, worlds.select("world", "u", "v"))
-    context = edges.sparkSession.sparkContext
-    graph, tasks = paths.held(edges), 4 * context.defaultParallelism
+    def node_features(self, u: np.ndarray, v: np.ndarray, target: int) -> list[float]:
+        """The features of node_target_features() of the place target."""
+        if not len(u):
+            return [0.0] * 10
+        deg = np.bincount(u, minlength=self.n) + np.bincount(v, minlength=self.n)
+        t, hop = node_triangles(self.n, u, v, triangle_counts(deg, u, v))[deg > 0], [0.0, 0.0]
+        d = deg[deg > 0]
+        pairs = int((d * (d - 1)).sum())
+        whole = [len(d), d.sum() / 2, d.mean(), d.std(), d.max(), d.min(), clustering(d, t).mean(), 2.0 * int(t.sum()) / pairs if pairs else 0.0]
+        if deg[target]:
+            one = np.zeros(self.n, bool)
+            one[v[u == target]] = True
+            one[u[v == target]] = True
+            near = one.copy()
+            near[v[one[u]]] = True
+            near[u[one[v]]] = True
+            near[target] = False
+            k = int(near.sum())
+            hop = [2.0 * int((near[u] & near[v]).sum()) / (k * (k - 1)) if k > 1 else 0.0, deg[near].mean()]
+        return [float(x) for x in (*whole, *hop)]
+
+
+# ---------------------------------------------------------------- attributes of a held graph
+
+#: Paths of two steps that are met at once, and bits of the table that tells most pairs that are no edges.
+PATHS, PAIR_BITS = 1 << 20, 25
+
+
+def _pieces(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have about PATHS items together, or one row."""
+    ends, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PATHS, "right")))
+        yield i, j
+        i = j
+
+
+def triangle_counts(deg: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of each edge the triangles that hold it. Edges go from the end of lower degree to the other, so that a hub never meets
+    itself; of two edges that go out from a node, most that no third one closes are told by a table of bits."""
+    m, rank = len(u), np.empty(len(deg), np.int32)
+    rank[np.argsort(deg, kind="stable")] = np.arange(len(deg), dtype=np.int32)
+    key = rank[u].astype(np.int64), rank[v]
+    key = np.minimum(*key) << 32 | np.maximum(*key)
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    to, start = key & 0xFFFFFFFF, key >> 32
+    later = np.cumsum(np.bincount(start, minlength=len(deg)))[start] - 1 - np.arange(m)
+    del start
+    place = lambda k: (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+    known = np.zeros(1 << PAIR_BITS, bool)
+    for i in range(0, m, PATHS):
+        known[place(key[i : i + PATHS])] = True
+    common = np.zeros(m, np.int32)
+    for i, j in _pieces(later):
+        size = later[i:j]
+        first = np.cumsum(size) - size
+        shift = np.arange(i + 1, j + 1) - first  # of each edge its later ones stand after it
+        pair = to[np.arange(size.sum()) + np.repeat(shift, size)]
+        pair |= np.repeat(to[i:j] << 32, size)
+        some = np.flatnonzero(known[place(pair)])
+        at = np.minimum(np.searchsorted(key, pair[some]), m - 1)
+        hit = key[at] == pair[some]
+        some = some[hit]
+        one = np.searchsorted(first + size, some, "right")
+        for edge in (one + i, some + shift[one], at[hit]):
+            np.add.at(common, edge, 1)
+    back = np.empty_like(common)
+    back[order] = common
+    return back
+
+
+def node_triangles(n: int, u: np.ndarray, v: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each node the triangles that hold it, by those of the edges."""
+    some = np.flatnonzero(common)
+    return np.bincount(np.concatenate([u[some], v[some]]), np.concatenate([common[some]] * 2), n).astype(np.int64) // 2
+
+
+def clustering(deg: np.ndarray, triangles: np.ndarray) -> np.ndarray:
+    return np.divide(2.0 * triangles, deg * (deg - 1), out=np.zeros(len(deg)), where=deg > 1)
+
+
+def node_table(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Places of the nodes with an edge, and their attributes as structure.node_features() has them."""
+    deg = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
+    t = node_triangles(n, u, v, triangle_counts(deg, u, v))
+    ratio = clustering(deg, t)
+    key = np.concatenate([u.astype(np.int64) << 32 | v, v.astype(np.int64) << 32 | u])
+    key.sort()
+    to = (key & 0xFFFFFFFF).astype(np.int32)
+    near = np.bincount(key >> 32, deg[to], n)
+    del key
+    graph = paths.Adjacency(np.arange(n), np.concatenate([[0], np.cumsum(deg)]), to, {})
+    second, here = np.zeros(n, np.int64), np.flatnonzero(deg)
+    ends = np.concatenate([[0], np.cumsum(deg[to])])  # of each arc's end all arcs
+    for i, j in _pieces(ends[graph.at[here + 1]] - ends[graph.at[here]]):
+        arcs, size = graph.reach(here[i:j])
+        row = np.repeat(here[i:j], size)
+        two, more = graph.reach(to[arcs])
+        row = np.repeat(row, more)
+        two = to[two]
+        pair = row[two != row] << 32 | two[two != row]
+        pair.sort()
+        second[here[i] : here[j - 1] + 1] += np.bincount((pair[np.diff(pair, prepend=-1) != 0] >> 32) - here[i], minlength=here[j - 1] - here[i] + 1)
+    values = {"deg": deg, "triangles": t, "neighbor_connection_ratio": ratio, "neighbor_avg_degree": np.divide(near, deg, out=np.zeros(n), where=deg > 0), "second_neighbor_count": second}
+    return here, {k: x[here].astype(float) for k, x in values.items()}
+
+
+def combined(columns: list[np.ndarray]) -> np.ndarray:
+    """Whole numbers from 0 that tell rows of whole numbers from 0 apart."""
+    key = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        times = int(c.max(initial=0)) + 1
+        if (int(key.max(initial=0)) + 1) * times >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * times + c
+    return key
+
+
+def edge_table(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """For each edge its row, and the rows of attributes as structure.edge_features() has them. Edges of equal degrees and
+    triangles share a row."""
+    deg = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
+    common = triangle_counts(deg, u, v)
+    t = node_triangles(n, u, v, common)
+    end = combined([deg, t])
+    swap = end[u] > end[v]
+    _, first, row = np.unique(combined([common, end[np.where(swap, v, u)], end[np.where(swap, u, v)]]), return_index=True, return_inverse=True)
+    c, a, b, ratio = common[first], u[first], v[first], clustering(deg, t)
+    da, db = deg[a], deg[b]
+    return row.astype(np.int32), {"common_neighbors": c.astype(float), "jaccard": c / (da + db - c), "preferential_attachment": (da * db).astype(float), "degree_difference": np.abs(da - db).astype(float), "mean_clustering": (ratio[a] + ratio[b]) / 2}
+
+
+# ---------------------------------------------------------------- a world in one task: tables
+
+
+def held_ends(edges: DataFrame):
+    """The edges of a graph for all tasks, each once, as the arguments of Worlds."""
+    graph = paths.held(edges)
     ids, at, to, _ = graph.value
     src = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at))
     up = src < to
-    ends = context.broadcast((ids, src[up], to[up]))
+    ends = edges.sparkSession.sparkContext.broadcast((ids, src[up], to[up]))
     del at, to, src, up
     graph.destroy()  # tasks get each edge once
+    return ends
+
+
+def in_tasks(ends, rows: DataFrame, work, schema: str) -> DataFrame:
+    """For each row, dealt over tasks by world, the row that work(worlds, *row) gives, if any."""
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    kinds = rows.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for b in batches:
             own = own or Worlds(*ends.value)
-            for world, u, v, bit, epsilon in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = np.searchsorted(own.ids, sorted((u, v))).tolist()
-                values = own.edge_features(*own.perturbed(world, *own.edge_world(world, x, y, bit), epsilon), x, y)
-                yield pa.RecordBatch.from_arrays([pa.array([world], pa.int64()), pa.array([values], pa.list_(pa.float64()))], ["world", "features"])
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out = work(own, *row)
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], to_arrow_type(k.dataType)) for x, k in zip(out, kinds, strict=True)], kinds.names)
+
+    return rows.repartitionById(tasks, F.pmod("world", F.lit(tasks)).cast("int")).mapInArrow(run, schema)
+
+
+def edge_membership_features(edges: DataFrame, worlds: DataFrame) -> DataFrame:
+    """worlds: (world, u, v, bit, epsilon). (world, features): of the perturbed training graph of each edge target. A world is
+    drawn and measured in one task and never written where tasks can hold the graph."""
+    if edges.count() > paths.BROADCAST_EDGES:
+        fake = cut_lineage(perturbed(cut_lineage(edge_worlds(edges, worlds.select("world", "u", "v", "bit"))), worlds.select("world", "epsilon")))
+        return edge_target_features(fake, worlds.select("world", "u", "v"))
+
+    def work(own: Worlds, world, u, v, bit, epsilon):
+        x, y = np.searchsorted(own.ids, sorted((u, v))).tolist()
+        return world, own.edge_features(*own.perturbed(world, *own.edge_world(world, x, y, bit), epsilon), x, y)
+
+    return in_tasks(held_ends(edges), worlds.select("world", "u", "v", "bit", F.col("epsilon").cast("double")), work, "world long, features array<double>")
+
+
+def node_membership_features(edges: DataFrame, worlds: DataFrame) -> DataFrame:
+    """worlds: (world, target, bit, epsilon). The same of node targets."""
+    if edges.count() > paths.BROADCAST_EDGES:
+        fake = cut_lineage(perturbed(cut_lineage(shadow_worlds(edges, worlds.select("world", "target", "bit"))), worlds.select("world", "epsilon")))
+        return node_target_features(fake, worlds.select("world", "target"))
+
+    def work(own: Worlds, world, target, bit, epsilon):
+        x = int(np.searchsorted(own.ids, target))
+        return world, own.node_features(*own.perturbed(world, *own.node_world(world, x, bit), epsilon), x)
 
-    rows = worlds.select("world", "u", "v", "bit", F.col("epsilon").cast("double")).repartitionById(tasks, F.pmod("world", F.lit(tasks)).cast("int"))
-    return rows.mapInArrow(run, "world long, features array<double>")
+    return in_tasks(held_ends(edges), worlds.select("world", "target", "bit", F.col("epsilon").cast("double")), work, "world long, features array<double>")
