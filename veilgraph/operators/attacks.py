@@ -55,30 +55,49 @@ class Forest:
     def __init__(self, trees: int = 50, depth: int = 10, least: int = 2, seed: int = 42):
         self.trees, self.depth, self.least, self.rng = trees, depth, least, np.random.default_rng(seed)
 
-    def _grow(self, x, y, depth):
-        if depth == 0 or len(y) < 2 * self.least or np.ptp(y) == 0:
-            return float(y.mean())
-        best = None
-        for f in self.rng.permutation(x.shape[1])[: max(1, int(np.sqrt(x.shape[1])) + 1)]:
-            order = np.argsort(x[:, f], kind="stable")
-            v, t = x[order, f], y[order]
-            n = np.arange(1, len(t))
-            s, q = np.cumsum(t)[:-1], np.cumsum(t * t)[:-1]
-            cost = q - s * s / n + (t @ t - q) - (t.sum() - s) ** 2 / (len(t) - n)
-            cost[(np.diff(v) == 0) | (n < self.least) | (len(t) - n < self.least)] = np.inf
-            i = int(cost.argmin()) if len(cost) else -1
-            if i >= 0 and np.isfinite(cost[i]) and (best is None or cost[i] < best[0]):
-                best = (cost[i], f, (v[i] + v[i + 1]) / 2)
+    def _grow(self, rows, depth):
+        """rows: of those that were drawn, each once; self.drawn has how often."""
+        w, y = self.drawn[rows], self.y[rows]
+        wy, total = w * y, int(w.sum())
+        if depth == 0 or total < 2 * self.least or np.ptp(y) == 0:
+            return float(wy.sum() / total)
+        best, whole, squares = None, wy.sum(), wy @ y
+        for f in self.rng.permutation(len(self.codes))[: max(1, int(np.sqrt(len(self.codes))) + 1)]:
+            code, values = self.codes[f][rows], self.values[f]
+            if len(values) <= 4 * len(rows):  # few values: no sorting
+                n = np.bincount(code, w, len(values))
+                at = np.flatnonzero(n)
+                n, s, q = n[at], np.bincount(code, wy, len(values))[at], np.bincount(code, wy * y, len(values))[at]
+            else:
+                order = np.argsort(code, kind="stable")
+                own = code[order]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                at = own[first]
+                n, s, q = (np.add.reduceat(t[order], first) for t in (w, wy, wy * y))
+            n, s, q = (np.cumsum(t)[:-1] for t in (n, s, q))
+            if not len(n):
+                continue
+            cost = q - s * s / n + (squares - q) - (whole - s) ** 2 / (total - n)
+            cost[(n < self.least) | (total - n < self.least)] = np.inf
+            i = int(cost.argmin())
+            if np.isfinite(cost[i]) and (best is None or cost[i] < best[0]):
+                best = (cost[i], f, (values[at[i]] + values[at[i + 1]]) / 2, code <= at[i])
         if best is None:
-            return float(y.mean())
-        left = x[:, best[1]] <= best[2]
-        return best[1], best[2], self._grow(x[left], y[left], depth - 1), self._grow(x[~left], y[~left], depth - 1)
-
-    def fit(self, x, y) -> Forest:
-        self.grown = []
+            return float(whole / total)
+        _, f, limit, left = best
+        return f, limit, self._grow(rows[left], depth - 1), self._grow(rows[~left], depth - 1)
+
+    def fit(self, x, y, row=None) -> Forest:
+        """With row, the numbers of the rows of x and y that are meant, any of them any number of times."""
+        self.grown, count = [], len(y) if row is None else len(row)
+        self.y = np.asarray(y, float)
+        self.values, self.codes = zip(*(np.unique(c, return_inverse=True) for c in np.asarray(x, float).T), strict=True)
+        self.codes = [c.astype(np.int32) for c in self.codes]
         for _ in range(self.trees):
-            i = self.rng.integers(0, len(y), len(y))
-            self.grown.append(self._grow(x[i], y[i], self.depth))
+            i = self.rng.integers(0, count, count)
+            self.drawn = np.bincount(i if row is None else row[i], minlength=len(y))
+            self.grown.append(self._grow(np.flatnonzero(self.drawn), self.depth))
+        del self.y, self.values, self.codes, self.drawn
         return self
 
     def predict(self, x) -> np.ndarray:

@@ -7,14 +7,18 @@ perturbed training graph predicts a hidden attribute of the target, which the at
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import is_correct, normalized_error
-from ..functions.noise import draw
+from ..functions.noise import draw, drawn
 from ..session import cut_lineage
-from . import attacks, structure, worlds
+from . import attacks, paths, structure, worlds
 
 #: Worlds of a job: shadow pairs take the even and odd numbers, the asked world is the last.
 SHADOWS = 10
@@ -100,9 +104,11 @@ def known_features(features: DataFrame, w: DataFrame, attributes: tuple[str, ...
 def node_attributes(edges: DataFrame, epsilons: list[float], k: int, rounds: int, attributes: tuple[str, ...] = attacks.ATTRIBUTES) -> DataFrame:
     """Results of the attack on attributes of k node targets: epsilon, target, st, attribute, true and predicted value,
     errors, correct, training_samples; jobs whose graph has too few nodes are left out."""
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, cut_lineage(edges.select("u", "v"))
     chosen = worlds.targets(structure.vertices(edges), F.col("id"), k, 203).withColumnRenamed("id", "target")
     w = cut_lineage(attribute_jobs(job_table(spark, epsilons, chosen, rounds), attributes))
+    if edges.count() <= paths.BROADCAST_EDGES:
+        return _guessed_in_tasks(edges, w, attributes, 10, False)
     real = cut_lineage(structure.node_features(edges))
     nodes = worlds.training_nodes(structure.vertices(edges), w.select("world", "target", "st"))
     fake = cut_lineage(worlds.perturbed(worlds.induced(edges, nodes), w.select("world", "epsilon")))
@@ -128,7 +134,11 @@ def _guessed(w: DataFrame, rows: DataFrame, asked: DataFrame, real: DataFrame, a
 
     guess = rows.groupBy("world").applyInPandas(learn, "world long, predicted double, training_samples long")
     ranges = attacks.attribute_ranges(real, attributes).select(F.col("attr").alias("attribute"), "range", "discrete")
-    out = w.join(guess, "world").join(asked.select("world", "true_value"), "world").join(F.broadcast(ranges), "attribute")
+    return _judged(w.join(guess, "world").join(asked.select("world", "true_value"), "world").join(F.broadcast(ranges), "attribute"))
+
+
+def _judged(out: DataFrame) -> DataFrame:
+    """out: jobs with predicted, true_value, range and discrete."""
     p = F.when(F.col("discrete") == 1, F.greatest(F.rint("predicted"), F.lit(0.0))).otherwise(F.col("predicted"))
     out = out.withColumn("predicted_value", p).withColumn("absolute_error", F.abs(p - F.col("true_value")))
     out = out.withColumn("error", normalized_error(F.col("predicted_value"), F.col("true_value"), F.col("range")))
@@ -136,14 +146,64 @@ def _guessed(w: DataFrame, rows: DataFrame, asked: DataFrame, real: DataFrame, a
     return out.select("epsilon", "target", "st", "round", "attribute", "true_value", "predicted_value", "absolute_error", "error", "correct", "training_samples")
 
 
+def _guessed_in_tasks(edges: DataFrame, w: DataFrame, attributes: tuple[str, ...], least: int, of_edges: bool) -> DataFrame:
+    """The same over a held graph: a world is drawn, measured and learned from in one task and never written; one task before
+    them measures the graph itself."""
+    ends, names = worlds.held_ends(edges), list(attributes)
+    plan = w.select("world", "st", "attribute", *("u", "v") if of_edges else ("target", F.lit(None).cast("long").alias("v")), F.col("epsilon").cast("double").alias("epsilon"))
+
+    def place(own: worlds.Worlds, u, v) -> list[int]:
+        return np.searchsorted(own.ids, sorted((u, v)) if of_edges else [u]).tolist()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        jobs = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if not jobs:
+            return
+        own = worlds.Worlds(*ends.value)
+        if of_edges:
+            key = own.ids[own.u] * 2000003 + own.ids[own.v]
+            row, table = worlds.edge_table(own.n, own.u, own.v)
+        else:
+            here, table = worlds.node_table(own.n, own.u, own.v)
+            key, row = own.ids[here], np.arange(len(here), dtype=np.int32)
+        order = np.argsort(key)
+        key, row = key[order], row[order]
+        times, out = np.bincount(row), []
+        for world, st, hidden, u, v, _ in jobs:
+            real = row[np.searchsorted(key, min(u, v) * 2000003 + max(u, v) if of_edges else u)]
+            shown = real if st == 1 else row[int(drawn(np.array([world], np.int64), 321)[0]) % len(row)]
+            x = table[hidden]
+            span, whole = float(x.max() - x.min()), float(times[np.abs(x - np.rint(x)) < 1e-10].sum() / len(row))
+            out.append((world, [0.0 if a == hidden else float(table[a][shown]) for a in names], float(x[real]), span if span >= 1e-10 else 1.0, int(whole > 0.8)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int32()), strict=True)], ["world", "known", "true_value", "range", "discrete"])
+
+    def learn(own: worlds.Worlds, world, st, hidden, u, v, epsilon, known):
+        x = place(own, u, v)
+        graph = own.perturbed(world, *(own.edge_world(world, *x, st) if of_edges else own.training_world(world, *x, st)), epsilon)
+        if not len(graph[0]):
+            return None
+        row, table = (worlds.edge_table if of_edges else worlds.node_table)(own.n, *graph)
+        if len(row) < least:
+            return None
+        use = [a for a in names if a != hidden]
+        forest = attacks.Forest(least=5).fit(np.stack([table[a] for a in use], 1), table[hidden], row if of_edges else None)
+        return world, float(forest.predict(np.array([[known[names.index(a)] for a in use]]))[0]), len(row)
+
+    asked = cut_lineage(plan.coalesce(1).mapInArrow(measure, "world long, known array<double>, true_value double, range double, discrete int"))
+    guess = worlds.in_tasks(ends, plan.join(asked.select("world", "known"), "world"), learn, "world long, predicted double, training_samples long")
+    return _judged(w.join(cut_lineage(guess), "world").join(asked.drop("known"), "world"))
+
+
 EDGE_ATTRIBUTES = ("common_neighbors", "jaccard", "preferential_attachment", "degree_difference", "mean_clustering")
 
 
 def edge_attributes(edges: DataFrame, epsilons: list[float], k: int, rounds: int, attributes: tuple[str, ...] = EDGE_ATTRIBUTES) -> DataFrame:
     """As node_attributes, of k edge targets: training graphs hold both ends, and the edge itself if st is 1."""
-    key = F.col("u") * 2000003 + F.col("v")
-    chosen = worlds.targets(edges.select("u", "v"), key, k, 204)
+    key, edges = F.col("u") * 2000003 + F.col("v"), cut_lineage(edges.select("u", "v"))
+    chosen = worlds.targets(edges, key, k, 204)
     w = cut_lineage(attribute_jobs(job_table(edges.sparkSession, epsilons, chosen, rounds), attributes))
+    if edges.count() <= paths.BROADCAST_EDGES:
+        return _guessed_in_tasks(edges, w.withColumn("target", key), attributes, 5, True)
     graphs = cut_lineage(worlds.edge_worlds(edges, w.select("world", "u", "v", F.col("st").alias("bit"))))
     fake = cut_lineage(worlds.perturbed(graphs, w.select("world", "epsilon")))
     real = cut_lineage(structure.edge_features(edges).withColumn("id", key))
