@@ -57,23 +57,24 @@ class Forest:
 
     def _grow(self, rows, depth):
         """rows: of those that were drawn, each once; self.drawn has how often."""
-        w, y = self.drawn[rows], self.y[rows]
+        w, y = self.drawn[rows].astype(float), self.y[rows]
         wy, total = w * y, int(w.sum())
         if depth == 0 or total < 2 * self.least or np.ptp(y) == 0:
             return float(wy.sum() / total)
-        best, whole, squares = None, wy.sum(), wy @ y
+        best, whole, wyy = None, wy.sum(), wy * y
+        squares = wyy.sum()
         for f in self.rng.permutation(len(self.codes))[: max(1, int(np.sqrt(len(self.codes))) + 1)]:
             code, values = self.codes[f][rows], self.values[f]
             if len(values) <= 4 * len(rows):  # few values: no sorting
                 n = np.bincount(code, w, len(values))
                 at = np.flatnonzero(n)
-                n, s, q = n[at], np.bincount(code, wy, len(values))[at], np.bincount(code, wy * y, len(values))[at]
+                n, s, q = n[at], np.bincount(code, wy, len(values))[at], np.bincount(code, wyy, len(values))[at]
             else:
                 order = np.argsort(code, kind="stable")
                 own = code[order]
                 first = np.flatnonzero(np.diff(own, prepend=-1))
                 at = own[first]
-                n, s, q = (np.add.reduceat(t[order], first) for t in (w, wy, wy * y))
+                n, s, q = (np.add.reduceat(t[order], first) for t in (w, wy, wyy))
             n, s, q = (np.cumsum(t)[:-1] for t in (n, s, q))
             if not len(n):
                 continue

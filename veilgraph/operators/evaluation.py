@@ -185,8 +185,12 @@ def _guessed_in_tasks(edges: DataFrame, w: DataFrame, attributes: tuple[str, ...
         row, table = (worlds.edge_table if of_edges else worlds.node_table)(own.n, *graph)
         if len(row) < least:
             return None
+        if not of_edges:  # nodes that are alike are one row, as edges are
+            alike = worlds.combined([np.unique(x, return_inverse=True)[1] for x in table.values()])
+            _, first, row = np.unique(alike, return_index=True, return_inverse=True)
+            table = {a: x[first] for a, x in table.items()}
         use = [a for a in names if a != hidden]
-        forest = attacks.Forest(least=5).fit(np.stack([table[a] for a in use], 1), table[hidden], row if of_edges else None)
+        forest = attacks.Forest(least=5).fit(np.stack([table[a] for a in use], 1), table[hidden], row)
         return world, float(forest.predict(np.array([[known[names.index(a)] for a in use]]))[0]), len(row)
 
     asked = cut_lineage(plan.coalesce(1).mapInArrow(measure, "world long, known array<double>, true_value double, range double, discrete int"))
