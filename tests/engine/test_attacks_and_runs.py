@@ -58,6 +58,32 @@ def test_betweenness_against_counting_paths(spark):
     assert sum(r.betweenness for r in part) == pytest.approx(sum(r.betweenness for r in rows))
 
 
+def test_betweenness_of_many_sources_in_one_pass(spark, monkeypatch):
+    diamonds = [(3 * k + i, 3 * k + j) for k in range(110) for i, j in ((0, 1), (0, 2), (1, 3), (2, 3))]  # 2 ** 110 paths
+    rows = paths.edge_betweenness(graph(spark, diamonds)).collect()
+    n = 331
+
+    def share(k):
+        """Over an edge of diamond k: half of the pairs from side to side of it, or from its middle or the other middle."""
+        left, right = 3 * k + 1, 3 * (109 - k) + 1
+        return (left * right + 2 * left + 1) / (n * (n - 1)), (left * right + 2 * right + 1) / (n * (n - 1))
+
+    for r in rows:
+        k, first = r.u // 3, r.u % 3 == 0
+        assert r.betweenness == pytest.approx(share(k)[0 if first else 1])
+    held, passes = paths.held(graph(spark, diamonds)).value, []
+    both, one = paths.Dependencies(paths.Adjacency(*held)), paths.Dependencies(paths.Adjacency(*held))
+    add = paths.Dependencies._add
+    monkeypatch.setattr(paths.Dependencies, "_add", lambda *x: passes.append(len(x[1])) or add(*x))
+    monkeypatch.setattr(paths, "MOST_PATHS", 1e300)
+    both.add(np.arange(10, 80))
+    assert passes == [64, 6]
+    monkeypatch.setattr(paths, "PIECE", 3)
+    for s in range(10, 80):
+        one.add(np.array([s]))
+    assert both.edges()[2] == pytest.approx(one.edges()[2])
+
+
 def test_core_numbers_of_a_long_path(spark):
     e = graph(spark, [(i, i + 1) for i in range(30)] + [(0, 30)])
     assert {r.core for r in structure.core_numbers(e).collect()} == {2}
