@@ -84,6 +84,20 @@ def test_betweenness_of_many_sources_in_one_pass(spark, monkeypatch):
     assert both.edges()[2] == pytest.approx(one.edges()[2])
 
 
+def test_measures_hold_a_graph_once(spark, monkeypatch):
+    e, held, times = cut_lineage(graph(spark, random_graph(60, 150, 5))), paths.held, []
+    monkeypatch.setattr(paths, "held", lambda *x: times.append(1) or held(*x))
+    one = compare.measured(e)
+    assert len(times) == 1
+    empty = compare.measured(e.limit(0))
+    assert {r.value for r in empty.scalars.collect()} == {0.0} and empty.communities.count() == empty.degrees.count() == 0
+    monkeypatch.setattr(community, "ROUNDS_EDGES", 0)
+    many = compare.measured(e)
+    value = lambda df: {r[0]: r[1] for r in df.collect()}
+    for name in ("scalars", "degrees", "distances", "communities", "centrality"):
+        assert value(getattr(one, name)) == pytest.approx(value(getattr(many, name)), abs=1e-9), name
+
+
 def test_core_numbers_of_a_long_path(spark):
     e = graph(spark, [(i, i + 1) for i in range(30)] + [(0, 30)])
     assert {r.core for r in structure.core_numbers(e).collect()} == {2}
