@@ -91,6 +91,8 @@ def test_measures_hold_a_graph_once(spark, monkeypatch):
     assert len(times) == 1
     empty = compare.measured(e.limit(0))
     assert {r.value for r in empty.scalars.collect()} == {0.0} and empty.communities.count() == empty.degrees.count() == 0
+    regular = compare.measured(graph(spark, [(i, i + 1) for i in range(6)] + [(0, 6)]))
+    assert {r.metric: r.value for r in regular.scalars.collect()}["assortativity"] == 0.0
     monkeypatch.setattr(community, "ROUNDS_EDGES", 0)
     many = compare.measured(e)
     value = lambda df: {r[0]: r[1] for r in df.collect()}
