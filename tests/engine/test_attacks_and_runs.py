@@ -255,6 +255,21 @@ def test_losses_of_a_graph_against_itself(spark):
     assert list(own) == list(jobs.STANDALONE) and own["CD_NMI"] == pytest.approx(1) and all(v == pytest.approx(0, abs=1e-9) for k, v in own.items() if k != "CD_NMI")
 
 
+def test_a_method_that_fails_is_no_result(spark, monkeypatch):
+    def fails(edges, n, epsilon):
+        raise ValueError("can't fit")
+
+    e = graph(spark, two_cliques())
+    monkeypatch.setitem(synthesizers.REGISTRY, "fails", fails)
+    with pytest.raises(ValueError, match="can't fit"):
+        jobs.standalone(e, ["fails"], [10.0], 1)
+    assert synthesizers.synthesize(e, 16, 10.0, "fails")[1]  # for those that mark it
+    monkeypatch.setitem(synthesizers.REGISTRY, "tmf", fails)
+    for f in (queries.utility_full, queries.utility_loss_scalar):
+        with pytest.raises(ValueError, match="can't fit"):
+            f(e)
+
+
 def test_runs(spark, tmp_path):
     e = graph(spark, two_cliques())
     configs = [jobs.resolved("utility", methods=("tmf", "unknown"), epsilons=(5.0,), rounds=1, out=str(tmp_path / "out"))]
