@@ -255,6 +255,42 @@ def test_losses_of_a_graph_against_itself(spark):
     assert list(own) == list(jobs.STANDALONE) and own["CD_NMI"] == pytest.approx(1) and all(v == pytest.approx(0, abs=1e-9) for k, v in own.items() if k != "CD_NMI")
 
 
+def test_a_step_of_a_search_leaves_out_what_adds_nothing(monkeypatch):
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(400), 2))) for _ in range(1500)} | {(i, 400) for i in range(0, 400, 3)} | {(i, i + 1) for i in range(401, 440)}
+    key = np.array(sorted(x for a, b in pairs for x in (a << 32 | b, b << 32 | a)))
+    ids = np.arange(441)
+    own = paths.Adjacency(ids, np.searchsorted(key, np.arange(442) << 32), (key & 0xFFFFFFFF).astype(np.int32), {})
+    sources, found = np.arange(300, 441), []
+    monkeypatch.setattr(paths, "STEP_BYTES", 1 << 11)
+    for sparse, soon in ((0, 9), (9, 9), (0, 0), (0.35, 0.2)):  # all neighbours, those of the front alone, nodes left early
+        monkeypatch.setattr(paths, "SPARSE", sparse)
+        monkeypatch.setattr(paths, "SOON", soon)
+        search, rows = paths.Search(own), []
+        for front in search.levels(sources):
+            assert search.count == np.bitwise_count(front).sum()
+            rows.append(front.copy())
+        found.append(rows)
+    far = steps(sorted(pairs))
+    for rows in found:
+        assert len(rows) == 1 + max(max(far[s].values()) for s in sources.tolist())
+        for d, front in enumerate(rows):
+            assert all((int(front[search.rank[v], k // 64]) >> k % 64 & 1) == (far[s].get(v) == d) for k, s in enumerate(sources.tolist()) for v in range(441))
+
+
+def test_moves_in_pieces(monkeypatch):
+    pairs = random_graph(90, 110, 70)
+    key = np.array(sorted({x for a, b in pairs for x in (a << 32 | b, b << 32 | a)}))
+    ids, ends = np.unique(key >> 32, return_inverse=True)
+    own = paths.Adjacency(ids, np.searchsorted(ends, np.arange(len(ids) + 1)), np.searchsorted(ids, key & 0xFFFFFFFF).astype(np.int32), {})
+    whole = community._moves(own)[1].tolist()
+    monkeypatch.setattr(community, "MOVED_ARCS", 16)
+    assert community._moves(own)[1].tolist() == whole
+    own.more["weight"] = np.ones(len(key), np.int64)
+    assert community._moves(own)[1].tolist() == whole
+    assert community.ROUNDS_EDGES == paths.BROADCAST_EDGES  # what is held for distances is held for all measures
+
+
 def test_a_method_that_fails_is_no_result(spark, monkeypatch):
     def fails(edges, n, epsilon):
         raise ValueError("can't fit")
